@@ -174,6 +174,14 @@ def clean_products(products: DataFrame, categories: DataFrame | None = None,
 
 
 # ---- C9 ---------------------------------------------------------------------------------
+INVALID_ITEM_IDS = ["", "nan", "0", "None"]
+
+
+def valid_item(product_id) -> F.Column:
+    """An item slot holds a product when its id is present and not a placeholder."""
+    return col_(product_id).isNotNull() & ~col_(product_id).isin(*INVALID_ITEM_IDS)
+
+
 def _num(c, default: float) -> F.Column:
     v = F.trim(col_(c).cast("string")).try_cast("double")
     return F.when(v.isNull() | F.isnan(v), F.lit(default)).otherwise(v)
@@ -199,8 +207,7 @@ def unpivot_items(wide: DataFrame, slots: int = FX.MAX_ITEM_SLOTS, prefix: str =
         F.greatest(_num(f(i, "quantity", "1"), 1.0), F.lit(1.0)).alias("qty"),
         _num(f(i, "discount_value"), 0.0).alias("discount_value"),
     ) for i in range(slots) if f"{prefix}{i}_type_id" in present])
-    valid = F.filter(arr, lambda s: s["product_id"].isNotNull()
-                     & ~s["product_id"].isin("", "nan", "0", "None"))
+    valid = F.filter(arr, lambda s: valid_item(s["product_id"]))
     return wide.select("purchase_id", F.inline(valid))
 
 
@@ -324,8 +331,8 @@ def clean_orders(purchases: DataFrame, items: DataFrame, products: DataFrame | N
         F.col("creation_date").alias("order_date"),
         F.coalesce(F.col("full_amount").cast("double"), F.lit(0.0)).alias("full_amount"),
         "payment_method", "source", "country_id", "promotion_code")
-    it = items.select(F.col("purchase_id").cast("string").alias("order_id"), "product_id", "price", "sale_price",
-                      "in_sale", "qty")
+    it = items.withColumn("product_id", F.trim(F.col("product_id").cast("string"))).filter(valid_item("product_id")) \
+        .select(F.col("purchase_id").cast("string").alias("order_id"), "product_id", "price", "sale_price", "in_sale", "qty")
     x = allocate_order_total(o.join(it, "order_id", "left"))
     x = x.withColumn("net_amount", money("net_amount")).filter(F.col("net_amount") > 0) \
         .select("order_id", "customer_id", "order_date", "net_amount", "discount_pct", "product_id",

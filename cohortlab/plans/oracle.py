@@ -215,7 +215,9 @@ FROM (SELECT *, CAST(item_gross AS DECIMAL(20, 4)) AS gd,
              count(product_id) OVER (PARTITION BY order_id) AS ni
       FROM (SELECT p.*, i.product_id, i.price, i.sale_price, i.in_sale, i.qty,
                    (CASE WHEN i.in_sale AND i.sale_price > 0 THEN i.sale_price ELSE i.price END) * i.qty AS item_gross
-            FROM paid p LEFT JOIN raw_items i ON p.order_id = i.purchase_id))""")
+            FROM paid p LEFT JOIN (SELECT purchase_id, trim(product_id) AS product_id, price, sale_price, in_sale, qty
+                                   FROM raw_items WHERE trim(product_id) NOT IN ('', 'nan', '0', 'None')) i
+              ON p.order_id = i.purchase_id))""")
 
 cte("dedup_lines", ["alloc"], """
 SELECT DISTINCT * FROM (

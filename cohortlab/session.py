@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.master(master)
     for k, v in DEFAULTS.items():
         b = b.config(k, v)
+    if master and master.startswith("local"):
+        b = b.config("spark.driver.memory", os.environ.get("COHORTLAB_DRIVER_MEMORY", "12g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
