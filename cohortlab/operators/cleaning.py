@@ -140,6 +140,13 @@ def first_category(products: DataFrame, categories: DataFrame | None, slot_cols:
         .drop("_cat_raw", "_cat_name")
 
 
+def product_category(products: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """product_id -> category only (the look-up the order lines need), first row per product."""
+    slot_cols = sorted([c for c in products.columns if c.startswith("category_")], key=lambda c: int(c.split("_")[1]))
+    p = first_category(products, categories, slot_cols)
+    return p.groupBy(F.col("product_id").cast("string").alias("product_id")).agg(F.min_by("category", "seq").alias("category"))
+
+
 def clean_products(products: DataFrame, categories: DataFrame | None = None,
                    ingredients: DataFrame | None = None, collections: DataFrame | None = None,
                    product_for_collection: DataFrame | None = None) -> DataFrame:

@@ -335,3 +335,101 @@ FROM ({_TOTALS}) t, ({_FULFILLED}) f, yoy y,
      ({_RET}) r, (SELECT count(*) AS total_customers FROM features) n, refdate rd""",
                           "flines", "returns", "fulfilled", "yoy", "features", "activity", "refdate"))(
     lambda s, d: K.global_summary(Inputs(s, d).flines, Inputs(s, d).returns, Inputs(s, d).features, Inputs(s, d).ref))
+
+# ---- M: preprocessing, model, scores ----------------------------------------------------
+from cohortlab.functions.fixed import FEATURE_NAMES as _FN  # noqa: E402
+from cohortlab.operators import cluster as M  # noqa: E402
+from cohortlab.operators import prep as P  # noqa: E402
+from cohortlab.operators import scores as SC  # noqa: E402
+
+
+def _scaled(s, d, scaler="standard"):
+    return P.scaled_features(Inputs(s, d).features, scaler=scaler)
+
+
+def _stand_in(df: DataFrame, name: str = "seg") -> DataFrame:
+    return df.withColumn(name, (F.col("customer_id").cast("long") % 4).cast("int"))
+
+
+q("winsorize", O.sql("SELECT * FROM wins", "wins"))(
+    lambda s, d: P.winsorize(Inputs(s, d).features.select("customer_id", *_FN)))
+q("standardize", O.sql("SELECT * FROM scaled", "scaled"))(_scaled)
+q("robust_scale", O.sql("SELECT customer_id, " + ", ".join(
+    f"({c} - q_{c}[2]) / CASE WHEN q_{c}[3] - q_{c}[1] <> 0 THEN q_{c}[3] - q_{c}[1] ELSE 1.0 END AS {c}" for c in _FN)
+    + " FROM wins, (SELECT " + ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}" for c in _FN) + " FROM wins)",
+    "wins"))(lambda s, d: _scaled(s, d, "robust"))
+q("minmax_scale", O.sql("SELECT customer_id, " + ", ".join(
+    f"({c} - lo_{c}) / CASE WHEN hi_{c} - lo_{c} <> 0 THEN hi_{c} - lo_{c} ELSE 1.0 END AS {c}" for c in _FN)
+    + " FROM wins, (SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in _FN) + " FROM wins)",
+    "wins"))(lambda s, d: _scaled(s, d, "minmax"))
+
+
+def _kmeans(s, d, k=4):
+    I = Inputs(s, d)
+    cl = M.kmeans_segments(_scaled(s, d), k=k)
+    return M.segment_customers(I.features, cl, k).select("customer_id", "cluster", "seg", "segment")
+
+
+q("kmeans_segments")(_kmeans)
+q("k_sweep")(lambda s, d: M.k_sweep(_scaled(s, d)))
+_RANK = """SELECT cluster, CAST(row_number() OVER (ORDER BY score DESC, cluster) - 1 AS INTEGER) AS seg, score
+FROM (SELECT cluster,
+        0.4 * CASE WHEN max(avg_spend) OVER () - min(avg_spend) OVER () > 0
+                   THEN (avg_spend - min(avg_spend) OVER ()) / (max(avg_spend) OVER () - min(avg_spend) OVER ()) ELSE 0.0 END
+      + 0.3 * CASE WHEN max(avg_orders) OVER () - min(avg_orders) OVER () > 0
+                   THEN (avg_orders - min(avg_orders) OVER ()) / (max(avg_orders) OVER () - min(avg_orders) OVER ()) ELSE 0.0 END
+      + 0.3 * CASE WHEN max(avg_recency) OVER () - min(avg_recency) OVER () > 0
+                   THEN 1.0 - (avg_recency - min(avg_recency) OVER ()) / (max(avg_recency) OVER () - min(avg_recency) OVER ())
+                   ELSE 0.0 END AS score
+      FROM (SELECT seg AS cluster, avg(spend_365) AS avg_spend, avg(order_count) AS avg_orders, avg(recency) AS avg_recency
+            FROM segf GROUP BY 1))"""
+q("rank_clusters", O.sql(_RANK, "segf"))(lambda s, d: M.rank_clusters(_stand_in(Inputs(s, d).features, "cluster")))
+_T4 = __import__("cohortlab.functions.fixed", fromlist=["x"]).SEGMENT_TEMPLATES[4]
+q("name_segments", O.sql("""SELECT r.seg, CAST(r.name_rank AS INTEGER) AS name_rank, t.name, t.icon, t.color, t.color_bg, t.description
+FROM (SELECT seg, row_number() OVER (ORDER BY avg(spend_365) DESC, avg(recency), seg) - 1 AS name_rank FROM segf GROUP BY seg) r
+LEFT JOIN (VALUES """ + ", ".join("({}, '{}', '{}', '{}', '{}', '{}')".format(i, *[v.replace("'", "''") for v in row])
+                                  for i, row in enumerate(_T4)) + """) t(name_rank, name, icon, color, color_bg, description)
+  USING (name_rank)""", "segf"))(lambda s, d: M.name_segments(Inputs(s, d).segf, 4))
+q("pca_2d")(lambda s, d: M.pca_2d(_scaled(s, d)))
+q("pca_meta")(lambda s, d: M.pca_meta(_scaled(s, d)))
+q("pca_loadings")(lambda s, d: M.pca_loadings(_scaled(s, d)))
+q("dominant_feature")(lambda s, d: M.dominant_feature(M.pca_loadings(_scaled(s, d))))
+_STACK = " UNION ALL ".join(f"SELECT seg, '{c}' AS feature, avg({c}) AS v FROM segsc GROUP BY seg" for c in _FN)
+q("feature_importance", O.sql(f"""SELECT feature, sd / CASE WHEN max(sd) OVER () > 0 THEN max(sd) OVER () ELSE 1.0 END AS value
+FROM (SELECT feature, stddev_pop(v) AS sd FROM ({_STACK}) GROUP BY feature)""", "segsc"))(
+    lambda s, d: SC.feature_importance(_stand_in(_scaled(s, d))))
+q("gmm_segments")(lambda s, d: M.gmm_segments(_scaled(s, d)).select("customer_id", "cluster"))
+q("hierarchical_segments")(lambda s, d: M.hierarchical_segments(_scaled(s, d)).select("customer_id", "cluster"))
+_DIST = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _FN)
+O.cte("smp", ["segsc"], """SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(customer_id || '#42')) AS rn FROM segsc)
+WHERE rn <= 5000""")
+q("silhouette", O.sql(f"""SELECT avg(sv) AS silhouette FROM (
+  SELECT customer_id, CASE WHEN n_own > 1 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS sv
+  FROM (SELECT customer_id, max(n_own) AS n_own,
+               max(CASE WHEN other = own THEN sd / greatest(n_own - 1, 1) END) AS a,
+               min(CASE WHEN other <> own THEN sd / n_other END) AS b
+        FROM (SELECT p.customer_id, p.own, p.other, p.sd, c1.n AS n_own, c2.n AS n_other
+              FROM (SELECT a.customer_id, a.seg AS own, b.seg AS other, sum(sqrt({_DIST})) AS sd
+                    FROM smp a JOIN smp b ON a.customer_id <> b.customer_id GROUP BY 1, 2, 3) p
+              JOIN (SELECT seg, count(*) AS n FROM smp GROUP BY 1) c1 ON c1.seg = p.own
+              JOIN (SELECT seg, count(*) AS n FROM smp GROUP BY 1) c2 ON c2.seg = p.other)
+        GROUP BY 1))""", "smp"))(lambda s, d: SC.silhouette(_stand_in(_scaled(s, d)), "seg"))
+_CEN = "SELECT seg, count(*) AS n, " + ", ".join(f"avg({c}) AS m_{c}" for c in _FN) + " FROM segsc GROUP BY seg"
+_PD = " + ".join(f"(x.{c} - c.m_{c}) * (x.{c} - c.m_{c})" for c in _FN)
+_CD = " + ".join(f"(a.m_{c} - b.m_{c}) * (a.m_{c} - b.m_{c})" for c in _FN)
+q("davies_bouldin", O.sql(f"""SELECT avg(r) AS davies_bouldin FROM (
+  SELECT a.seg, max((a.s + b.s) / sqrt({_CD})) AS r
+  FROM (SELECT c.*, s.s FROM ({_CEN}) c JOIN (SELECT x.seg, avg(sqrt({_PD})) AS s FROM segsc x JOIN ({_CEN}) c USING (seg)
+                                               GROUP BY 1) s USING (seg)) a
+  JOIN (SELECT c.*, s.s FROM ({_CEN}) c JOIN (SELECT x.seg, avg(sqrt({_PD})) AS s FROM segsc x JOIN ({_CEN}) c USING (seg)
+                                               GROUP BY 1) s USING (seg)) b ON a.seg <> b.seg
+  GROUP BY a.seg)""", "segsc"))(lambda s, d: SC.davies_bouldin(_stand_in(_scaled(s, d)), "seg"))
+_GB = " + ".join(f"(c.m_{c} - g.g_{c}) * (c.m_{c} - g.g_{c})" for c in _FN)
+q("calinski_harabasz", O.sql(f"""SELECT CASE WHEN k > 1 AND w > 0 THEN (b / (k - 1)) / (w / (n_all - k)) END AS calinski_harabasz
+FROM (SELECT sum(c.n * ({_GB})) AS b, count(*) AS k, max(g.n_all) AS n_all
+      FROM ({_CEN}) c, (SELECT count(*) AS n_all, {", ".join(f"avg({c}) AS g_{c}" for c in _FN)} FROM segsc) g),
+     (SELECT sum({_PD}) AS w FROM segsc x JOIN ({_CEN}) c USING (seg))""", "segsc"))(
+    lambda s, d: SC.calinski_harabasz(_stand_in(_scaled(s, d)), "seg"))
+q("compare_algorithms")(lambda s, d: SC.compare_algorithms(_scaled(s, d)))
+q("sample_customers", O.sql("""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY md5(customer_id || '#42')) AS rn
+FROM features) WHERE rn <= 1000""", "features"))(lambda s, d: M.sample_customers(Inputs(s, d).features))

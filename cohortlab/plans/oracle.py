@@ -366,3 +366,17 @@ FROM features_raw f LEFT JOIN customers c ON c.customer_id = f.customer_id""")
 
 # Deterministic segment stand-in for label-agnostic operators (the model's labels are not SQL).
 cte("segf", ["features"], "SELECT *, CAST(CAST(customer_id AS BIGINT) % 4 AS INTEGER) AS seg FROM features")
+
+# ---- model inputs (M1, M2, M2b) ---------------------------------------------------------
+FEATS = ["total_spend", "order_count", "recency", "aov", "avg_discount", "active_months", "return_rate",
+         "diversity", "spend_velocity", "clv_slope"]
+cte("wq", ["features"], "SELECT " + ", ".join(
+    f"quantile_cont(CAST({c} AS DOUBLE), 0.01) AS lo_{c}, quantile_cont(CAST({c} AS DOUBLE), 0.99) AS hi_{c}"
+    for c in FEATS) + " FROM features")
+cte("wins", ["features", "wq"], "SELECT customer_id, " + ", ".join(
+    f"least(greatest(CAST({c} AS DOUBLE), lo_{c}), hi_{c}) AS {c}" for c in FEATS) + " FROM features, wq")
+cte("wst", ["wins"], "SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATS)
+    + " FROM wins")
+cte("scaled", ["wins", "wst"], "SELECT customer_id, " + ", ".join(
+    f"({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END AS {c}" for c in FEATS) + " FROM wins, wst")
+cte("segsc", ["scaled"], "SELECT *, CAST(CAST(customer_id AS BIGINT) % 4 AS INTEGER) AS seg FROM scaled")

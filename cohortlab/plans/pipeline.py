@@ -14,12 +14,21 @@ from pyspark.sql import functions as F
 
 from cohortlab.operators import cleaning as C
 from cohortlab.operators import features as FE
+from cohortlab.session import materialize
 from cohortlab.sources import adapters as A
 
 
 class Inputs:
-    def __init__(self, spark: SparkSession, d: str):
-        self.spark, self.d = spark, d
+    """``materialize``: cut lineage of the order lines and features with a reliable checkpoint
+    (to ``spark.checkpoint.dir``) the first time they are used, so the several branches that read
+    them (order grain, category grain, product grain, reference date, model fits) scan a stored
+    copy instead of re-running the cleaning joins."""
+
+    def __init__(self, spark: SparkSession, d: str, materialize: bool = True):
+        self.spark, self.d, self.materialize = spark, d, materialize
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if self.materialize else df
 
     # raw entities
     @cached_property
@@ -49,13 +58,17 @@ class Inputs:
         return C.clean_products(A.raw_products(s, d), A.raw_categories(s, d), A.raw_ingredients(s, d),
                                 A.raw_collections(s, d), A.raw_product_for_collection(s, d))
 
+    @cached_property
+    def product_category(self) -> DataFrame:
+        return C.product_category(A.raw_products(self.spark, self.d), A.raw_categories(self.spark, self.d))
+
     @cached_property
     def customers(self) -> DataFrame:
         return C.clean_customers(A.raw_users(self.spark, self.d), A.raw_addresses(self.spark, self.d))
 
     @cached_property
     def lines(self) -> DataFrame:
-        return C.clean_orders(self.purchases, self.items, self.products, self.countries_raw,
+        return C.clean_orders(self.purchases, self.items, self.product_category, self.countries_raw,
                               self.payment_log, self.offers_raw)
 
     @cached_property
@@ -65,7 +78,7 @@ class Inputs:
     @cached_property
     def flines(self) -> DataFrame:
         """Order lines as the features see them (ghost ids dropped, coerced)."""
-        return FE.prepared_lines(self.lines)
+        return self._keep(FE.prepared_lines(self.lines), "order_lines")
 
     @cached_property
     def ref(self) -> DataFrame:
@@ -73,7 +86,7 @@ class Inputs:
 
     @cached_property
     def features(self) -> DataFrame:
-        return FE.customer_features(self.lines, self.returns, self.customers, ref=self.ref)
+        return self._keep(FE.customer_features(self.flines, self.returns, self.customers, ref=self.ref), "features")
 
     @cached_property
     def segf(self) -> DataFrame:
