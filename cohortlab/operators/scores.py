@@ -7,6 +7,8 @@ defined on a bounded sample (<= 5000 points, as in the source), broadcast as a n
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,11 +77,14 @@ def davies_bouldin(labelled: DataFrame, label: str = "cluster", cols: list[str]
     dist = F.sqrt(sum((F.col(c) - F.col(f"m_{c}")) ** 2 for c in cols))
     s = v.join(F.broadcast(cen), v[label] == cen["c"]).groupBy("c").agg(F.avg(dist).alias("s"))
     k = cen.join(s, "c")
-    a = k.select(*[F.col(x).alias(f"a_{x}") for x in k.columns])
-    b = k.select(*[F.col(x).alias(f"b_{x}") for x in k.columns])
-    dij = F.sqrt(sum((F.col(f"a_m_{c}") - F.col(f"b_m_{c}")) ** 2 for c in cols))
-    pairs = a.join(F.broadcast(b), F.col("a_c") != F.col("b_c"))          # K x K centroid pairs
-    r = pairs.groupBy("a_c").agg(F.max((F.col("a_s") + F.col("b_s")) / dij).alias("r"))
+    allc = k.agg(F.collect_list(F.struct("c", "s", *[f"m_{c}" for c in cols])).alias("_all"))   # K entries
+    x = k.join(F.broadcast(allc), how="inner")
+
+    def ratio(o):
+        d = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"m_{c}") - o[f"m_{c}"]) ** 2 for c in cols]))
+        return (F.col("s") + o["s"]) / d
+
+    r = x.select("c", F.array_max(F.transform(F.filter("_all", lambda o: o["c"] != F.col("c")), ratio)).alias("r"))
     return r.agg(F.avg("r").alias("davies_bouldin"))
 
 

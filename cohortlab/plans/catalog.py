@@ -433,3 +433,273 @@ FROM (SELECT sum(c.n * ({_GB})) AS b, count(*) AS k, max(g.n_all) AS n_all
 q("compare_algorithms")(lambda s, d: SC.compare_algorithms(_scaled(s, d)))
 q("sample_customers", O.sql("""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY md5(customer_id || '#42')) AS rn
 FROM features) WHERE rn <= 1000""", "features"))(lambda s, d: M.sample_customers(Inputs(s, d).features))
+
+# ---- Q: look-ups over scored features (stand-in labels + names) -------------------------
+from cohortlab.operators import insights as DI  # noqa: E402
+from cohortlab.operators import lookup as L  # noqa: E402
+
+O.cte("seg_names", ["segf"], """
+SELECT r.seg, t.name AS segment FROM (SELECT seg, row_number() OVER (ORDER BY avg(spend_365) DESC, avg(recency), seg) - 1 AS name_rank
+                                      FROM segf GROUP BY seg) r
+LEFT JOIN (VALUES """ + ", ".join(f"({i}, '{row[0]}')" for i, row in enumerate(_T4)) + """) t(name_rank, name) USING (name_rank)""")
+O.cte("scored", ["segf", "seg_names"], "SELECT * FROM segf JOIN seg_names USING (seg)")
+
+
+def _scored(s, d):
+    segf = Inputs(s, d).segf
+    names = M.name_segments(segf, 4).select("seg", F.col("name").alias("segment"))
+    return segf.join(F.broadcast(names), "seg")
+
+
+_SEARCH = "SELECT * FROM scored WHERE regexp_matches(region, 'a', 'i') AND regexp_matches(gender, '^(household|building)$', 'i')"
+q("search_customers", O.sql(_SEARCH, "scored"))(
+    lambda s, d: L.search_customers(_scored(s, d), region="a", gender="^(household|building)$"))
+q("search_customers_text", O.sql("""SELECT * FROM scored WHERE (regexp_matches(customer_id, '12', 'i')
+    OR COALESCE(regexp_matches(phone, '12', 'i'), false)) AND regexp_matches(top_channel, 'cash|knet', 'i') AND seg = 1""",
+                                  "scored"))(
+    lambda s, d: L.search_customers(_scored(s, d), channel="cash|knet", q="12", seg=1))
+q("page", O.sql(f"""SELECT * FROM (SELECT * FROM ({_SEARCH}) ORDER BY recency ASC, customer_id ASC LIMIT 50 OFFSET 10),
+    (SELECT count(*) AS total FROM ({_SEARCH}))""", "scored"))(
+    lambda s, d: L.page(L.search_customers(_scored(s, d), region="a", gender="^(household|building)$"), "recency", 10, 50))
+q("random_customers", O.sql(f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY md5(customer_id || '#42')) AS rn
+    FROM ({_SEARCH})) WHERE rn <= 100""", "scored"))(
+    lambda s, d: L.random_customers(L.search_customers(_scored(s, d), region="a", gender="^(household|building)$"), 100))
+q("customer_profile_by_id", O.sql("SELECT * FROM scored WHERE customer_id = '7'", "scored"))(
+    lambda s, d: L.customer_profile_by_id(_scored(s, d), "7"))
+q("top_per_segment", O.sql("""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY seg ORDER BY total_spend DESC, customer_id)
+    AS INTEGER) AS rank FROM scored) WHERE rank <= 300""", "scored"))(lambda s, d: L.top_per_segment(_scored(s, d)))
+O.cte("offers", ["offer_lu", "raw_offers"], """SELECT o.*, r.seq FROM offer_lu o JOIN
+    (SELECT trim(promotion_code) AS promotion_code, max(seq) AS seq FROM raw_offers GROUP BY 1) r USING (promotion_code)""")
+
+
+def _offers(s, d):
+    raw = A.raw_offers(s, d)
+    return C.offer_lookup(raw).join(raw.groupBy(F.trim("promotion_code").alias("promotion_code")).agg(F.max("seq").alias("seq")),
+                                    "promotion_code")
+
+
+q("offers_list", O.sql("SELECT * FROM offers ORDER BY seq, promotion_code LIMIT 10", "offers"))(
+    lambda s, d: L.offers_list(_offers(s, d), 10))
+q("offer_stats", O.sql("""SELECT count(*) AS total_offers, CAST(sum(CAST(is_auto_offer AS INTEGER)) AS BIGINT) AS auto_offers_count,
+    count(*) - CAST(sum(CAST(is_auto_offer AS INTEGER)) AS BIGINT) AS manual_offers_count FROM offers""", "offers"))(
+    lambda s, d: L.offer_stats(_offers(s, d)))
+q("offer_type_distribution", O.sql("SELECT reduction_type, count(*) AS n FROM offers GROUP BY 1", "offers"))(
+    lambda s, d: L.offer_type_distribution(_offers(s, d)))
+q("top_offers", O.sql("""SELECT offer_name, reduction_type, reduction_value, offer_usage_count FROM offers
+    ORDER BY offer_usage_count DESC, seq LIMIT 10""", "offers"))(lambda s, d: L.top_offers(_offers(s, d)))
+q("countries_list", O.sql("SELECT code, country_name FROM country_lu", "country_lu"))(
+    lambda s, d: C.country_lookup(A.raw_countries(s, d)))
+q("custom_segment", O.sql("""SELECT count(*) AS count FROM scored WHERE seg = 2 AND regexp_matches(region, 'asia|europe', 'i')""",
+                          "scored"))(lambda s, d: L.custom_segment(_scored(s, d), seg=2, region="asia|europe"))
+_FILTERS = [("asia-any", None, "asia", None), ("seg0", 0, None, None), ("seg3-machinery", 3, None, "machinery"),
+            ("all", None, None, None)]
+
+
+def _custom_many(s, d):
+    f = s.createDataFrame(_FILTERS, "label string, seg int, region string, gender string")
+    return L.custom_segments(_scored(s, d), f)
+
+
+q("custom_segments", O.sql("""SELECT f.label, CAST(count(x.customer_id) AS BIGINT) AS count
+FROM (VALUES """ + ", ".join("('{}', {}, {}, {})".format(lb, "NULL" if sg is None else sg,
+                                                            "NULL" if rg is None else f"'{rg}'", "NULL" if gd is None else f"'{gd}'")
+                              for lb, sg, rg, gd in _FILTERS) + """) f(label, seg, region, gender)
+LEFT JOIN scored x ON (f.seg IS NULL OR x.seg = f.seg) AND (f.region IS NULL OR regexp_matches(x.region, f.region, 'i'))
+                  AND (f.gender IS NULL OR regexp_matches(x.gender, f.gender, 'i'))
+GROUP BY f.label""", "scored"))(_custom_many)
+q("segment_overview", O.sql("""SELECT n.seg, n.segment, c.customers, c.total_customers FROM seg_names n LEFT JOIN
+    (SELECT seg, count(*) AS customers, sum(count(*)) OVER () AS total_customers FROM segf GROUP BY seg) c USING (seg)""",
+                            "seg_names", "segf"))(
+    lambda s, d: L.segment_overview(M.name_segments(Inputs(s, d).segf, 4).select("seg", F.col("name").alias("segment")),
+                                    G.segment_counts(Inputs(s, d).segf)))
+q("feature_importance_sorted", O.sql(f"""SELECT feature, value, CAST(row_number() OVER (ORDER BY value DESC, feature) AS INTEGER) AS rank
+FROM (SELECT feature, sd / CASE WHEN max(sd) OVER () > 0 THEN max(sd) OVER () ELSE 1.0 END AS value
+      FROM (SELECT feature, stddev_pop(v) AS sd FROM ({_STACK}) GROUP BY feature))""", "segsc"))(
+    lambda s, d: L.feature_importance_sorted(SC.feature_importance(_stand_in(_scaled(s, d)))))
+q("recency_labels", O.sql("""SELECT customer_id,
+    CASE WHEN recency = 0 THEN 'Today' WHEN recency = 1 THEN 'Yesterday' WHEN recency < 7 THEN CAST(recency AS VARCHAR) || ' days ago'
+         WHEN recency < 30 THEN CAST(CAST(round(recency / 7.0) AS BIGINT) AS VARCHAR) || 'w ago'
+         WHEN recency < 365 THEN CAST(CAST(round(recency / 30.0) AS BIGINT) AS VARCHAR) || 'mo ago'
+         ELSE CAST(CAST(round(recency / 365.0) AS BIGINT) AS VARCHAR) || 'y ago' END AS recency_label,
+    CASE WHEN recency < 30 THEN '#059669' WHEN recency < 90 THEN '#d97706' ELSE '#dc2626' END AS recency_severity,
+    CASE WHEN return_rate < 0.05 THEN '#059669' WHEN return_rate < 0.12 THEN '#d97706' ELSE '#dc2626' END AS return_severity
+FROM features""", "features"))(
+    lambda s, d: Inputs(s, d).features.select("customer_id", L.recency_label("recency").alias("recency_label"),
+                                              L.recency_severity("recency").alias("recency_severity"),
+                                              L.return_severity("return_rate").alias("return_severity")))
+
+# ---- D: derived analytics ---------------------------------------------------------------
+O.cte("prof", ["segf"], _SEGPROF)
+O.cte("seg_rev", ["seg_scaled"], """SELECT seg, CASE WHEN rk = 1 THEN round(revenue + diff, 2) ELSE revenue END AS revenue
+FROM (SELECT seg, revenue, round(round(target_total, 2) - sum(revenue) OVER (), 2) AS diff,
+             row_number() OVER (ORDER BY revenue DESC, seg) AS rk FROM seg_scaled)""")
+O.cte("mrev", ["flines"], "SELECT strftime(order_date, '%Y-%m') AS ym, CAST(sum(net_amount) AS DOUBLE) AS revenue FROM flines GROUP BY 1")
+O.cte("maov", ["fulfilled"], """SELECT ym, CAST(sum(t) AS DOUBLE) / count(*) AS aov
+FROM (SELECT order_id, strftime(order_date, '%Y-%m') AS ym, sum(net_amount) AS t FROM fulfilled GROUP BY 1, 2) GROUP BY 1""")
+O.cte("catshare", ["flines", "segf"], f"""SELECT seg, category, lines, rank, lines * {D} / sum(lines) OVER (PARTITION BY seg) AS share
+FROM (SELECT seg, category, lines, CAST(row_number() OVER (PARTITION BY seg ORDER BY lines DESC, category) AS INTEGER) AS rank
+      FROM (SELECT seg, category, count(*) AS lines FROM flines JOIN segf USING (customer_id) GROUP BY 1, 2))
+WHERE rank <= 6""")
+O.cte("segmonthly", ["cust_month", "segf"], """SELECT seg, ym, CAST(sum(spend) AS DOUBLE) / count(*) AS avg_spend
+FROM cust_month JOIN segf USING (customer_id) GROUP BY 1, 2""")
+
+
+class _X:
+    """Shared inputs of the D queries for one (spark, dir)."""
+
+    def __init__(self, s, d):
+        self.I = Inputs(s, d)
+
+    @property
+    def profile(self):
+        return G.segment_profile(self.I.segf)
+
+    @property
+    def seg_rev(self):
+        return _seg_drift(self.I)
+
+    @property
+    def monthly(self):
+        return K.monthly_revenue(self.I.flines)
+
+    @property
+    def cat_share(self):
+        return G.segment_category_share(self.I.flines, self.I.segf)
+
+    @property
+    def seg_monthly(self):
+        return G.segment_monthly_spend(self.I.flines, self.I.segf)
+
+
+def _seg_drift(I):
+    return G.fix_rounding_drift(G.scale_to_total(G.redistribute_unassigned(I.flines, I.returns, I.segf),
+                                                 C.deduped_paid_revenue(I.payment_log)))
+
+
+def dq(name, sql_text, ctes, fn):
+    q(name, O.sql(sql_text, *ctes))(lambda s, d: fn(_X(s, d)))
+
+
+dq("segment_share", f"""SELECT p.seg, p.n * {D} / sum(p.n) OVER () AS customers_pct, r.revenue * {D} / sum(r.revenue) OVER () AS revenue_pct
+FROM prof p LEFT JOIN seg_rev r USING (seg)""", ["prof", "seg_rev"], lambda x: DI.segment_share(x.profile, x.seg_rev))
+dq("category_share", f"""SELECT * FROM (SELECT category, revenue, revenue * {D} / sum(revenue) OVER () AS pct,
+    CAST(row_number() OVER (ORDER BY revenue DESC, category) AS INTEGER) AS rank
+    FROM (SELECT category, CAST(sum(net_amount) AS DOUBLE) AS revenue FROM flines GROUP BY 1)) WHERE rank <= 8""", ["flines"],
+   lambda x: DI.category_share(K.category_revenue(x.I.flines)))
+dq("channel_share", f"""SELECT channel, n, n * {D} / sum(n) OVER () AS pct, n * {D} / max(n) OVER () AS bar_pct
+FROM (SELECT channel, count(*) AS n FROM flines GROUP BY 1)""", ["flines"], lambda x: DI.channel_share(x.I.flines))
+_W = ", ".join(f"'{m}', {m}" for m in DI.WEIGHTED)
+dq("weighted_means", """SELECT metric, value FROM (SELECT metric, sum(v * n) / sum(n) AS value FROM (
+    SELECT n, unnest(map_keys(m)) AS metric, unnest(map_values(m)) AS v FROM (SELECT n, MAP {""" + ", ".join(
+    f"'{m}': CAST({m} AS DOUBLE)" for m in DI.WEIGHTED) + """} AS m FROM prof)) GROUP BY metric)
+UNION ALL SELECT 'avg_lifespan_months', sum(avg_lifespan * n) / sum(n) / 30.0 FROM prof""", ["prof"],
+   lambda x: DI.weighted_means(x.profile))
+dq("unweighted_segment_means", """SELECT 'avg_return_rate' AS metric, avg(avg_return_rate) AS value FROM prof
+UNION ALL SELECT 'avg_refund_ratio', avg(avg_refund_ratio) FROM prof UNION ALL SELECT 'avg_diversity', avg(avg_diversity) FROM prof""",
+   ["prof"], lambda x: DI.unweighted_segment_means(x.profile))
+dq("best_segment", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{m}' AS metric, 'best' AS kind, seg, CAST({m} AS DOUBLE) AS value FROM prof "
+    f"{'WHERE avg_ipt > 0 ' if m == 'avg_ipt' else ''}ORDER BY {m} {'ASC' if low else 'DESC'}, seg LIMIT 1)"
+    for m, low in DI.BEST_METRICS) + " UNION ALL SELECT * FROM (SELECT 'avg_aov', 'worst', seg, CAST(avg_aov AS DOUBLE) FROM prof "
+    "ORDER BY avg_aov ASC, seg LIMIT 1)", ["prof"], lambda x: DI.best_segment(x.profile))
+dq("aov_trend", """SELECT curr3, prev3, CASE WHEN n >= 6 AND prev3 > 0 THEN (curr3 - prev3) / prev3 * CAST(100 AS DOUBLE) END AS aov_trend_pct
+FROM (SELECT max(n) AS n, sum(CASE WHEN pos <= 3 THEN aov END) / 3.0 AS curr3,
+             sum(CASE WHEN pos > 3 AND pos <= 6 THEN aov END) / 3.0 AS prev3
+      FROM (SELECT aov, row_number() OVER (ORDER BY ym DESC) AS pos, count(*) OVER () AS n FROM maov))""", ["maov"],
+   lambda x: DI.aov_trend(K.monthly_aov(x.I.flines, x.I.returns)))
+dq("annual_spend_momentum", """SELECT annual, sp90 * 4.0 AS annualised_sp90,
+    CASE WHEN annual > 0 THEN (sp90 * 4.0 - annual) / annual * CAST(100 AS DOUBLE) END AS annual_trend_pct
+FROM (SELECT sum(avg_sp365 * n) / sum(n) AS annual, sum(avg_sp90 * n) / sum(n) AS sp90 FROM prof)""", ["prof"],
+   lambda x: DI.annual_spend_momentum(x.profile))
+dq("order_momentum", """SELECT annualised_ord30, ord90,
+    CASE WHEN ord90 > 0 THEN (annualised_ord30 - ord90) / ord90 * CAST(100 AS DOUBLE) END AS order_trend_pct
+FROM (SELECT sum(avg_ord30 * n) / sum(n) * 3.0 AS annualised_ord30, sum(avg_ord90 * n) / sum(n) AS ord90 FROM prof)""", ["prof"],
+   lambda x: DI.order_momentum(x.profile))
+dq("half_year_trend", """SELECT curr6, prev6, CASE WHEN n >= 12 AND prev6 <> 0 THEN (curr6 - prev6) / prev6 * CAST(100 AS DOUBLE) END
+    AS half_year_pct
+FROM (SELECT max(n) AS n, sum(CASE WHEN pos <= 6 THEN revenue END) AS curr6, sum(CASE WHEN pos > 6 AND pos <= 12 THEN revenue END) AS prev6
+      FROM (SELECT revenue, row_number() OVER (ORDER BY ym DESC) AS pos, count(*) OVER () AS n FROM mrev))""", ["mrev"],
+   lambda x: DI.half_year_trend(x.monthly))
+dq("current_vs_peak_month", """SELECT current, peak, CASE WHEN peak > 0 THEN current / peak * CAST(100 AS DOUBLE) ELSE 0.0 END
+    AS current_pct_of_peak FROM (SELECT arg_max(revenue, ym) AS current, max(revenue) AS peak FROM mrev)""", ["mrev"],
+   lambda x: DI.current_vs_peak_month(x.monthly))
+dq("monthly_yoy_delta", """SELECT ym, revenue, prev, CASE WHEN prev > 0 THEN (revenue - prev) / prev * CAST(100 AS DOUBLE) END AS yoy_delta_pct
+FROM (SELECT ym, revenue, lag(revenue, 12) OVER (ORDER BY ym) AS prev, row_number() OVER (ORDER BY ym DESC) AS pos FROM mrev)
+WHERE pos <= 12""", ["mrev"], lambda x: DI.monthly_yoy_delta(x.monthly))
+dq("quarter_share", f"""SELECT quarter, revenue, revenue * {D} / sum(revenue) OVER () AS pct,
+    row_number() OVER (ORDER BY revenue DESC, quarter) = 1 AS is_best
+FROM (SELECT 'Q' || CAST(CAST(trunc((CAST(substr(ym, 6, 2) AS INTEGER) - 1) / 3 + 1) AS INTEGER) AS VARCHAR) AS quarter,
+             sum(revenue) AS revenue
+      FROM (SELECT *, row_number() OVER (ORDER BY ym DESC) AS pos FROM mrev) WHERE pos <= 12 GROUP BY 1)""", ["mrev"],
+   lambda x: DI.quarter_share(x.monthly))
+dq("peak_month", """SELECT b.ym AS peak_month, b.revenue AS peak_revenue, r.* FROM
+    (SELECT * FROM mrev ORDER BY revenue DESC, ym LIMIT 1) b,
+    (SELECT min(ym) AS first_month, max(ym) AS last_month, count(*) AS n_months FROM mrev) r""", ["mrev"],
+   lambda x: DI.peak_month(x.monthly))
+dq("segment_peak_trough", """SELECT b.seg, b.ym AS peak_month, b.avg_spend AS peak_value, l.ym AS trough_month, l.avg_spend AS trough_value
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY avg_spend DESC, ym) AS r FROM segmonthly) WHERE r = 1) b
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY avg_spend ASC, ym) AS r FROM segmonthly
+                          WHERE avg_spend > 0) WHERE r = 1) l USING (seg)""", ["segmonthly"],
+   lambda x: DI.segment_peak_trough(x.seg_monthly))
+dq("seasonality_class", """SELECT seg, cv, CASE WHEN months < 2 THEN NULL WHEN cv < 0.3 THEN 'Stable' WHEN cv < 0.6 THEN 'Moderate'
+    ELSE 'High var.' END AS seasonality
+FROM (SELECT seg, count(*) AS months, CASE WHEN avg(avg_spend) > 0 THEN stddev_pop(avg_spend) / avg(avg_spend) ELSE 0.0 END AS cv
+      FROM segmonthly WHERE avg_spend > 0 GROUP BY seg)""", ["segmonthly"], lambda x: DI.seasonality_class(x.seg_monthly))
+_ZU = " UNION ALL ".join(f"SELECT seg, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM prof" for m in DI.Z_METRICS)
+dq("segment_zscores", f"""SELECT seg, metric, z, CASE WHEN z > 0.6 THEN 'very_high' WHEN z > 0.2 THEN 'high' WHEN z < -0.6 THEN 'very_low'
+    WHEN z < -0.2 THEN 'low' ELSE 'neutral' END AS band
+FROM (SELECT seg, metric, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 0 THEN stddev_pop(value) OVER w ELSE 1.0 END AS z
+      FROM ({_ZU}) WINDOW w AS (PARTITION BY metric))""", ["prof"], lambda x: DI.segment_zscores(x.profile))
+dq("diversity_class", f"""SELECT seg, avg_diversity * {D} AS diversity_pct, CASE WHEN avg_diversity * {D} >= 60 THEN 'Generalist'
+    WHEN avg_diversity * {D} >= 35 THEN 'Moderate' ELSE 'Specialist' END AS diversity_class FROM prof""", ["prof"],
+   lambda x: DI.diversity_class(x.profile))
+dq("affinity_profile", """SELECT seg, top3_share, CASE WHEN top3_share >= 85 THEN 'Specialist' WHEN top3_share >= 65 THEN 'Focused'
+    ELSE 'Diverse' END AS affinity FROM (SELECT seg, sum(share) AS top3_share FROM catshare WHERE rank <= 3 GROUP BY seg)""",
+   ["catshare"], lambda x: DI.affinity_profile(x.cat_share))
+dq("segment_category_matrix", """SELECT category, seg, share, avg(share) OVER w AS mean_share,
+    CASE WHEN max(share) OVER w > 0 THEN share / max(share) OVER w ELSE 0.0 END AS intensity, sum(share) OVER w AS total_share
+FROM (SELECT g.category, g.seg, COALESCE(c.share, 0.0) AS share
+      FROM (SELECT DISTINCT category FROM catshare) cc, LATERAL (SELECT cc.category,
+            unnest(range((SELECT min(seg) FROM catshare), (SELECT max(seg) FROM catshare) + 1)) AS seg) g
+      LEFT JOIN catshare c ON c.seg = g.seg AND c.category = g.category)
+WINDOW w AS (PARTITION BY category)""", ["catshare"], lambda x: DI.segment_category_matrix(x.cat_share))
+dq("dominant_category", """SELECT category, total_share FROM (SELECT category, sum(share) AS total_share FROM catshare GROUP BY 1)
+ORDER BY total_share DESC, category LIMIT 1""", ["catshare"], lambda x: DI.dominant_category(x.cat_share))
+dq("segment_top_categories", "SELECT seg, rank, category, share FROM catshare WHERE rank <= 3", ["catshare"],
+   lambda x: DI.segment_top_categories(x.cat_share, 3))
+dq("spend_band_share", f"""SELECT band, n, n * {D} / sum(n) OVER () AS pct FROM ({_bands_sql("total_spend", 100, 500)})""",
+   ["features"], lambda x: DI.spend_band_share(K.spend_bands(x.I.features)))
+dq("net_aov", f"""SELECT *, net_aov * {D} / max(net_aov) OVER () AS net_aov_bar,
+    discount_cost * {D} / max(discount_cost) OVER () AS discount_cost_bar
+FROM (SELECT seg, avg_aov * (1.0 - avg_discount) AS net_aov, avg_aov * avg_discount AS discount_cost FROM prof)""", ["prof"],
+   lambda x: DI.net_aov(x.profile))
+dq("discount_efficiency", """SELECT seg, avg_discount, CASE WHEN avg_discount < 0.05 THEN 'Efficient' WHEN avg_discount < 0.15
+    THEN 'Moderate' ELSE 'Costly' END AS discount_efficiency FROM prof""", ["prof"], lambda x: DI.discount_efficiency(x.profile))
+dq("return_status_share", f"""SELECT CASE WHEN n > 0 THEN returned * {D} / n ELSE 0.0 END AS returned_pct,
+    CASE WHEN n > 0 THEN canceled * {D} / n ELSE 0.0 END AS canceled_pct
+FROM (SELECT count(*) AS n, sum(CASE WHEN return_status = 'Returned' THEN 1 ELSE 0 END) AS returned,
+             sum(CASE WHEN return_status = 'Canceled' THEN 1 ELSE 0 END) AS canceled FROM returns)""", ["returns"],
+   lambda x: DI.return_status_share(x.I.returns))
+dq("segment_kpis", """SELECT seg, n, avg_spend, avg_orders, CASE WHEN avg_orders > 0 THEN avg_spend / avg_orders ELSE 0.0 END AS aov,
+    avg_recency, avg_return_rate, avg_clv_slope FROM prof""", ["prof"], lambda x: DI.segment_kpis(x.profile))
+dq("relative_bars", f"""SELECT seg, avg_spend * {D} / max(avg_spend) OVER () AS spend_bar,
+    avg_orders * {D} / max(avg_orders) OVER () AS orders_bar,
+    avg_projected_annual * {D} / max(avg_projected_annual) OVER () AS projected_bar,
+    CASE WHEN avg_recency > 0 THEN min(avg_recency) OVER () * {D} / avg_recency ELSE {D} END AS recency_bar,
+    CASE WHEN max(avg_ipt) OVER () - min(avg_ipt) OVER () > 0
+         THEN (avg_ipt - min(avg_ipt) OVER ()) * {D} / (max(avg_ipt) OVER () - min(avg_ipt) OVER ()) ELSE 0.0 END AS ipt_bar
+FROM prof""", ["prof"], lambda x: DI.relative_bars(x.profile))
+dq("rev_share_scaled", f"""SELECT seg, CASE WHEN total_revenue > 0 THEN revenue * {D} / total_revenue ELSE 0.0 END AS revenue_share_pct
+FROM seg_rev, dedup_rev""", ["seg_rev", "dedup_rev"],
+   lambda x: DI.rev_share_scaled(x.seg_rev, C.deduped_paid_revenue(x.I.payment_log)))
+_GS_BODY = f"""SELECT t.*, f.*, r.*, n.total_customers FROM ({_TOTALS}) t, ({_FULFILLED}) f, ({_RET}) r,
+    (SELECT count(*) AS total_customers FROM features) n"""
+_GS_CTES = ["flines", "returns", "fulfilled", "features", "activity"]
+dq("report_ratios", f"""SELECT least(CAST(100 AS DOUBLE), active_customers_90 * {D} / total_customers) AS active_pct,
+    least(CAST(100 AS DOUBLE), fulfilled_orders * {D} / total_orders) AS fulfilled_pct,
+    least(CAST(100 AS DOUBLE), true_aov * {D} / CASE WHEN total_orders > 0 THEN gross_revenue / total_orders END) AS true_aov_pct
+FROM ({_GS_BODY})""", _GS_CTES,
+   lambda x: DI.report_ratios(K.global_summary(x.I.flines, x.I.returns, x.I.features, x.I.ref)))
+dq("aov_proxy_series", f"""SELECT ym, revenue / tot * true_aov AS aov_proxy FROM mrev, (SELECT sum(revenue) AS tot FROM mrev),
+    (SELECT true_aov FROM ({_FULFILLED}))""", ["mrev", "fulfilled"],
+   lambda x: DI.aov_proxy_series(x.monthly, K.fulfilled_orders(x.I.flines, x.I.returns)))
