@@ -703,3 +703,195 @@ FROM ({_GS_BODY})""", _GS_CTES,
 dq("aov_proxy_series", f"""SELECT ym, revenue / tot * true_aov AS aov_proxy FROM mrev, (SELECT sum(revenue) AS tot FROM mrev),
     (SELECT true_aov FROM ({_FULFILLED}))""", ["mrev", "fulfilled"],
    lambda x: DI.aov_proxy_series(x.monthly, K.fulfilled_orders(x.I.flines, x.I.returns)))
+
+# ---- P: rules, alerts, campaigns --------------------------------------------------------
+from cohortlab.functions.fixed import INTENT_RULES as _RULES  # noqa: E402
+from cohortlab.operators import campaigns as CP  # noqa: E402
+from cohortlab.operators import text as TX  # noqa: E402
+from cohortlab.streaming import lockout as LK  # noqa: E402
+
+
+def _counts_named(s, d):
+    I = Inputs(s, d)
+    names = M.name_segments(I.segf, 4).select("seg", F.col("name").alias("segment"))
+    return G.segment_counts(I.segf).select("seg", "customers").join(names, "seg")
+
+
+O.cte("counts_named", ["segf", "seg_names"], """SELECT seg, customers, segment FROM
+    (SELECT seg, count(*) AS customers FROM segf GROUP BY seg) JOIN seg_names USING (seg)""")
+O.cte("raw_campaigns", [], """SELECT 'c' || CAST(k AS VARCHAR) AS id,
+    (['VIP', 'Loyal', 'At Risk', 'Lost', 'All Customers'])[k % 5 + 1] AS segment,
+    (['Email', 'WhatsApp', 'Email + WhatsApp', 'SMS'])[k % 4 + 1] AS channel,
+    CASE WHEN k % 6 = 0 THEN NULL ELSE 'Offer ' || CAST(k AS VARCHAR) END AS subject,
+    CASE WHEN k % 4 = 1 THEN NULL ELSE 'Hello ' || CAST(k AS VARCHAR) END AS body,
+    CAST(k % 30 AS DOUBLE) AS discount, (['pending', 'sent', 'cancelled'])[k % 3 + 1] AS status,
+    created_at, 'admin' AS created_by, n * 10 AS recipients
+FROM (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, min(ts) AS created_at, count(*) AS n FROM events GROUP BY 1)""")
+O.cte("raw_sends", [], """SELECT CASE WHEN email THEN 'e' ELSE 'w' END || CAST(event_id AS VARCHAR) AS id,
+    CASE WHEN email THEN 'email' ELSE 'whatsapp' END AS kind,
+    CASE WHEN event_id % 7 = 0 THEN NULL ELSE cid END AS campaign_id, segment,
+    CASE WHEN email THEN COALESCE(subject, cid) END AS subject,
+    CASE WHEN NOT email THEN COALESCE(body, subject, '') END AS message,
+    CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' THEN 'queued' ELSE 'sent' END AS status,
+    ts AS created_at, 1 AS recipients
+FROM (SELECT event_id, ts, event_type, event_id % 2 = 0 AS email, 'c' || CAST(k AS VARCHAR) AS cid,
+             (['VIP', 'Loyal', 'At Risk', 'Lost', 'All Customers'])[k % 5 + 1] AS segment,
+             CASE WHEN k % 6 = 0 THEN NULL ELSE 'Offer ' || CAST(k AS VARCHAR) END AS subject,
+             CASE WHEN k % 4 = 1 THEN NULL ELSE 'Hello ' || CAST(k AS VARCHAR) END AS body
+      FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))""")
+
+
+def _open_alerts(s):
+    return s.createDataFrame([], "type string, segment string, current_pct double, baseline_pct double, delta double, "
+                                 "severity string, acknowledged boolean")
+
+
+q("segment_alerts", O.sql(f"""SELECT type, segment, pct AS current_pct, pct - delta AS baseline_pct, delta, severity
+FROM (SELECT *, customers * {D} / sum(customers) OVER () AS pct FROM counts_named) c
+JOIN (VALUES """ + ", ".join(f"('{t}', '{n}', {th}, '{sv}', {dl})" for t, n, th, sv, dl in CP.ALERT_RULES) + """)
+     r(type, name_lc, threshold, severity, delta) ON lower(c.segment) = r.name_lc
+WHERE pct > threshold""", "counts_named"))(lambda s, d: CP.segment_alerts(_counts_named(s, d), _open_alerts(s)))
+
+
+def _notif(s, d):
+    I = Inputs(s, d)
+    cs = DI.category_share(K.category_revenue(I.flines))
+    return CP.smart_notifications(_counts_named(s, d), _seg_drift(I), K.yoy_growth(I.flines), cs)
+
+
+q("smart_notifications", O.sql(f"""SELECT *, CAST(row_number() OVER (ORDER BY CAST(read AS INTEGER),
+        CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, age_s) AS INTEGER) AS position
+FROM (
+  SELECT 'at-risk-high' AS id, 'alert' AS category, CASE WHEN pct_r >= 25 THEN 'high' ELSE 'medium' END AS priority,
+         false AS read, 300 AS age_s, CAST(pct_r AS DOUBLE) AS value
+  FROM (SELECT * FROM cn WHERE lower(segment) LIKE '%at risk%' ORDER BY seg LIMIT 1) WHERE customers > 0 AND pct_r >= 15
+  UNION ALL SELECT 'lost-seg', 'action', 'high', false, 720, pct_r
+  FROM (SELECT * FROM cn WHERE lower(segment) LIKE '%lost%' ORDER BY seg LIMIT 1) WHERE customers > 0 AND pct_r >= 10
+  UNION ALL SELECT 'vip-revenue', 'insight', 'medium', false, 1800, share
+  FROM (SELECT * FROM cn WHERE lower(segment) LIKE '%vip%' ORDER BY seg LIMIT 1) v
+  JOIN (SELECT seg, revenue * {D} / sum(revenue) OVER () AS share FROM seg_rev) r USING (seg) WHERE share >= 40
+  UNION ALL SELECT 'yoy-negative', 'alert', 'high', false, 3600, yoy_pct FROM yoy WHERE yoy_pct IS NOT NULL AND yoy_pct < 0
+  UNION ALL SELECT 'yoy-strong', 'insight', 'low', false, 7200, yoy_pct FROM yoy WHERE yoy_pct IS NOT NULL AND yoy_pct > 100
+  UNION ALL SELECT 'category-concentration', 'insight', 'low', true, 14400, pct FROM (
+      SELECT revenue * {D} / sum(revenue) OVER () AS pct, row_number() OVER (ORDER BY revenue DESC, category) AS rank
+      FROM (SELECT category, CAST(sum(net_amount) AS DOUBLE) AS revenue FROM flines GROUP BY 1)) WHERE rank = 1 AND pct >= 50
+  UNION ALL SELECT 'data-loaded', 'system', 'low', true, 10, CAST(sum(customers) AS DOUBLE) FROM cn)""".replace(
+    "FROM cn", "FROM (SELECT *, round(customers * CAST(100 AS DOUBLE) / sum(customers) OVER ()) AS pct_r FROM counts_named)"),
+    "counts_named", "seg_rev", "yoy", "flines"))(_notif)
+O.cte("camp_aud", ["raw_campaigns", "counts_named"], """SELECT c.id, c.segment,
+    CASE WHEN c.segment IS NULL OR c.segment = 'All Customers' THEN (CASE WHEN t.total > 0 THEN t.total END)
+         ELSE (CASE WHEN n.customers > 0 THEN n.customers END) END AS audience
+FROM raw_campaigns c LEFT JOIN counts_named n ON n.segment = c.segment, (SELECT sum(customers) AS total FROM counts_named) t""")
+q("campaign_audience", O.sql("SELECT * FROM camp_aud", "camp_aud"))(
+    lambda s, d: CP.campaign_audience(A.raw_campaigns(s, d), _counts_named(s, d)))
+q("cap_recipients", O.sql("""SELECT c.id, greatest(0, CASE WHEN a.audience IS NOT NULL AND c.recipients > a.audience THEN a.audience
+    ELSE c.recipients END) AS recipients FROM raw_campaigns c JOIN camp_aud a USING (id)""", "raw_campaigns", "camp_aud"))(
+    lambda s, d: CP.campaign_audience(A.raw_campaigns(s, d), _counts_named(s, d)).join(A.raw_campaigns(s, d).select("id", "recipients"), "id")
+    .select("id", CP.cap_recipients("recipients", "audience").alias("recipients")))
+O.cte("links", ["raw_campaigns", "raw_sends"], """
+SELECT s.campaign_id AS campaign, s.id AS send_id, s.kind, s.status FROM raw_sends s JOIN raw_campaigns c ON c.id = s.campaign_id
+UNION ALL
+SELECT c.id, s.id, s.kind, s.status FROM raw_sends s JOIN raw_campaigns c
+  ON s.campaign_id IS NULL AND s.segment = c.segment
+ AND ((s.kind = 'email' AND s.subject = COALESCE(c.subject, c.id)) OR (s.kind = 'whatsapp' AND s.message = COALESCE(c.body, c.subject, '')))""")
+q("link_sends", O.sql("SELECT * FROM links", "links"))(lambda s, d: CP.link_sends(A.raw_campaigns(s, d), A.raw_sends(s, d)))
+q("campaign_status_rollup", O.sql("""SELECT c.id, c.segment, c.status AS old_status,
+    CASE WHEN r.all_sent IS NULL THEN c.status WHEN r.all_sent THEN 'sent' WHEN r.all_failed THEN 'cancelled' ELSE 'pending' END AS status
+FROM raw_campaigns c LEFT JOIN (SELECT campaign_id AS id, bool_and(status = 'sent') AS all_sent, bool_and(status = 'failed') AS all_failed
+                                FROM raw_sends WHERE campaign_id IS NOT NULL GROUP BY 1) r USING (id)""", "raw_campaigns", "raw_sends"))(
+    lambda s, d: CP.campaign_status_rollup(A.raw_campaigns(s, d), A.raw_sends(s, d)))
+q("active_campaigns", O.sql("""SELECT c.* FROM raw_campaigns c LEFT JOIN (SELECT DISTINCT segment AS s FROM seg_names) a ON a.s = c.segment
+WHERE c.status <> 'pending' OR a.s IS NOT NULL OR c.segment = 'All Customers'""", "raw_campaigns", "seg_names"))(
+    lambda s, d: CP.active_campaigns(A.raw_campaigns(s, d), M.name_segments(Inputs(s, d).segf, 4).select(F.col("name").alias("segment"))))
+q("removed_segments", O.sql("""SELECT DISTINCT name AS segment FROM (VALUES """ + ", ".join(
+    f"('{r[0]}')" for r in __import__("cohortlab.functions.fixed", fromlist=["x"]).SEGMENT_TEMPLATES[7]) + """) t(name)
+WHERE name NOT IN (SELECT segment FROM seg_names)""", "seg_names"))(
+    lambda s, d: CP.removed_segments(M.templates(s, 7).select(F.col("name").alias("segment")),
+                                     M.name_segments(Inputs(s, d).segf, 4).select(F.col("name").alias("segment"))))
+q("search_campaigns", O.sql("""SELECT * FROM raw_campaigns WHERE status = 'sent' AND (COALESCE(contains(lower(segment), 'offer 1'), false)
+    OR COALESCE(contains(lower(channel), 'offer 1'), false) OR COALESCE(contains(lower(subject), 'offer 1'), false))""", "raw_campaigns"))(
+    lambda s, d: CP.search_campaigns(A.raw_campaigns(s, d), q="Offer 1", status="sent"))
+q("campaign_counts", O.sql("SELECT status, count(*) AS n FROM raw_campaigns GROUP BY 1", "raw_campaigns"))(
+    lambda s, d: CP.campaign_counts(A.raw_campaigns(s, d)))
+q("normalize_channel", O.sql("""SELECT id, CASE WHEN contains(c, 'whatsapp') AND contains(c, 'email') THEN 'email-whatsapp'
+    WHEN contains(c, 'whatsapp') THEN 'whatsapp' WHEN contains(c, 'email') THEN 'email' WHEN contains(c, 'sms') THEN 'sms'
+    WHEN contains(c, 'push') THEN 'push' ELSE 'default' END AS channel_kind
+FROM (SELECT id, regexp_replace(regexp_replace(lower(COALESCE(channel, '')), '\\s+', '', 'g'), '\\+', '-', 'g') AS c FROM raw_campaigns)""",
+                            "raw_campaigns"))(
+    lambda s, d: A.raw_campaigns(s, d).select("id", CP.normalize_channel("channel").alias("channel_kind")))
+q("build_send_list", O.sql("""SELECT c.id AS campaign_id, x.customer_id, x.phone FROM raw_campaigns c JOIN
+    (SELECT customer_id, phone, segment FROM scored UNION ALL SELECT customer_id, phone, 'All Customers' FROM scored) x
+    ON x.segment = c.segment""", "raw_campaigns", "scored"))(
+    lambda s, d: CP.build_send_list(_scored(s, d), A.raw_campaigns(s, d)))
+q("expand_campaign_sends", O.sql("""SELECT id AS campaign_id, 'email' AS kind, segment, COALESCE(subject, id) AS subject,
+    CAST(NULL AS VARCHAR) AS message, COALESCE(recipients, 0) AS recipients, 'queued' AS status, created_at
+FROM raw_campaigns WHERE contains(lower(COALESCE(channel, '')), 'email')
+UNION ALL SELECT id, 'whatsapp', segment, NULL, COALESCE(body, subject, ''), COALESCE(recipients, 0), 'queued', created_at
+FROM raw_campaigns WHERE contains(lower(COALESCE(channel, '')), 'whatsapp')""", "raw_campaigns"))(
+    lambda s, d: CP.expand_campaign_sends(A.raw_campaigns(s, d)))
+q("propagate_campaign_status", O.sql("""SELECT l.send_id, l.campaign, l.kind, l.status AS old_status,
+    CASE WHEN c.status = 'sent' THEN 'sent' WHEN c.status = 'cancelled' THEN 'failed' ELSE 'queued' END AS status
+FROM links l JOIN raw_campaigns c ON c.id = l.campaign""", "links", "raw_campaigns"))(
+    lambda s, d: CP.propagate_campaign_status(A.raw_campaigns(s, d), A.raw_sends(s, d)))
+q("merge_new_campaigns", O.sql("""SELECT * FROM raw_campaigns WHERE status = 'sent'
+UNION ALL SELECT * FROM raw_campaigns WHERE id NOT IN (SELECT id FROM raw_campaigns WHERE status = 'sent')""", "raw_campaigns"))(
+    lambda s, d: CP.merge_new_campaigns(A.raw_campaigns(s, d).filter(F.col("status") == "sent"), A.raw_campaigns(s, d)))
+
+# ---- T: text over the conversations table -----------------------------------------------
+from cohortlab.functions.columns import ACCENTS_FROM as _AF, ACCENTS_TO as _AT  # noqa: E402
+
+
+def _norm_sql(col):
+    return (f"trim(regexp_replace(regexp_replace(regexp_replace(translate(lower({col}), '{_AF}', '{_AT}'), "
+            f"'[\\x{{0300}}-\\x{{036F}}]', '', 'g'), '[^A-Za-z0-9_\\s'']', ' ', 'g'), '\\s+', ' ', 'g'))")
+
+
+def _esc(x):
+    return x.replace("'", "''")
+
+
+def _intent_sql(n):
+    parts = []
+    for intent, kws, excl in _RULES:
+        has = " OR ".join(f"contains({n}, '{_esc(k)}')" for k in kws)
+        cond = f"({has})" + (f" AND NOT ({' OR '.join(f'contains({n}, {chr(39)}{_esc(k)}{chr(39)})' for k in excl)})" if excl else "")
+        parts.append(f"WHEN {cond} THEN '{intent}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+def _conv(s, d):
+    return A.table(s, d, "conversations", "conv_id", "turn", "role", "text")
+
+
+q("normalize_text", O.sql(f"SELECT conv_id, turn, {_norm_sql('text')} AS normalized FROM conversations"))(
+    lambda s, d: TX.normalized_messages(_conv(s, d)).select("conv_id", "turn", "normalized"))
+q("tag_intents", O.sql(f"SELECT conv_id, turn, {_intent_sql('n')} AS intent FROM (SELECT conv_id, turn, {_norm_sql('text')} AS n "
+                       "FROM conversations WHERE role = 'user')"))(
+    lambda s, d: TX.tag_intents(_conv(s, d).filter(F.col("role") == "user")).select("conv_id", "turn", "intent"))
+q("intent_coverage", O.sql(f"""SELECT count(*) AS total, count(intent) AS answered_locally, count(*) - count(intent) AS not_answered
+FROM (SELECT {_intent_sql('n')} AS intent FROM (SELECT {_norm_sql('text')} AS n FROM conversations WHERE role = 'user'))"""))(
+    lambda s, d: TX.intent_coverage(TX.tag_intents(_conv(s, d).filter(F.col("role") == "user"))))
+q("extract_structured_reply", O.sql("""SELECT conv_id, turn,
+    COALESCE(CASE WHEN starts_with(trim(cl), '{') AND json_valid(cl) THEN json_extract_string(cl, '$.response') END,
+             CASE WHEN emb <> '' AND json_valid(emb) THEN json_extract_string(emb, '$.response') END, text) AS response,
+    CASE WHEN starts_with(trim(cl), '{') AND json_valid(cl) AND json_extract_string(cl, '$.response') IS NOT NULL
+              THEN json_extract_string(cl, '$.action')
+         WHEN emb <> '' AND json_valid(emb) AND json_extract_string(emb, '$.response') IS NOT NULL
+              THEN json_extract_string(emb, '$.action') END AS action
+FROM (SELECT conv_id, turn, text,
+             regexp_replace(trim(regexp_replace(trim(text), '(?m)^```(?:json)?\\s*', '', 'g')), '(?m)\\s*```$', '', 'g') AS cl,
+             regexp_extract(text, '(\\{[\\s\\S]*"response"[\\s\\S]*\\})', 1) AS emb
+      FROM conversations WHERE role = 'assistant')"""))(
+    lambda s, d: TX.extract_structured_reply(_conv(s, d).filter(F.col("role") == "assistant")).select("conv_id", "turn", "response", "action"))
+q("intent_answer_facts", O.sql(f"""SELECT p.seg, n.segment, p.n AS count, p.n * {D} / sum(p.n) OVER () AS pct, p.avg_spend, p.avg_aov,
+    p.avg_orders, p.avg_recency FROM prof p LEFT JOIN seg_names n USING (seg)""", "prof", "seg_names"))(
+    lambda s, d: TX.intent_answer_facts(G.segment_profile(Inputs(s, d).segf),
+                                        M.name_segments(Inputs(s, d).segf, 4).select("seg", F.col("name").alias("segment"))))
+q("recent_turns", O.sql("""SELECT * FROM (SELECT conv_id, turn, role, text,
+    CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS position FROM conversations) WHERE position <= 14"""))(
+    lambda s, d: TX.recent_turns(_conv(s, d)))
+
+# ---- X: stateful lockout (rows-only: a sequential fold per key) ---------------------------
+q("failed_attempt_lockout")(lambda s, d: LK.failed_attempt_lockout(A.table(s, d, "events", "event_id", "ts", "user_id", "event_type")))
+q("lockout_summary")(lambda s, d: LK.lockout_summary(
+    LK.failed_attempt_lockout(A.table(s, d, "events", "event_id", "ts", "user_id", "event_type"))))

@@ -207,3 +207,52 @@ def raw_countries(spark: SparkSession, d: str) -> DataFrame:
                     F.col("n_name").alias("name"),
                     F.when(F.col("n_nationkey") == 24, F.lit("true")).otherwise(F.lit("false")).alias("is_deleted"),
                     F.col("n_nationkey").alias("seq"))
+
+
+# ---- campaigns and sends (derived from the event stream: one campaign per props key k) ----
+SEGMENT_CHOICES = ["VIP", "Loyal", "At Risk", "Lost", "All Customers"]
+CHANNEL_CHOICES = ["Email", "WhatsApp", "Email + WhatsApp", "SMS"]
+CAMPAIGN_STATUS = ["pending", "sent", "cancelled"]
+
+
+def _pick(values, idx):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+
+
+def _campaign_cols(k):
+    return {
+        "segment": _pick(SEGMENT_CHOICES, k % 5),
+        "subject": F.when(k % 6 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Offer "), k.cast("string"))),
+        "body": F.when(k % 4 == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Hello "), k.cast("string"))),
+    }
+
+
+def raw_campaigns(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events", "ts", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    g = e.groupBy(k.alias("k")).agg(F.min("ts").alias("created_at"), F.count(F.lit(1)).alias("n"))
+    kk = F.col("k")
+    c = _campaign_cols(kk)
+    return g.select(F.concat(F.lit("c"), kk.cast("string")).alias("id"), c["segment"].alias("segment"),
+                    _pick(CHANNEL_CHOICES, kk % 4).alias("channel"), c["subject"].alias("subject"), c["body"].alias("body"),
+                    (kk % 30).cast("double").alias("discount"), _pick(CAMPAIGN_STATUS, kk % 3).alias("status"),
+                    "created_at", F.lit("admin").alias("created_by"), (F.col("n") * 10).alias("recipients"))
+
+
+def raw_sends(spark: SparkSession, d: str) -> DataFrame:
+    """Email (even event id) and WhatsApp (odd) sends; every 7th has no campaign id."""
+    e = table(spark, d, "events", "event_id", "ts", "event_type", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    c = _campaign_cols(k)
+    cid = F.concat(F.lit("c"), k.cast("string"))
+    email = F.col("event_id") % 2 == 0
+    return e.select(
+        F.concat(F.when(email, F.lit("e")).otherwise(F.lit("w")), F.col("event_id").cast("string")).alias("id"),
+        F.when(email, F.lit("email")).otherwise(F.lit("whatsapp")).alias("kind"),
+        F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("string")).otherwise(cid).alias("campaign_id"),
+        c["segment"].alias("segment"),
+        F.when(email, F.coalesce(c["subject"], cid)).alias("subject"),
+        F.when(~email, F.coalesce(c["body"], c["subject"], F.lit(""))).alias("message"),
+        F.when(F.col("event_type") == "error", F.lit("failed")).when(F.col("event_type") == "signup", F.lit("queued"))
+         .otherwise(F.lit("sent")).alias("status"),
+        F.col("ts").alias("created_at"), F.lit(1).alias("recipients"))
