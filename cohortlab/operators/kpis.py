@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from cohortlab.functions import fixed as FX
 from cohortlab.functions.columns import quarter_label, year_month
+from cohortlab.functions.frames import top_n_per_group
 from cohortlab.operators.features import with_ref_date
 
 
@@ -95,8 +96,8 @@ def quarterly_top_products(lines: DataFrame, ref: DataFrame, products: DataFrame
     qt = q.groupBy("quarter").agg(F.sum("net_amount").alias("q_total"))
     named = products.select("product_id", "name")
     pr = q.groupBy("quarter", "product_id").agg(F.sum("net_amount").alias("rev")).join(named, "product_id")
-    w = Window.partitionBy("quarter").orderBy(F.desc("rev"), F.asc("product_id"))
-    t = pr.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).join(F.broadcast(qt), "quarter")
+    t = top_n_per_group(pr, ["quarter"], [F.desc("rev"), F.asc("product_id")], top, "product_id") \
+        .join(F.broadcast(qt), "quarter")
     qtot = F.when(F.col("q_total") != 0, F.col("q_total").cast("double")).otherwise(F.lit(1.0))
     return t.select("quarter", "rank", "product_id", "name", F.col("rev").cast("double").alias("revenue"),
                     (F.col("rev").cast("double") / qtot * 100.0).alias("share"))

@@ -20,10 +20,11 @@ OUT_SCHEMA = "key long, ts timestamp_ntz, kind string, outcome string, fail_coun
 STATE_SCHEMA = "count int, window_start double, locked_until double"
 
 
-def attempts(events: DataFrame) -> DataFrame:
+def attempts(events: DataFrame, *extra: str) -> DataFrame:
     """Event log -> attempts: key = user, error = failure, purchase = success, others ignored."""
     kind = F.when(F.col("event_type") == "error", F.lit("failure")).when(F.col("event_type") == "purchase", F.lit("success"))
-    return events.select(F.col("user_id").alias("key"), "ts", "event_id", kind.alias("kind")).filter(F.col("kind").isNotNull())
+    return events.select(F.col("user_id").alias("key"), "ts", "event_id", kind.alias("kind"), *extra) \
+        .filter(F.col("kind").isNotNull())
 
 
 def fold(pdf: pd.DataFrame, state=(0, 0.0, 0.0), max_attempts: int = 5, window: int = 60, lockout: int = 300):
@@ -88,5 +89,7 @@ def lockout_stream(stream: DataFrame, max_attempts: int = 5, window: int = 60, l
         state.update(new)
         yield _frame(int(key[0]), rows)
 
-    a = attempts(stream.withWatermark("ts", watermark))
+    # watermarks need TIMESTAMP; the fold keeps the local (NTZ) event time
+    timed = stream.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", watermark)
+    a = attempts(timed, "event_time")
     return a.groupBy("key").applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
