@@ -112,7 +112,8 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM eve
 
 cte("raw_offers", [], """
 SELECT p_brand AS promotion_code, 'Offer ' || p_brand AS name, CAST(count(*) % 5 AS INTEGER) AS reduction_type,
-       avg(p_size) AS reduction_value, count(*) % 2 = 0 AS is_auto, count(*) AS usage_count, count(*) AS seq
+       avg(p_size) AS reduction_value, count(*) % 2 = 0 AS is_auto, count(*) AS usage_count,
+       CAST(substr(p_brand, 7, 10) AS INTEGER) AS seq
 FROM part GROUP BY p_brand""")
 
 cte("raw_countries", [], """

@@ -197,7 +197,7 @@ def raw_offers(spark: SparkSession, d: str) -> DataFrame:
         F.col("avg_size").alias("reduction_value"),
         (F.col("cnt") % 2 == 0).alias("is_auto"),
         F.col("cnt").alias("usage_count"),
-        F.col("cnt").alias("seq"),
+        F.substring("p_brand", 7, 10).cast("int").alias("seq"),      # source order = brand number
     )
 
 
