@@ -147,6 +147,12 @@ def product_category(products: DataFrame, categories: DataFrame | None = None) -
     return p.groupBy(F.col("product_id").cast("string").alias("product_id")).agg(F.min_by("category", "seq").alias("category"))
 
 
+def product_names(products: DataFrame) -> DataFrame:
+    """product_id -> cleaned display name, first row per product (the look-up K8 needs)."""
+    return products.groupBy(F.col("product_id").cast("string").alias("product_id")) \
+        .agg(F.min_by(F.coalesce(F.trim("title"), F.lit("")), "seq").alias("name"))
+
+
 def clean_products(products: DataFrame, categories: DataFrame | None = None,
                    ingredients: DataFrame | None = None, collections: DataFrame | None = None,
                    product_for_collection: DataFrame | None = None) -> DataFrame:

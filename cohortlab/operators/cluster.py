@@ -35,7 +35,7 @@ def model_input(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES) -> DataFr
 
 
 def fit_kmeans(vec: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 100, tol: float = 1e-4,
-               parallel: int = 4):
+               parallel: int = 10):
     """Best of ``n_init`` k-means|| fits (least training cost; ties -> lowest seed). The restarts
     are independent Spark jobs submitted concurrently. Returns the model."""
     from concurrent.futures import ThreadPoolExecutor

@@ -178,12 +178,12 @@ O.cte("cust_month", ["flines"], """
 SELECT customer_id, strftime(order_date, '%Y-%m') AS ym, sum(net_amount) AS spend FROM flines GROUP BY 1, 2""")
 q("segment_monthly_spend", O.sql("""SELECT seg, ym, CAST(sum(spend) AS DOUBLE) / count(*) AS avg_spend
 FROM cust_month JOIN segf USING (customer_id) GROUP BY 1, 2""", "cust_month", "segf"))(
-    lambda s, d: G.segment_monthly_spend(Inputs(s, d).flines, Inputs(s, d).segf))
+    lambda s, d: G.segment_monthly_spend(Inputs(s, d).flines, Inputs(s, d).seg_map))
 
 
 def _mact(s, d):
     I = Inputs(s, d)
-    return G.segment_monthly_active_pct(I.flines, I.segf)
+    return G.segment_monthly_active_pct(I.flines, I.seg_map)
 
 
 q("segment_monthly_active_pct", O.sql(f"""SELECT a.seg, a.ym, a.active, a.active * {D} / c.customers AS active_pct
@@ -192,7 +192,7 @@ JOIN (SELECT seg, count(*) AS customers FROM segf GROUP BY 1) c USING (seg)""",
 q("segment_category_share", O.sql(f"""SELECT seg, category, lines, rank, lines * {D} / sum(lines) OVER (PARTITION BY seg) AS share
 FROM (SELECT seg, category, lines, CAST(row_number() OVER (PARTITION BY seg ORDER BY lines DESC, category) AS INTEGER) AS rank
       FROM (SELECT seg, category, count(*) AS lines FROM flines JOIN segf USING (customer_id) GROUP BY 1, 2))
-WHERE rank <= 6""", "flines", "segf"))(lambda s, d: G.segment_category_share(Inputs(s, d).flines, Inputs(s, d).segf))
+WHERE rank <= 6""", "flines", "segf"))(lambda s, d: G.segment_category_share(Inputs(s, d).flines, Inputs(s, d).seg_map))
 O.cte("seg_net", ["flines", "returns", "segf"], """
 SELECT s.seg, CAST(COALESCE(g.gross, 0) AS DOUBLE) AS gross, CAST(COALESCE(r.refunds, 0) AS DOUBLE) AS refunds,
        CAST(COALESCE(g.gross, 0) - COALESCE(r.refunds, 0) AS DOUBLE) AS net_revenue
@@ -200,7 +200,7 @@ FROM (SELECT DISTINCT seg FROM segf) s
 LEFT JOIN (SELECT seg, sum(net_amount) AS gross FROM flines JOIN segf USING (customer_id) GROUP BY 1) g USING (seg)
 LEFT JOIN (SELECT seg, sum(refund_amount) AS refunds FROM returns JOIN segf USING (customer_id) GROUP BY 1) r USING (seg)""")
 q("segment_net_revenue", O.sql("SELECT * FROM seg_net", "seg_net"))(
-    lambda s, d: G.segment_net_revenue(Inputs(s, d).flines, Inputs(s, d).returns, Inputs(s, d).segf))
+    lambda s, d: G.segment_net_revenue(Inputs(s, d).flines, Inputs(s, d).returns, Inputs(s, d).seg_map))
 O.cte("seg_redis", ["seg_net", "flines", "returns", "segf"], """
 SELECT seg, CASE WHEN tot > 0 AND u <> 0 THEN net_revenue + u * (net_revenue / tot) ELSE net_revenue END AS net_revenue
 FROM (SELECT seg, net_revenue, sum(net_revenue) OVER () AS tot FROM seg_net),
@@ -209,7 +209,7 @@ FROM (SELECT seg, net_revenue, sum(net_revenue) OVER () AS tot FROM seg_net),
                             (SELECT customer_id FROM flines WHERE customer_id NOT IN (SELECT customer_id FROM segf))), 0)
              AS DOUBLE) AS u)""")
 q("redistribute_unassigned", O.sql("SELECT * FROM seg_redis", "seg_redis"))(
-    lambda s, d: G.redistribute_unassigned(Inputs(s, d).flines, Inputs(s, d).returns, Inputs(s, d).segf))
+    lambda s, d: G.redistribute_unassigned(Inputs(s, d).flines, Inputs(s, d).returns, Inputs(s, d).seg_map))
 O.cte("seg_scaled", ["seg_redis", "dedup_rev"], """
 SELECT seg, CASE WHEN t > 0 THEN round(v * (t / CASE WHEN sum(v) OVER () <> 0 THEN sum(v) OVER () ELSE 1.0 END), 2)
                  ELSE v END AS revenue, t AS target_total
@@ -218,7 +218,7 @@ FROM (SELECT seg, round(net_revenue, 2) AS v FROM seg_redis), (SELECT total_reve
 
 def _seg_scaled(s, d):
     I = Inputs(s, d)
-    return G.scale_to_total(G.redistribute_unassigned(I.flines, I.returns, I.segf), C.deduped_paid_revenue(I.payment_log))
+    return G.scale_to_total(G.redistribute_unassigned(I.flines, I.returns, I.seg_map), C.deduped_paid_revenue(I.payment_log))
 
 
 q("scale_to_total", O.sql("SELECT * FROM seg_scaled", "seg_scaled"))(_seg_scaled)
@@ -277,7 +277,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qtr ORDER BY rev DESC, product_i
       FROM (SELECT qtr, product_id, sum(net_amount) AS rev FROM last12 GROUP BY 1, 2) JOIN products pr USING (product_id)) p
 JOIN (SELECT qtr, sum(net_amount) AS q_total FROM last12 GROUP BY 1) t USING (qtr)
 WHERE p.rank <= 3""", "last12", "products"))(
-    lambda s, d: K.quarterly_top_products(Inputs(s, d).flines, Inputs(s, d).ref, Inputs(s, d).products))
+    lambda s, d: K.quarterly_top_products(Inputs(s, d).flines, Inputs(s, d).ref, Inputs(s, d).product_names))
 q("quarterly_top_categories", O.sql(f"""SELECT qtr AS quarter, CAST(rank AS INTEGER) AS rank, category AS name,
        CAST(rev AS DOUBLE) AS revenue,
        CAST(rev AS DOUBLE) / CASE WHEN q_total <> 0 THEN CAST(q_total AS DOUBLE) ELSE 1.0 END * {D} AS share
@@ -564,15 +564,15 @@ class _X:
 
     @property
     def cat_share(self):
-        return G.segment_category_share(self.I.flines, self.I.segf)
+        return G.segment_category_share(self.I.flines, self.I.seg_map)
 
     @property
     def seg_monthly(self):
-        return G.segment_monthly_spend(self.I.flines, self.I.segf)
+        return G.segment_monthly_spend(self.I.flines, self.I.seg_map)
 
 
 def _seg_drift(I):
-    return G.fix_rounding_drift(G.scale_to_total(G.redistribute_unassigned(I.flines, I.returns, I.segf),
+    return G.fix_rounding_drift(G.scale_to_total(G.redistribute_unassigned(I.flines, I.returns, I.seg_map),
                                                  C.deduped_paid_revenue(I.payment_log)))
 
 

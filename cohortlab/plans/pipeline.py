@@ -88,6 +88,17 @@ class Inputs:
     def features(self) -> DataFrame:
         return self._keep(FE.customer_features(self.flines, self.returns, self.customers, ref=self.ref), "features")
 
+    @cached_property
+    def seg_map(self) -> DataFrame:
+        """customer -> stand-in seg for every buying customer (the customers of the feature table,
+        without computing the features)."""
+        return self.flines.select("customer_id").distinct() \
+            .withColumn("seg", (F.col("customer_id").cast("long") % 4).cast("int"))
+
+    @cached_property
+    def product_names(self) -> DataFrame:
+        return C.product_names(A.raw_products(self.spark, self.d))
+
     @cached_property
     def segf(self) -> DataFrame:
         """Features with the deterministic segment stand-in ``seg = customer_id % 4``, so that
