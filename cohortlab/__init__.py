@@ -9,3 +9,14 @@ Layout:
 """
 
 __version__ = "0.1.0"
+
+# Functions shipped to Python workers (pandas UDF bodies) are pickled by value, so executors
+# do not need this package on their path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to --py-files deployment
+    pass
