@@ -146,6 +146,11 @@ def peak_month(monthly_revenue: DataFrame) -> DataFrame:
     return best.select(F.col("ym").alias("peak_month"), F.col("revenue").alias("peak_revenue")).crossJoin(rng)
 
 
+def recent_months(monthly_revenue: DataFrame, n: int = 14) -> DataFrame:
+    """The last ``n`` present months of the revenue series."""
+    return monthly_revenue.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("ym")))).filter(F.col("pos") <= n)
+
+
 # D15 / D16 --------------------------------------------------------------------------------
 def segment_peak_trough(seg_monthly: DataFrame) -> DataFrame:
     """Per segment: best month and the lowest month with positive spend."""

@@ -895,3 +895,7 @@ q("recent_turns", O.sql("""SELECT * FROM (SELECT conv_id, turn, role, text,
 q("failed_attempt_lockout")(lambda s, d: LK.failed_attempt_lockout(A.table(s, d, "events", "event_id", "ts", "user_id", "event_type")))
 q("lockout_summary")(lambda s, d: LK.lockout_summary(
     LK.failed_attempt_lockout(A.table(s, d, "events", "event_id", "ts", "user_id", "event_type"))))
+dq("recent_months", """SELECT ym, revenue, CAST(pos AS INTEGER) AS pos FROM (SELECT ym, revenue, row_number() OVER (ORDER BY ym DESC) AS pos
+FROM mrev) WHERE pos <= 14""", ["mrev"], lambda x: DI.recent_months(x.monthly, 14))
+dq("segment_top5_categories", "SELECT seg, rank, category, share FROM catshare WHERE rank <= 5", ["catshare"],
+   lambda x: DI.segment_top_categories(x.cat_share, 5))
