@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from cohortlab.functions import fixed as FX
 from cohortlab.functions.columns import div_or_zero, floor_days, month_index
 from cohortlab.operators.cleaning import coerce_lines, drop_ghost_customers
+from cohortlab.session import materialize
 
 WINDOWS = [(30, "30"), (90, "90"), (365, "365")]
 
@@ -111,11 +112,17 @@ def returns_per_customer(returns: DataFrame) -> DataFrame:
 
 
 def customer_features(lines: DataFrame, returns: DataFrame, customers: DataFrame | None = None,
-                      ref: DataFrame | None = None) -> DataFrame:
-    """One row per buying customer with F1-F21."""
+                      ref: DataFrame | None = None, keep_order_grain: bool = True) -> DataFrame:
+    """One row per buying customer with F1-F21.
+
+    ``keep_order_grain`` writes the (customer, order) frame once to the shared checkpoint folder:
+    four branches (totals, slope, channel, gaps) read it, and it is several times smaller than
+    the lines."""
     lines = prepared_lines(lines)
     ref = ref if ref is not None else reference_date(lines)
     o = order_grain(lines, ref)
+    if keep_order_grain:
+        o = materialize(o, "order_grain")
     base = o.groupBy("customer_id").agg(
         F.sum("o_net").alias("_spend"),
         F.count(F.lit(1)).alias("order_count"),
