@@ -22,6 +22,21 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(store(format_turns(rows.unionByName(more)), "chat-pieces"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlab.llm.decontam import find_leaks
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlab.llm.toxicity import score_toxicity
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlab.llm.probminhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlab.llm.line_rules import clean_lines
     return clean_lines(table(spark, sf_dir, "documents"), with_text=False)
@@ -32,5 +47,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat_format, op9_line_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_chat_format, op3_decontamination, op4_toxicity, op5_near_duplicates, op9_line_rules, op10_secret_scan)}
 ORACLE = {"op1_mixing": sql.OP1, "op2_chat_format": sql.OP2, "op9_line_rules": sql.OP9, "op10_secret_scan": sql.OP10}
