@@ -37,6 +37,21 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlab.llm.license_scan import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlab.llm.urls import judge_urls
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlab.llm.quality import score_quality
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlab.llm.line_rules import clean_lines
     return clean_lines(table(spark, sf_dir, "documents"), with_text=False)
@@ -48,5 +63,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mixing, op2_chat_format, op3_decontamination, op4_toxicity, op5_near_duplicates, op9_line_rules, op10_secret_scan)}
-ORACLE = {"op1_mixing": sql.OP1, "op2_chat_format": sql.OP2, "op9_line_rules": sql.OP9, "op10_secret_scan": sql.OP10}
+    op1_mixing, op2_chat_format, op3_decontamination, op4_toxicity, op5_near_duplicates, op6_license_scan,
+    op7_url_filter, op8_quality, op9_line_rules, op10_secret_scan)}
+ORACLE = {
+    "op1_mixing": sql.OP1, "op2_chat_format": sql.OP2, "op6_license_scan": sql.OP6, "op9_line_rules": sql.OP9, "op10_secret_scan": sql.OP10,
+}

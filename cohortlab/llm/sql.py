@@ -114,3 +114,33 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN g USING (doc_id)
 """
+
+
+def _op6() -> str:
+    """The known texts come from the operator's list of fixed values, the canonical form is written anew."""
+    from cohortlab.llm.license_scan import KNOWN
+
+    def canonical(x: str) -> str:
+        x = f"regexp_replace({x}, '(?im)^[ \\t/*#;-]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
+        x = f"replace(regexp_replace({x}, '(?i)all rights reserved\\.?', '', 'g'), '&', ' and ')"
+        x = f"' ' || regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g') || ' '"
+        for a, b in (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
+                     ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("favour", "favor"),
+                     ("organisation", "organization"), ("per cent", "percent"), ("https", "http")):
+            x = f"replace({x}, ' {a} ', ' {b} ')"
+        return f"md5(trim({x}))"
+
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    return f"""
+WITH k AS (SELECT {canonical("text")} AS digest, min(license) AS license FROM (VALUES {values}) AS v(license, text) GROUP BY 1),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, {canonical("line")} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '(?i)licen[cs]e|public domain|permission|redistribution|source code form')),
+n AS (SELECT doc_id, count(*)::BIGINT AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l JOIN k USING (digest) GROUP BY doc_id),
+w AS (SELECT doc_id, {canonical("text")} AS digest FROM d)
+SELECT w.doc_id, w.digest, k.license, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
+FROM w LEFT JOIN k USING (digest) LEFT JOIN n USING (doc_id)
+"""
+
+
+OP6 = _op6()
