@@ -1,13 +1,14 @@
 """Cleaning, look-ups and the order-line build.
 
-Look-up tables (countries, offers, gateways, categories, collections) are bounded by the
-business catalogue, not by the order volume; they are joined with ``broadcast`` only where
-their size is bounded by construction (countries, offer codes); products and customers grow
-with the data and are joined plainly so AQE picks the strategy from runtime sizes.
+Only the country list is broadcast by a hint, being a fixed list. Offers, gateways, categories,
+products and customers grow with the data and are joined plainly, so that their measured sizes
+decide how.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,7 +134,7 @@ def first_category(products: DataFrame, categories: DataFrame | None, slot_cols:
     p = products.withColumn("_cat_raw", F.try_element_at(valid, F.lit(1)))
     if categories is not None:
         cats = categories.select(F.col("category_id").cast("string").alias("_cat_raw"), F.col("name").alias("_cat_name"))
-        p = p.join(F.broadcast(cats), "_cat_raw", "left")
+        p = p.join(cats, "_cat_raw", "left")
     else:
         p = p.withColumn("_cat_name", F.lit(None).cast("string"))
     return p.withColumn("category", F.coalesce("_cat_name", "_cat_raw", F.lit(FX.DEFAULT_CATEGORY))) \
@@ -200,33 +201,46 @@ def _num(c, default: float) -> F.Column:
     return F.when(v.isNull() | F.isnan(v), F.lit(default)).otherwise(v)
 
 
-def unpivot_items(wide: DataFrame, slots: int = FX.MAX_ITEM_SLOTS, prefix: str = "item") -> DataFrame:
-    """Item slots flattened in columns -> one row per valid item (holes skipped), one narrow stage.
+def item_fields(f) -> list[F.Column]:
+    """The typed fields of an item; ``f(name, default)`` gives the raw column. A missing, unreadable or
+    smaller quantity than 1 counts as 1, as the export has it."""
+    return [F.trim(f("product_id", None).cast("string")).alias("product_id"),
+            _num(f("price", None), 0.0).alias("price"), _num(f("sale_price", None), 0.0).alias("sale_price"),
+            text_true(f("in_sale", "False")).alias("in_sale"),
+            F.greatest(_num(f("qty", "1"), 1.0), F.lit(1.0)).alias("qty"),
+            _num(f("discount_value", None), 0.0).alias("discount_value")]
+
+
+def clean_items(items: DataFrame) -> DataFrame:
+    """The long form of the items, typed as ``unpivot_items`` types the wide one; invalid items go."""
+    f = lambda name, default: F.col(name) if name in items.columns else F.lit(default)
+    return items.select("purchase_id", *item_fields(f)).filter(valid_item("product_id"))
+
+
+def unpivot_items(wide: DataFrame, prefix: str = "item") -> DataFrame:
+    """Item slots flattened in columns -> one row per valid item (holes skipped), one narrow stage. The
+    slots are those whose columns are present, however many.
 
     Output: purchase_id, slot, product_id, price, sale_price, in_sale, qty, discount_value.
     """
     present = set(wide.columns)
+    raw = {"product_id": "type_id", "qty": "quantity"}
+    slots = sorted(int(m.group(1)) for m in (re.fullmatch(rf"{re.escape(prefix)}(\d+)_type_id", c) for c in present) if m)
+
+    def f(i):
+        def column(name, default):
+            c = f"{prefix}{i}_{raw.get(name, name)}"
+            return F.col(c) if c in present else F.lit(default)
+        return column
 
-    def f(i, name, default=None):
-        c = f"{prefix}{i}_{name}"
-        return F.col(c) if c in present else F.lit(default)
-
-    arr = F.array(*[F.struct(
-        F.lit(i).alias("slot"),
-        F.trim(f(i, "type_id").cast("string")).alias("product_id"),
-        _num(f(i, "price"), 0.0).alias("price"),
-        _num(f(i, "sale_price"), 0.0).alias("sale_price"),
-        text_true(f(i, "in_sale", "False")).alias("in_sale"),
-        F.greatest(_num(f(i, "quantity", "1"), 1.0), F.lit(1.0)).alias("qty"),
-        _num(f(i, "discount_value"), 0.0).alias("discount_value"),
-    ) for i in range(slots) if f"{prefix}{i}_type_id" in present])
+    arr = F.array(*[F.struct(F.lit(i).alias("slot"), *item_fields(f(i))) for i in slots])
     valid = F.filter(arr, lambda s: valid_item(s["product_id"]))
     return wide.select("purchase_id", F.inline(valid))
 
 
 # ---- C10 / C10a -------------------------------------------------------------------------
 def paid_orders(purchases: DataFrame) -> DataFrame:
-    """Status paid and a real (non-guest) user id. Both predicates reach the parquet scan."""
+    """Status paid and a real (non-guest) user id."""
     return purchases.filter(F.col("status").isin(*FX.STATUS_PAID) & ~is_guest("user_id"))
 
 
@@ -252,22 +266,23 @@ def map_codes(orders: DataFrame, countries: DataFrame | None = None) -> DataFram
 
 
 def enrich_promo(orders: DataFrame, offers: DataFrame | None = None, payment_log: DataFrame | None = None) -> DataFrame:
-    """Promo code -> offer facts and most-used gateway, with empty defaults."""
-    o = orders.withColumn("promo_code", F.coalesce(F.trim("promotion_code"), F.lit("")))
+    """Promo code -> offer facts and most-used gateway, with empty defaults. The look-ups grow with the
+    data, so their sizes decide how they are joined; orders without a code keep a null key, which
+    no join shuffles to one place."""
+    o = orders.withColumn("_code", F.when(F.trim("promotion_code") != "", F.trim("promotion_code")))
     if offers is not None:
-        o = o.join(F.broadcast(offer_lookup(offers).drop("offer_usage_count"))
-                   .withColumnRenamed("promotion_code", "promo_code"), "promo_code", "left")
+        o = o.join(offer_lookup(offers).drop("offer_usage_count").withColumnRenamed("promotion_code", "_code"), "_code", "left")
     else:
         for c, t in [("offer_name", "string"), ("reduction_type", "string"), ("reduction_value", "double"),
                      ("is_auto_offer", "boolean")]:
             o = o.withColumn(c, F.lit(None).cast(t))
     if payment_log is not None:
-        o = o.join(F.broadcast(gateway_by_promo(payment_log)).withColumnRenamed("promotion_code", "promo_code"),
-                   "promo_code", "left")
+        o = o.join(gateway_by_promo(payment_log).withColumnRenamed("promotion_code", "_code"), "_code", "left")
     else:
         o = o.withColumn("payment_gateway", F.lit(None).cast("string"))
     return o.select(*[c for c in o.columns if c not in ("offer_name", "reduction_type", "reduction_value",
-                                                        "is_auto_offer", "payment_gateway")],
+                                                        "is_auto_offer", "payment_gateway", "_code")],
+                    F.coalesce("_code", F.lit("")).alias("promo_code"),
                     F.coalesce("payment_gateway", F.lit("")).alias("payment_gateway"),
                     F.coalesce("offer_name", F.lit("")).alias("offer_name"),
                     F.coalesce("reduction_type", F.lit("")).alias("reduction_type"),
@@ -328,37 +343,42 @@ LINE_COLUMNS = ["order_id", "customer_id", "order_date", "net_amount", "discount
                 "reduction_value", "is_auto_offer"]
 
 
+PROMO_COLUMNS = {"payment_gateway", "offer_name", "reduction_type", "reduction_value", "is_auto_offer"}
+
+
 def clean_orders(purchases: DataFrame, items: DataFrame, products: DataFrame | None = None,
                  countries: DataFrame | None = None, payment_log: DataFrame | None = None,
-                 offers: DataFrame | None = None) -> DataFrame:
+                 offers: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """Paid purchases + their items -> one cleaned row per order line.
 
-    Plan: filter (pushed to the scan) -> shuffle join orders⋈items on order id -> window
-    allocation on the same partitioning -> drop net <= 0 -> de-duplicate inside that
-    partitioning (the dedup key contains the order id, so no new exchange) -> attach the
-    per-order look-ups (broadcast, bounded) and the product category.
+    Plan: filter -> shuffle join orders⋈items on order id -> window allocation on the same
+    partitioning -> drop net <= 0 -> de-duplicate inside that partitioning (the dedup key contains
+    the order id, so no new exchange) -> attach the per-order look-ups and the product category.
+    ``columns`` names the output columns wanted; look-ups that none of them needs are not joined.
     """
+    wanted = list(LINE_COLUMNS) if columns is None else list(columns)
     o = paid_orders(purchases).select(
         F.col("purchase_id").cast("string").alias("order_id"),
         F.col("user_id").cast("string").alias("customer_id"),
         F.col("creation_date").alias("order_date"),
         F.coalesce(F.col("full_amount").cast("double"), F.lit(0.0)).alias("full_amount"),
         "payment_method", "source", "country_id", "promotion_code")
-    it = items.withColumn("product_id", F.trim(F.col("product_id").cast("string"))).filter(valid_item("product_id")) \
-        .select(F.col("purchase_id").cast("string").alias("order_id"), "product_id", "price", "sale_price", "in_sale", "qty")
+    it = clean_items(items).withColumnRenamed("purchase_id", "order_id").withColumn("order_id", F.col("order_id").cast("string")) \
+        .drop("discount_value")
     x = allocate_order_total(o.join(it, "order_id", "left"))
     x = x.withColumn("net_amount", money("net_amount")).filter(F.col("net_amount") > 0) \
         .select("order_id", "customer_id", "order_date", "net_amount", "discount_pct", "product_id",
                 "payment_method", "source", "country_id", "promotion_code").dropDuplicates()
-    x = map_codes(x, countries)
-    x = enrich_promo(x, offers, payment_log)
-    if products is not None:
+    x = map_codes(x, countries if "country" in wanted else None)
+    promo = PROMO_COLUMNS & set(wanted)
+    x = enrich_promo(x, offers if promo - {"payment_gateway"} else None, payment_log if "payment_gateway" in promo else None)
+    if products is not None and "category" in wanted:
         x = x.join(products.select("product_id", "category"), "product_id", "left")
     else:
         x = x.withColumn("category", F.lit(None).cast("string"))
     x = x.withColumn("category", F.coalesce("category", F.lit(FX.DEFAULT_CATEGORY))) \
         .withColumn("source", F.col("source_name"))
-    return x.select(*LINE_COLUMNS)
+    return x.select(*wanted)
 
 
 # ---- C17 --------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ Model fits use ``pyspark.ml`` on a cached vector frame; only model facts sized b
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -34,7 +34,7 @@ def model_input(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES) -> DataFr
 # ---- M3 / M4 ----------------------------------------------------------------------------
 
 
-def fit_kmeans(vec: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 100, tol: float = 1e-4,
+def fit_kmeans(vec: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
                parallel: int = 10):
     """Best of ``n_init`` k-means|| fits (least training cost; ties -> lowest seed). The restarts
     are independent Spark jobs submitted concurrently. Returns the model."""
@@ -59,17 +59,18 @@ def kmeans_segments(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int =
     return model.transform(vec).select("customer_id", F.col("cluster").cast("int").alias("cluster"), *cols)
 
 
-def k_sweep(scaled: DataFrame, ks=range(2, 8), seed: int = 42, n_init: int = 10,
-            cols: list[str] = FX.FEATURE_NAMES, sample: int = FX.SILHOUETTE_SAMPLE) -> DataFrame:
-    """Inertia and Euclidean silhouette (bounded sample) per K (M4)."""
+def k_sweep(scaled: DataFrame, ks=range(2, 9), seed: int = 42, n_init: int = 10,
+            cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
+    """Inertia and silhouette over all rows per K, 2 to 8 (M4); naming alone is limited to 7."""
     from cohortlab.operators.scores import silhouette
     vec = model_input(scaled, cols)
     rows = []
     for k in ks:
         m = fit_kmeans(vec, k, seed, n_init)
         labelled = m.transform(vec).select("customer_id", F.col("cluster").cast("int").alias("cluster"), *cols)
-        sil = silhouette(labelled, "cluster", cols, sample=sample, seed=seed).first()["silhouette"]
+        sil = silhouette(labelled, "cluster", cols).first()["silhouette"]
         rows.append((int(k), float(m.summary.trainingCost), None if sil is None else float(sil)))
+    vec.unpersist()
     return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
@@ -197,47 +198,12 @@ def gmm_segments(scaled: DataFrame, k: int = 4, seed: int = 42, cols: list[str]
     return m.transform(vec).select("customer_id", F.col("cluster").cast("int").alias("cluster"), *cols)
 
 
-def ward_merge(centroids: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Ward agglomeration of weighted centroids down to k groups (Lance-Williams updates on a
-    bounded m x m matrix; m <= micro-cluster count). Returns the group of each centroid."""
-    m = len(centroids)
-    groups = [[i] for i in range(m)]
-    c = centroids.astype(float).copy()
-    w = weights.astype(float).copy()
-    alive = list(range(m))
-    while len(alive) > k:
-        best, pair = None, None
-        for a_i, a in enumerate(alive):
-            for b in alive[a_i + 1:]:
-                d = (w[a] * w[b] / (w[a] + w[b])) * float(np.sum((c[a] - c[b]) ** 2))
-                if best is None or d < best:
-                    best, pair = d, (a, b)
-        a, b = pair
-        c[a] = (w[a] * c[a] + w[b] * c[b]) / (w[a] + w[b])
-        w[a] += w[b]
-        groups[a] += groups[b]
-        alive.remove(b)
-    label = np.zeros(m, dtype=int)
-    for g, a in enumerate(sorted(alive, key=lambda x: min(groups[x]))):
-        for i in groups[a]:
-            label[i] = g
-    return label
-
-
-def hierarchical_segments(scaled: DataFrame, k: int = 4, micro: int = 200, seed: int = 42,
-                          cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
-    """Ward clustering at scale: K-Means into <= ``micro`` micro-clusters on Spark, Ward merge of
-    their weighted centroids (a bounded model fact), labels mapped back by broadcast (M11)."""
+def hierarchical_segments(scaled: DataFrame, k: int = 4, seed: int = 42, cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
+    """Hierarchical labels by bisecting K-Means over every row (M11): the divisive form, whose splits run
+    on Spark at any size."""
     vec = model_input(scaled, cols)
-    n = vec.count()
-    m = KMeans(k=int(min(micro, max(k, n))), seed=seed, featuresCol="features_vec", predictionCol="micro").fit(vec)
-    lab = m.transform(vec).select("customer_id", F.col("micro").cast("int").alias("micro"), *cols)
-    sizes = {r["micro"]: r["n"] for r in lab.groupBy("micro").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cent = np.array(m.clusterCenters())
-    ids = sorted(sizes)
-    groups = ward_merge(cent[ids], np.array([sizes[i] for i in ids]), k)
-    mp = scaled.sparkSession.createDataFrame([(int(i), int(g)) for i, g in zip(ids, groups)], "micro int, cluster int")
-    return lab.join(F.broadcast(mp), "micro").select("customer_id", "cluster", *cols)
+    m = BisectingKMeans(k=k, seed=seed, featuresCol="features_vec", predictionCol="cluster").fit(vec)
+    return m.transform(vec).select("customer_id", F.col("cluster").cast("int").alias("cluster"), *cols)
 
 
 # ---- M18 --------------------------------------------------------------------------------

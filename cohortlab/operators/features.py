@@ -39,33 +39,56 @@ def prepared_lines(lines: DataFrame) -> DataFrame:
     return coerce_lines(drop_ghost_customers(lines))
 
 
-def order_grain(lines: DataFrame, ref: DataFrame) -> DataFrame:
-    """(customer, order) facts incl. window flags; the only order-grain pass over lines."""
-    x = with_ref_date(lines, ref)
+class needs:  # noqa: N801
+    """What a choice of features (all by default) needs: branches, line columns and how often the
+    lines and the order grain are read."""
+
+    def __init__(self, columns=None):
+        w = None if columns is None else set(columns)
+        has = lambda *names: w is None or bool(w & set(names))
+        self.windows = has("spend_30", "spend_90", "spend_365", "orders_30", "orders_90", "orders_365", "spend_momentum")
+        self.ref = self.windows or has("recency")
+        self.slope = has("active_months", "clv_slope", "spend_velocity", "projected_annual_value")
+        self.categories = has("unique_cats", "top_cat", "diversity")
+        self.products = has("unique_prods")
+        self.channels = has("top_channel")
+        self.gaps = has("ipt")
+        self.returns = has("return_rate", "refund_ratio", "net_revenue")
+        self.profile = has("gender", "region", "acquisition_channel", "phone")
+        self.line_columns = ["customer_id", "order_id", "order_date", "net_amount", "discount_pct", "channel",
+                             *["category"] * self.categories, *["product_id"] * self.products]
+        self.line_reads = 1 + self.ref + self.categories + self.products
+        self.grain_reads = 1 + self.slope + self.channels + self.gaps
+
+
+def order_grain(lines: DataFrame, ref: DataFrame | None) -> DataFrame:
+    """(customer, order) facts, with window flags where there is a reference date; the only order-grain
+    pass over lines."""
+    x = lines if ref is None else with_ref_date(lines, ref)
     aggs = [F.sum("net_amount").alias("o_net"),
             F.count(F.lit(1)).alias("o_lines"),
             F.sum(F.col("discount_pct").cast("decimal(12,2)")).alias("o_disc"),
             F.min("order_date").alias("o_first"),
             F.max("order_date").alias("o_last"),
             F.min("channel").alias("channel")]
-    for days, sfx in WINDOWS:
+    for days, sfx in WINDOWS if ref is not None else []:
         inwin = F.col("order_date") >= F.col("ref_date") - F.make_dt_interval(F.lit(days))
         aggs.append(F.sum(F.when(inwin, F.col("net_amount"))).alias(f"o_spend_{sfx}"))
         aggs.append(F.max(inwin.cast("int")).alias(f"o_in_{sfx}"))
     return x.groupBy("customer_id", "order_id").agg(*aggs)
 
 
-def clv_slope_frame(orders: DataFrame, ref: DataFrame) -> DataFrame:
+def clv_slope_frame(orders: DataFrame) -> DataFrame:
     """Least-squares slope of monthly spend on month number (F14) and active months.
 
     Closed form over exact sums: slope = (nΣxy − ΣxΣy) / (nΣx² − (Σx)²); the slope is
-    invariant to shifting x, so x = months before the reference month keeps the exact
+    invariant to shifting x, so x = months since January 2000 keeps the exact
     integer sums small. Fewer than two months -> 0. One (customer, month) row per active
     month, then one customer aggregate.
     """
     m = orders.groupBy("customer_id", month_index("o_first").alias("mi")) \
         .agg(F.sum("o_net").alias("y"))
-    m = with_ref_date(m, ref).withColumn("mi", F.col("mi") - month_index("ref_date"))
+    m = m.withColumn("mi", F.col("mi") - month_index(F.lit("2000-01-01").cast("timestamp")))
     d38 = "decimal(38,0)"
     y = (F.col("y") * 1000).cast(d38)        # exact: net has 3 decimals
     x = F.col("mi").cast(d38)
@@ -102,7 +125,8 @@ def top_per_customer(lines: DataFrame, value: str, distinct_name: str, top_name:
     c = lines.groupBy("customer_id", value).agg(cnt.alias("_n"))
     aggs = [F.count(F.col(value)).alias(distinct_name)]
     if top_name:
-        aggs.append(F.min_by(F.col(value), F.struct(-F.col("_n"), F.col(value))).alias(top_name))
+        known = F.when(F.col(value).isNotNull(), F.struct(-F.col("_n"), F.col(value)))   # a null never wins
+        aggs.append(F.min_by(F.col(value), known).alias(top_name))
     return c.groupBy("customer_id").agg(*aggs)
 
 
@@ -112,15 +136,18 @@ def returns_per_customer(returns: DataFrame) -> DataFrame:
 
 
 def customer_features(lines: DataFrame, returns: DataFrame, customers: DataFrame | None = None,
-                      ref: DataFrame | None = None, keep_order_grain: bool = True) -> DataFrame:
-    """One row per buying customer with F1-F21.
+                      ref: DataFrame | None = None, keep_order_grain: bool = True,
+                      columns: list[str] | None = None, zero_fill: bool = False) -> DataFrame:
+    """One row per buying customer with F1-F21 (F22), or only ``columns`` of them, built from the
+    branches that these need. ``zero_fill`` gives 0 for a spend momentum that is undefined.
 
     ``keep_order_grain`` writes the (customer, order) frame once to the shared checkpoint folder:
     four branches (totals, slope, channel, gaps) read it, and it is several times smaller than
     the lines."""
+    need = needs(columns)
     lines = prepared_lines(lines)
-    ref = ref if ref is not None else reference_date(lines)
-    o = order_grain(lines, ref)
+    ref = (ref if ref is not None else reference_date(lines)) if need.ref else None
+    o = order_grain(lines, ref if need.windows else None)
     if keep_order_grain:
         o = materialize(o, "order_grain")
     base = o.groupBy("customer_id").agg(
@@ -130,23 +157,31 @@ def customer_features(lines: DataFrame, returns: DataFrame, customers: DataFrame
         F.sum("o_disc").alias("_disc"),
         F.min("o_first").alias("_first"),
         F.max("o_last").alias("_last"),
-        *[F.sum(f"o_spend_{s}").alias(f"_sp{s}") for _, s in WINDOWS],
-        *[F.sum(f"o_in_{s}").alias(f"orders_{s}") for _, s in WINDOWS],
+        *[F.sum(f"o_spend_{s}").alias(f"_sp{s}") for _, s in WINDOWS if need.windows],
+        *[F.sum(f"o_in_{s}").alias(f"orders_{s}") for _, s in WINDOWS if need.windows],
     )
-    feat = (base
-            .join(clv_slope_frame(o, ref), "customer_id", "left")
-            .join(top_per_customer(lines, "category", "unique_cats", "top_cat"), "customer_id", "left")
-            .join(top_per_customer(lines, "product_id", "unique_prods", None), "customer_id", "left")
-            .join(top_per_customer(o, "channel", "_n_channels", "top_channel", weight="o_lines"), "customer_id", "left")
-            .join(inter_purchase_time(o), "customer_id", "left")
-            .join(returns_per_customer(returns), "customer_id", "left"))
-    feat = with_ref_date(feat, ref)
+    branches = [(need.slope, lambda: clv_slope_frame(o)),
+                (need.categories, lambda: top_per_customer(lines, "category", "unique_cats", "top_cat")),
+                (need.products, lambda: top_per_customer(lines, "product_id", "unique_prods", None)),
+                (need.channels, lambda: top_per_customer(o, "channel", "_n_channels", "top_channel", weight="o_lines")),
+                (need.gaps, lambda: inter_purchase_time(o)),
+                (need.returns, lambda: returns_per_customer(returns))]
+    feat = base
+    for wanted, branch in branches:
+        if wanted:
+            feat = feat.join(branch(), "customer_id", "left")
+    if need.ref:
+        feat = with_ref_date(feat, ref)
+    have = set(feat.columns)
+    for missing in {"active_months", "clv_slope", "unique_cats", "top_cat", "unique_prods", "top_channel", "ipt", "ret_cnt", "ret_amt",
+                    "ref_date", *[f"_sp{s}" for _, s in WINDOWS], *[f"orders_{s}" for _, s in WINDOWS]} - have:
+        feat = feat.withColumn(missing, F.lit(None).cast("timestamp" if missing == "ref_date" else "string" if missing.startswith("top") else "double"))
     spend = F.col("_spend").cast("double")
     sp = {s: F.coalesce(F.col(f"_sp{s}"), F.lit(0)).cast("double") for _, s in WINDOWS}
     old = F.coalesce(F.col("_sp365"), F.lit(0)) - F.coalesce(F.col("_sp90"), F.lit(0))
     recent_minus_old = F.coalesce(F.col("_sp90"), F.lit(0)) - old
     momentum = F.when(old != 0, recent_minus_old.cast("double") / old.cast("double")) \
-        .when(recent_minus_old == 0, F.lit(0.0)).otherwise(F.lit(None).cast("double"))
+        .when(recent_minus_old == 0, F.lit(0.0)).otherwise(F.lit(0.0 if zero_fill else None).cast("double"))
     refund_ratio = div_or_zero(F.coalesce(F.col("ret_amt"), F.lit(0)).cast("double"), spend)
     velocity = div_or_zero(spend, F.col("active_months"))
     out = feat.select(
@@ -175,7 +210,7 @@ def customer_features(lines: DataFrame, returns: DataFrame, customers: DataFrame
     )
     if customers is not None:
         out = customer_profile(out, customers)
-    return out
+    return out if columns is None else out.select("customer_id", *columns)
 
 
 def customer_profile(feat: DataFrame, customers: DataFrame) -> DataFrame:

@@ -79,12 +79,9 @@ def category_revenue(lines: DataFrame) -> DataFrame:
 
 
 def _last12(lines: DataFrame, ref: DataFrame) -> DataFrame:
-    """Lines in (ref − 12 calendar months, ref]; the whole history when that is empty."""
-    x = with_ref_date(lines, ref)
-    inwin = (F.col("order_date") > F.col("ref_date") - F.expr("INTERVAL 12 MONTHS")) & (F.col("order_date") <= F.col("ref_date"))
-    x = x.withColumn("_in", inwin)
-    anyin = x.agg(F.coalesce(F.max(F.col("_in").cast("int")), F.lit(0)).alias("_any"))   # 1 row, no global window
-    return x.crossJoin(F.broadcast(anyin)).filter(F.col("_in") | (F.col("_any") == 0)) \
+    """Lines in (ref − 12 calendar months, ref]. ``ref`` is a line's own date, so some are."""
+    return with_ref_date(lines, ref).filter(
+        (F.col("order_date") > F.col("ref_date") - F.expr("INTERVAL 12 MONTHS")) & (F.col("order_date") <= F.col("ref_date"))) \
         .withColumn("quarter", quarter_label("order_date"))
 
 

@@ -1,8 +1,7 @@
 """Cluster quality scores and model comparison.
 
 Scores are aggregates over the labelled frame: per-cluster statistics (K rows) are computed
-in Spark and combined there; only the silhouette needs point-to-point distances, and it is
-defined on a bounded sample (<= 5000 points, as in the source), broadcast as a numpy block.
+in Spark and combined there, over all rows. A sampled Euclidean silhouette exists beside them.
 """
 
 from __future__ import annotations
@@ -24,13 +23,31 @@ def _valid(labelled: DataFrame, label: str) -> DataFrame:
     return labelled.filter(F.col(label) >= 0)
 
 
-def silhouette(labelled: DataFrame, label: str = "cluster", cols: list[str] = FX.FEATURE_NAMES,
-               sample: int = FX.SILHOUETTE_SAMPLE, seed: int = 42) -> DataFrame:
-    """Mean Euclidean silhouette over a deterministic sample of at most ``sample`` points.
+def silhouette(labelled: DataFrame, label: str = "cluster", cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
+    """Mean silhouette of all points with squared Euclidean distances (M13); < 2 clusters -> null.
 
-    The sample is bounded, so it is broadcast once (sample x d doubles) and every task scores
-    its share of sample points against it with vectorised numpy. < 2 clusters -> null.
+    The mean squared distance of a point x to a cluster of n points is |x|^2 - 2 x.sum / n + squares / n, so the
+    per-cluster counts, sums and squared norms (K rows) and one pass over the points do; no pairs.
+    A point alone in its cluster scores 0.
     """
+    v = _valid(labelled, label).select(F.col(label).alias("c"), *cols)
+    norm = reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in cols])
+    stats = v.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum(norm).alias("sq"), F.array(*[F.sum(c) for c in cols]).alias("s"))
+    every = stats.agg(F.collect_list(F.struct("c", "n", "sq", "s")).alias("_all"))                  # K entries
+    total = lambda o: o["n"] * norm - 2 * reduce(lambda a, b: a + b, [F.col(c) * o["s"][i] for i, c in enumerate(cols)]) + o["sq"]
+    x = v.crossJoin(F.broadcast(every))
+    own = F.filter("_all", lambda o: o["c"] == F.col("c"))[0]
+    a = F.greatest(total(own), F.lit(0.0)) / F.greatest(own["n"] - 1, F.lit(1))
+    b = F.greatest(F.array_min(F.transform(F.filter("_all", lambda o: o["c"] != F.col("c")), lambda o: total(o) / o["n"])), F.lit(0.0))
+    x = x.select(own["n"].alias("n"), F.size("_all").alias("k"), a.alias("a"), b.alias("b"))
+    s = F.when((F.col("n") > 1) & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.lit(0.0))
+    return x.agg(F.avg(F.when(F.col("k") > 1, s)).alias("silhouette"))
+
+
+def silhouette_sampled(labelled: DataFrame, sample: int, label: str = "cluster", cols: list[str] = FX.FEATURE_NAMES,
+                       seed: int = 42) -> DataFrame:
+    """The Euclidean silhouette of a fixed-seed sample of ``sample`` points, the size being the caller's
+    choice. The sample is broadcast as a block; each task scores its share against it."""
     spark = labelled.sparkSession
     s = sample_customers(_valid(labelled, label).select("customer_id", F.col(label).alias("_lab"), *cols), sample, seed)
     pdf = s.toPandas()                      # bounded by ``sample`` rows
@@ -39,7 +56,7 @@ def silhouette(labelled: DataFrame, label: str = "cluster", cols: list[str] = FX
     X = pdf[cols].to_numpy(dtype=float)
     lab = pdf["_lab"].to_numpy()
     bx = spark.sparkContext.broadcast((X, lab))
-    n_parts = max(1, min(8, len(pdf) // 500))
+    n_parts = max(1, len(pdf) // 500)
 
     def score(batches):
         Xa, la = bx.value
@@ -129,12 +146,13 @@ def compare_algorithms(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: in
         segs = lab.filter(F.col("cluster") >= 0).select("cluster").distinct().count()
         noise = lab.filter(F.col("cluster") < 0).count()
         if segs >= 2:
-            sil = silhouette(lab, "cluster", cols, seed=seed).first()[0]
+            sil = silhouette(lab, "cluster", cols).first()[0]
             db = davies_bouldin(lab, "cluster", cols).first()[0]
             ch = calinski_harabasz(lab, "cluster", cols).first()[0]
         else:
             sil = db = ch = None
         rows.append((name, int(segs), sil, db, ch, int(noise)))
+        lab.unpersist()
     t = spark.createDataFrame(rows, "algorithm string, segments int, silhouette double, davies_bouldin double, "
                                     "calinski_harabasz double, noise_points int")
     w = Window.partitionBy()
@@ -144,4 +162,6 @@ def compare_algorithms(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: in
     t = t.withColumn("wins", (F.col("silhouette") == best_sil).cast("int") + (F.col("davies_bouldin") == best_db).cast("int")
                      + (F.col("calinski_harabasz") == best_ch).cast("int"))
     t = t.withColumn("wins", F.coalesce("wins", F.lit(0)))
-    return t.withColumn("overall_winner", F.row_number().over(Window.orderBy(F.desc("wins"), F.asc("algorithm"))) == 1)
+    # most wins; ties go to the silhouette's winner first, then by name; nobody wins without a valid score
+    return t.withColumn("_leads", F.coalesce(F.col("silhouette") == best_sil, F.lit(False))) \
+        .withColumn("overall_winner", (F.row_number().over(Window.orderBy(F.desc("wins"), F.desc("_leads"), F.asc("algorithm"))) == 1) & (F.col("wins") > 0)).drop("_leads")

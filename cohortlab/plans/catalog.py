@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlab.functions import fixed as FX
 from cohortlab.operators import cleaning as C
 from cohortlab.operators import kpis as K
 from cohortlab.operators import profile as G
 from cohortlab.plans import oracle as O
-from cohortlab.plans.pipeline import Inputs
+from cohortlab.plans import pipeline
 from cohortlab.sources import adapters as A
 from cohortlab.sources import tables as S
 
@@ -25,15 +26,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+_INPUTS: list[dict[str, pipeline.Inputs]] = []
+
+
+def Inputs(spark: SparkSession, d: str) -> pipeline.Inputs:  # noqa: N802
+    """The entities of a folder, built once per query."""
+    if not _INPUTS:
+        return pipeline.Inputs(spark, d)
+    return _INPUTS[-1].setdefault(d, pipeline.Inputs(spark, d))
+
+
 def q(name: str, sql_text: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, d):
+            _INPUTS.append({})
+            try:
+                return fn(spark, d)
+            finally:
+                _INPUTS.pop()
+
+        QUERIES[name] = run
         if sql_text is not None:
             ORACLE[name] = sql_text
         return fn
     return deco
 
 
+def _by_segment(fn, s, d, *columns):
+    """``fn`` over the stored lines of these columns and the stand-in segments of their customers."""
+    lines = Inputs(s, d).lines_for(*columns, keep=True)
+    return fn(lines, pipeline.Inputs.seg_map_of(lines))
+
+
+def _with_ref(fn, s, d, columns, *more):
+    """``fn`` over the stored lines of these columns and their reference date."""
+    from cohortlab.operators.features import reference_date
+    lines = Inputs(s, d).lines_for(*columns, keep=True)
+    return fn(lines, reference_date(lines), *more)
+
+
 D = "CAST(100 AS DOUBLE)"   # a DOUBLE literal 100 in DuckDB (plain 100.0 is DECIMAL there)
 
 # ---- S: scans and sinks -----------------------------------------------------------------
@@ -47,7 +78,7 @@ q("to_output_types", O.sql("""SELECT return_id, customer_id, strftime(return_dat
        refund_amount, return_status, return_reason FROM returns""", "returns"))(
     lambda s, d: S.to_output_types(Inputs(s, d).returns))
 q("sanitize_non_finite", O.sql("SELECT customer_id, spend_momentum, clv_slope, ipt FROM features", "features"))(
-    lambda s, d: S.sanitize_non_finite(Inputs(s, d).features.select("customer_id", "spend_momentum", "clv_slope", "ipt")))
+    lambda s, d: S.sanitize_non_finite(Inputs(s, d).features_of("spend_momentum", "clv_slope", "ipt")))
 
 # ---- C: cleaning and look-ups -----------------------------------------------------------
 q("country_lookup", O.sql("SELECT code, country_name FROM country_lu", "country_lu"))(
@@ -68,6 +99,9 @@ q("customer_age", O.sql("SELECT customer_id, age FROM customers", "customers"))(
 q("clean_products", O.sql("SELECT * FROM products", "products"))(lambda s, d: Inputs(s, d).products)
 q("first_category", O.sql("SELECT product_id, category FROM products", "products"))(
     lambda s, d: Inputs(s, d).products.select("product_id", "category"))
+q("clean_orders_wide", O.sql("SELECT * FROM lines", "lines"))(lambda s, d: C.clean_orders(
+    A.raw_purchases(s, d), C.unpivot_items(A.wide_purchases(s, d)), Inputs(s, d).product_category, A.raw_countries(s, d),
+    A.raw_payment_log(s, d), A.raw_offers(s, d)))
 q("unpivot_items", O.sql("""SELECT * FROM (SELECT CAST(l_orderkey AS VARCHAR) AS purchase_id,
        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice,
                                 l_discount) - 1 AS INTEGER) AS slot,
@@ -141,7 +175,7 @@ q("gateway_distribution", O.sql("""SELECT payment_gateway, count(*) AS n FROM ra
     lambda s, d: C.gateway_distribution(A.raw_payment_log(s, d)))
 q("status_distribution", O.sql("SELECT status, count(*) AS n FROM raw_payment_log WHERE status IS NOT NULL GROUP BY 1",
                                "raw_payment_log"))(lambda s, d: C.status_distribution(A.raw_payment_log(s, d)))
-q("coerce_lines", O.sql("SELECT * FROM flines", "flines"))(lambda s, d: Inputs(s, d).flines)
+q("coerce_lines", O.sql("SELECT * FROM flines", "flines"))(lambda s, d: Inputs(s, d).lines_for(*C.LINE_COLUMNS))
 q("order_lines", O.sql("SELECT * FROM lines", "lines"))(lambda s, d: Inputs(s, d).lines)
 
 # ---- F: per-customer features -----------------------------------------------------------
@@ -158,7 +192,7 @@ FEATURE_QUERIES = {
 }
 for _name, _cols in FEATURE_QUERIES.items():
     q(_name, O.sql(f"SELECT customer_id, {', '.join(_cols)} FROM features", "features"))(
-        (lambda cols: lambda s, d: Inputs(s, d).features.select("customer_id", *cols))(_cols))
+        (lambda cols: lambda s, d: Inputs(s, d).features_of(*cols))(_cols))
 q("customer_features", O.sql("SELECT * FROM features", "features"))(lambda s, d: Inputs(s, d).features)
 
 # ---- G: segment aggregates (stand-in labels) --------------------------------------------
@@ -178,7 +212,7 @@ O.cte("cust_month", ["flines"], """
 SELECT customer_id, strftime(order_date, '%Y-%m') AS ym, sum(net_amount) AS spend FROM flines GROUP BY 1, 2""")
 q("segment_monthly_spend", O.sql("""SELECT seg, ym, CAST(sum(spend) AS DOUBLE) / count(*) AS avg_spend
 FROM cust_month JOIN segf USING (customer_id) GROUP BY 1, 2""", "cust_month", "segf"))(
-    lambda s, d: G.segment_monthly_spend(Inputs(s, d).flines, Inputs(s, d).seg_map))
+    lambda s, d: _by_segment(G.segment_monthly_spend, s, d, "customer_id", "order_date", "net_amount"))
 
 
 def _mact(s, d):
@@ -192,7 +226,7 @@ JOIN (SELECT seg, count(*) AS customers FROM segf GROUP BY 1) c USING (seg)""",
 q("segment_category_share", O.sql(f"""SELECT seg, category, lines, rank, lines * {D} / sum(lines) OVER (PARTITION BY seg) AS share
 FROM (SELECT seg, category, lines, CAST(row_number() OVER (PARTITION BY seg ORDER BY lines DESC, category) AS INTEGER) AS rank
       FROM (SELECT seg, category, count(*) AS lines FROM flines JOIN segf USING (customer_id) GROUP BY 1, 2))
-WHERE rank <= 6""", "flines", "segf"))(lambda s, d: G.segment_category_share(Inputs(s, d).flines, Inputs(s, d).seg_map))
+WHERE rank <= 6""", "flines", "segf"))(lambda s, d: _by_segment(G.segment_category_share, s, d, "customer_id", "category", "net_amount"))
 O.cte("seg_net", ["flines", "returns", "segf"], """
 SELECT s.seg, CAST(COALESCE(g.gross, 0) AS DOUBLE) AS gross, CAST(COALESCE(r.refunds, 0) AS DOUBLE) AS refunds,
        CAST(COALESCE(g.gross, 0) - COALESCE(r.refunds, 0) AS DOUBLE) AS net_revenue
@@ -228,7 +262,7 @@ FROM (SELECT seg, revenue, round(round(target_total, 2) - sum(revenue) OVER (),
     lambda s, d: G.fix_rounding_drift(_seg_scaled(s, d)))
 q("segment_actions", O.sql("""SELECT a.seg, a.action_rank, a.action, c.customers
 FROM (SELECT seg, CAST(action_rank AS INTEGER) AS action_rank, action FROM (VALUES """ + ", ".join(
-    f"({sid}, {i + 1}, '{a}')" for sid, acts in __import__("cohortlab.functions.fixed", fromlist=["x"]).SEGMENT_ACTIONS.items()
+    f"({sid}, {i + 1}, '{a}')" for sid, acts in FX.SEGMENT_ACTIONS.items()
     for i, a in enumerate(acts)) + """) t(seg, action_rank, action)) a
 JOIN (SELECT seg, count(*) AS customers FROM segf GROUP BY 1) c USING (seg)""", "segf"))(
     lambda s, d: G.segment_actions(s, Inputs(s, d).segf))
@@ -239,19 +273,19 @@ _TOTALS = """SELECT CAST(g AS DOUBLE) AS gross_revenue, CAST(r AS DOUBLE) AS tot
 FROM (SELECT COALESCE(sum(net_amount), 0) AS g, count(DISTINCT order_id) AS total_orders FROM flines),
      (SELECT COALESCE(sum(refund_amount), 0) AS r, count(*) AS total_returns FROM returns)"""
 q("revenue_totals", O.sql(_TOTALS, "flines", "returns"))(
-    lambda s, d: K.revenue_totals(Inputs(s, d).flines, Inputs(s, d).returns))
+    lambda s, d: K.revenue_totals(Inputs(s, d).lines_for("order_id", "net_amount"), Inputs(s, d).returns))
 O.cte("fulfilled", ["flines", "returns"], "SELECT * FROM flines WHERE order_id NOT IN (SELECT return_id FROM returns)")
 _FULFILLED = """SELECT fulfilled_orders, CAST(rev AS DOUBLE) AS fulfilled_revenue,
        CASE WHEN fulfilled_orders > 0 THEN CAST(rev AS DOUBLE) / fulfilled_orders ELSE 0.0 END AS true_aov
 FROM (SELECT count(DISTINCT order_id) AS fulfilled_orders, COALESCE(sum(net_amount), 0) AS rev FROM fulfilled)"""
-q("fulfilled_orders", O.sql(_FULFILLED, "fulfilled"))(lambda s, d: K.fulfilled_orders(Inputs(s, d).flines, Inputs(s, d).returns))
+q("fulfilled_orders", O.sql(_FULFILLED, "fulfilled"))(lambda s, d: K.fulfilled_orders(Inputs(s, d).lines_for("order_id", "net_amount"), Inputs(s, d).returns))
 q("true_aov", O.sql(f"SELECT true_aov FROM ({_FULFILLED})", "fulfilled"))(
-    lambda s, d: K.fulfilled_orders(Inputs(s, d).flines, Inputs(s, d).returns).select("true_aov"))
+    lambda s, d: K.fulfilled_orders(Inputs(s, d).lines_for("order_id", "net_amount"), Inputs(s, d).returns).select("true_aov"))
 q("monthly_revenue", O.sql("SELECT strftime(order_date, '%Y-%m') AS ym, CAST(sum(net_amount) AS DOUBLE) AS revenue FROM flines GROUP BY 1",
-                           "flines"))(lambda s, d: K.monthly_revenue(Inputs(s, d).flines))
+                           "flines"))(lambda s, d: K.monthly_revenue(Inputs(s, d).lines_for("order_date", "net_amount")))
 q("monthly_aov", O.sql("""SELECT ym, CAST(sum(t) AS DOUBLE) / count(*) AS aov
 FROM (SELECT order_id, strftime(order_date, '%Y-%m') AS ym, sum(net_amount) AS t FROM fulfilled GROUP BY 1, 2) GROUP BY 1""",
-                       "fulfilled"))(lambda s, d: K.monthly_aov(Inputs(s, d).flines, Inputs(s, d).returns))
+                       "fulfilled"))(lambda s, d: K.monthly_aov(Inputs(s, d).lines_for("order_id", "order_date", "net_amount"), Inputs(s, d).returns))
 O.cte("yoy", ["flines"], """
 SELECT CAST(n AS BIGINT) AS n_months,
        CAST(CASE WHEN n >= 13 THEN l12 ELSE 0 END AS DOUBLE) AS yoy_last12,
@@ -261,9 +295,9 @@ SELECT CAST(n AS BIGINT) AS n_months,
 FROM (SELECT max(n) AS n, sum(CASE WHEN pos <= 12 THEN rev END) AS l12, sum(CASE WHEN pos > 12 AND pos <= 24 THEN rev END) AS p12
       FROM (SELECT rev, row_number() OVER (ORDER BY ym DESC) AS pos, count(*) OVER () AS n
             FROM (SELECT strftime(order_date, '%Y-%m') AS ym, sum(net_amount) AS rev FROM flines GROUP BY 1)))""")
-q("yoy_growth", O.sql("SELECT * FROM yoy", "yoy"))(lambda s, d: K.yoy_growth(Inputs(s, d).flines))
+q("yoy_growth", O.sql("SELECT * FROM yoy", "yoy"))(lambda s, d: K.yoy_growth(Inputs(s, d).lines_for("order_date", "net_amount")))
 q("category_revenue", O.sql("SELECT category, CAST(sum(net_amount) AS DOUBLE) AS revenue FROM flines GROUP BY 1", "flines"))(
-    lambda s, d: K.category_revenue(Inputs(s, d).flines))
+    lambda s, d: K.category_revenue(Inputs(s, d).lines_for("category", "net_amount")))
 O.cte("last12", ["flines", "refdate"], """
 SELECT *, 'Q' || CAST(quarter(order_date) AS VARCHAR) AS qtr
 FROM (SELECT *, max(CASE WHEN inwin THEN 1 ELSE 0 END) OVER () AS any_in
@@ -277,14 +311,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qtr ORDER BY rev DESC, product_i
       FROM (SELECT qtr, product_id, sum(net_amount) AS rev FROM last12 GROUP BY 1, 2) JOIN products pr USING (product_id)) p
 JOIN (SELECT qtr, sum(net_amount) AS q_total FROM last12 GROUP BY 1) t USING (qtr)
 WHERE p.rank <= 3""", "last12", "products"))(
-    lambda s, d: K.quarterly_top_products(Inputs(s, d).flines, Inputs(s, d).ref, Inputs(s, d).product_names))
+    lambda s, d: _with_ref(K.quarterly_top_products, s, d, ("order_date", "product_id", "net_amount"), Inputs(s, d).product_names))
 q("quarterly_top_categories", O.sql(f"""SELECT qtr AS quarter, CAST(rank AS INTEGER) AS rank, category AS name,
        CAST(rev AS DOUBLE) AS revenue,
        CAST(rev AS DOUBLE) / CASE WHEN q_total <> 0 THEN CAST(q_total AS DOUBLE) ELSE 1.0 END * {D} AS share
 FROM (SELECT *, row_number() OVER (PARTITION BY qtr ORDER BY rev DESC, category) AS rank,
              sum(rev) OVER (PARTITION BY qtr) AS q_total
       FROM (SELECT qtr, category, sum(net_amount) AS rev FROM last12 GROUP BY 1, 2))
-WHERE rank <= 3""", "last12"))(lambda s, d: K.quarterly_top_categories(Inputs(s, d).flines, Inputs(s, d).ref))
+WHERE rank <= 3""", "last12"))(lambda s, d: _with_ref(K.quarterly_top_categories, s, d, ("order_date", "category", "net_amount")))
 q("distributions", O.sql("""
 SELECT 'channel' AS dimension, channel AS value, count(*) AS n FROM flines WHERE channel IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'region', value, n FROM (SELECT region AS value, count(*) AS n FROM customers WHERE region IS NOT NULL
@@ -292,7 +326,7 @@ UNION ALL SELECT 'region', value, n FROM (SELECT region AS value, count(*) AS n
 UNION ALL SELECT 'gender', gender, count(*) FROM customers WHERE gender IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'acquisition_channel', acquisition_channel, count(*) FROM customers
           WHERE acquisition_channel IS NOT NULL GROUP BY 2""", "flines", "customers"))(
-    lambda s, d: K.distributions(Inputs(s, d).flines, Inputs(s, d).customers))
+    lambda s, d: K.distributions(Inputs(s, d).lines_for("channel"), Inputs(s, d).customers))
 q("return_breakdown", O.sql("""
 SELECT 'reason' AS dimension, return_reason AS value, count(*) AS n FROM returns WHERE return_reason IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'status', return_status, count(*) FROM returns WHERE return_status IS NOT NULL GROUP BY 2""", "returns"))(
@@ -306,26 +340,26 @@ def _bands_sql(col, lo, hi):
   UNION ALL SELECT 'low', sum(CASE WHEN {col} < {lo} THEN 1 ELSE 0 END) FROM features)"""
 
 
-q("spend_bands", O.sql(_bands_sql("total_spend", 100, 500), "features"))(lambda s, d: K.spend_bands(Inputs(s, d).features))
+q("spend_bands", O.sql(_bands_sql("total_spend", 100, 500), "features"))(lambda s, d: K.spend_bands(Inputs(s, d).features_of("total_spend")))
 q("velocity_bands", O.sql(_bands_sql("spend_velocity", 30, 100), "features"))(
-    lambda s, d: K.velocity_bands(Inputs(s, d).features))
+    lambda s, d: K.velocity_bands(Inputs(s, d).features_of("spend_velocity")))
 q("clv_growing_pct", O.sql(f"SELECT sum(CASE WHEN clv_slope > 0 THEN 1 ELSE 0 END) * {D} / count(*) AS clv_growing_pct FROM features",
-                           "features"))(lambda s, d: K.clv_growing_pct(Inputs(s, d).features))
+                           "features"))(lambda s, d: K.clv_growing_pct(Inputs(s, d).features_of("clv_slope")))
 O.cte("activity", ["flines", "refdate"], """
 SELECT customer_id, max(CASE WHEN order_date >= ref_date - INTERVAL 90 DAY THEN 1 ELSE 0 END) AS active,
        max(CASE WHEN order_date < ref_date - INTERVAL 90 DAY THEN 1 ELSE 0 END) AS prior
 FROM flines, refdate GROUP BY 1""")
 q("active_customers_90", O.sql("SELECT CAST(sum(active) AS BIGINT) AS active_customers_90 FROM activity", "activity"))(
-    lambda s, d: K.active_customers_90(Inputs(s, d).flines, Inputs(s, d).ref))
+    lambda s, d: _with_ref(K.active_customers_90, s, d, ("customer_id", "order_date")))
 _RET = f"""SELECT CAST(COALESCE(sum(active), 0) AS BIGINT) AS active_customers_90,
        CAST(COALESCE(sum(active * prior), 0) AS BIGINT) AS retained, CAST(COALESCE(sum(prior), 0) AS BIGINT) AS prior_buyers,
        CASE WHEN sum(prior) > 0 THEN sum(active * prior) * {D} / sum(prior) ELSE 0.0 END AS retention_rate
 FROM activity"""
-q("retention_rate", O.sql(_RET, "activity"))(lambda s, d: K.retention_rate(Inputs(s, d).flines, Inputs(s, d).ref))
+q("retention_rate", O.sql(_RET, "activity"))(lambda s, d: _with_ref(K.retention_rate, s, d, ("customer_id", "order_date")))
 q("overall_return_rate", O.sql(f"""SELECT CASE WHEN total_orders > 0 THEN total_returns / total_orders ELSE 0.0 END AS return_rate
-FROM ({_TOTALS})""", "flines", "returns"))(lambda s, d: K.overall_return_rate(Inputs(s, d).flines, Inputs(s, d).returns))
+FROM ({_TOTALS})""", "flines", "returns"))(lambda s, d: K.overall_return_rate(Inputs(s, d).lines_for("order_id", "net_amount"), Inputs(s, d).returns))
 q("category_list", O.sql("SELECT DISTINCT category FROM flines WHERE category IS NOT NULL", "flines"))(
-    lambda s, d: K.category_list(Inputs(s, d).flines))
+    lambda s, d: K.category_list(Inputs(s, d).lines_for("category")))
 q("global_summary", O.sql(f"""SELECT t.*, f.*, y.yoy_last12, y.yoy_prev12, y.yoy_pct, c.clv_growing_pct, r.*, n.total_customers,
        strftime(rd.ref_date, '%Y-%m-%d') AS ref_date,
        CASE WHEN t.total_orders > 0 THEN t.total_returns / t.total_orders ELSE 0.0 END AS return_rate,
@@ -384,7 +418,7 @@ FROM (SELECT cluster,
       FROM (SELECT seg AS cluster, avg(spend_365) AS avg_spend, avg(order_count) AS avg_orders, avg(recency) AS avg_recency
             FROM segf GROUP BY 1))"""
 q("rank_clusters", O.sql(_RANK, "segf"))(lambda s, d: M.rank_clusters(_stand_in(Inputs(s, d).features, "cluster")))
-_T4 = __import__("cohortlab.functions.fixed", fromlist=["x"]).SEGMENT_TEMPLATES[4]
+_T4 = FX.SEGMENT_TEMPLATES[4]
 q("name_segments", O.sql("""SELECT r.seg, CAST(r.name_rank AS INTEGER) AS name_rank, t.name, t.icon, t.color, t.color_bg, t.description
 FROM (SELECT seg, row_number() OVER (ORDER BY avg(spend_365) DESC, avg(recency), seg) - 1 AS name_rank FROM segf GROUP BY seg) r
 LEFT JOIN (VALUES """ + ", ".join("({}, '{}', '{}', '{}', '{}', '{}')".format(i, *[v.replace("'", "''") for v in row])
@@ -401,19 +435,16 @@ FROM (SELECT feature, stddev_pop(v) AS sd FROM ({_STACK}) GROUP BY feature)""",
 q("gmm_segments")(lambda s, d: M.gmm_segments(_scaled(s, d)).select("customer_id", "cluster"))
 q("hierarchical_segments")(lambda s, d: M.hierarchical_segments(_scaled(s, d)).select("customer_id", "cluster"))
 _DIST = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _FN)
-O.cte("smp", ["segsc"], """SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(customer_id || '#42')) AS rn FROM segsc)
-WHERE rn <= 5000""")
 q("silhouette", O.sql(f"""SELECT avg(sv) AS silhouette FROM (
   SELECT customer_id, CASE WHEN n_own > 1 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS sv
-  FROM (SELECT customer_id, max(n_own) AS n_own,
-               max(CASE WHEN other = own THEN sd / greatest(n_own - 1, 1) END) AS a,
+  FROM (SELECT customer_id, max(n_own) AS n_own, max(CASE WHEN other = own THEN sd / greatest(n_own - 1, 1) END) AS a,
                min(CASE WHEN other <> own THEN sd / n_other END) AS b
-        FROM (SELECT p.customer_id, p.own, p.other, p.sd, c1.n AS n_own, c2.n AS n_other
-              FROM (SELECT a.customer_id, a.seg AS own, b.seg AS other, sum(sqrt({_DIST})) AS sd
-                    FROM smp a JOIN smp b ON a.customer_id <> b.customer_id GROUP BY 1, 2, 3) p
-              JOIN (SELECT seg, count(*) AS n FROM smp GROUP BY 1) c1 ON c1.seg = p.own
-              JOIN (SELECT seg, count(*) AS n FROM smp GROUP BY 1) c2 ON c2.seg = p.other)
-        GROUP BY 1))""", "smp"))(lambda s, d: SC.silhouette(_stand_in(_scaled(s, d)), "seg"))
+        FROM (SELECT p.*, c1.n AS n_own, c2.n AS n_other
+              FROM (SELECT a.customer_id, a.seg AS own, b.seg AS other, sum({_DIST}) AS sd
+                    FROM segsc a JOIN segsc b ON a.customer_id <> b.customer_id GROUP BY 1, 2, 3) p
+              JOIN (SELECT seg, count(*) AS n FROM segsc GROUP BY 1) c1 ON c1.seg = p.own
+              JOIN (SELECT seg, count(*) AS n FROM segsc GROUP BY 1) c2 ON c2.seg = p.other)
+        GROUP BY 1))""", "segsc"))(lambda s, d: SC.silhouette(_stand_in(_scaled(s, d)), "seg"))
 _CEN = "SELECT seg, count(*) AS n, " + ", ".join(f"avg({c}) AS m_{c}" for c in _FN) + " FROM segsc GROUP BY seg"
 _PD = " + ".join(f"(x.{c} - c.m_{c}) * (x.{c} - c.m_{c})" for c in _FN)
 _CD = " + ".join(f"(a.m_{c} - b.m_{c}) * (a.m_{c} - b.m_{c})" for c in _FN)
@@ -804,7 +835,7 @@ q("active_campaigns", O.sql("""SELECT c.* FROM raw_campaigns c LEFT JOIN (SELECT
 WHERE c.status <> 'pending' OR a.s IS NOT NULL OR c.segment = 'All Customers'""", "raw_campaigns", "seg_names"))(
     lambda s, d: CP.active_campaigns(A.raw_campaigns(s, d), M.name_segments(Inputs(s, d).segf, 4).select(F.col("name").alias("segment"))))
 q("removed_segments", O.sql("""SELECT DISTINCT name AS segment FROM (VALUES """ + ", ".join(
-    f"('{r[0]}')" for r in __import__("cohortlab.functions.fixed", fromlist=["x"]).SEGMENT_TEMPLATES[7]) + """) t(name)
+    f"('{r[0]}')" for r in FX.SEGMENT_TEMPLATES[7]) + """) t(name)
 WHERE name NOT IN (SELECT segment FROM seg_names)""", "seg_names"))(
     lambda s, d: CP.removed_segments(M.templates(s, 7).select(F.col("name").alias("segment")),
                                      M.name_segments(Inputs(s, d).segf, 4).select(F.col("name").alias("segment"))))

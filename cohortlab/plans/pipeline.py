@@ -52,6 +52,22 @@ class Inputs:
         return A.raw_countries(self.spark, self.d)
 
     # cleaned entities
+    def lines_for(self, *columns: str, keep: bool = False) -> DataFrame:
+        """Feature-ready order lines of these columns only; look-ups that they don't need are not joined.
+        ``keep`` stores them, for queries that read them more than once."""
+        need = list(dict.fromkeys([*columns, "customer_id", "order_date", "net_amount", "discount_pct"]))
+        lines = C.clean_orders(self.purchases, self.items, self.product_category if "category" in need else None,
+                               self.countries_raw, self.payment_log, self.offers_raw, columns=need)
+        lines = FE.prepared_lines(lines).select(*columns)
+        return self._keep(lines, "order_lines") if keep else lines
+
+    def features_of(self, *columns: str) -> DataFrame:
+        """customer_id and these features, built from the branches that they need."""
+        need = FE.needs(columns)
+        lines = self.lines_for(*need.line_columns, keep=need.line_reads > 1)
+        return FE.customer_features(lines, self.returns, self.customers if need.profile else None, columns=columns,
+                                    keep_order_grain=need.grain_reads > 1 and self.materialize)
+
     @cached_property
     def products(self) -> DataFrame:
         s, d = self.spark, self.d
@@ -92,7 +108,11 @@ class Inputs:
     def seg_map(self) -> DataFrame:
         """customer -> stand-in seg for every buying customer (the customers of the feature table,
         without computing the features)."""
-        return self.flines.select("customer_id").distinct() \
+        return self.seg_map_of(self.flines)
+
+    @staticmethod
+    def seg_map_of(lines: DataFrame) -> DataFrame:
+        return lines.select("customer_id").distinct() \
             .withColumn("seg", (F.col("customer_id").cast("long") % 4).cast("int"))
 
     @cached_property

@@ -43,17 +43,33 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster sets it to a shared file system; only when it is unset (local tests) a
-    scratch folder is created here.
+    The cluster sets it to a shared file system. Only on a local master, as in tests, a scratch
+    folder is made when it is unset; elsewhere executors would write to their own disks.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="cohortlab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+#: Paths of the tables written by ``materialize`` in this process and not dropped since.
+STORED: list[str] = []
+
+
+def drop_stored(spark: SparkSession, paths=None) -> None:
+    """Delete stored tables that nothing reads any more (all of this process by default)."""
+    jvm = spark.sparkContext._jvm
+    for path in list(STORED if paths is None else paths):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path in STORED:
+            STORED.remove(path)
+
+
 def materialize(df, name: str):
     """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
 
@@ -66,4 +82,5 @@ def materialize(df, name: str):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/cohortlab-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    STORED.append(path)
     return spark.read.parquet(path)

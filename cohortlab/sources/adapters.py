@@ -63,7 +63,8 @@ def raw_purchase_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wide_purchases(spark: SparkSession, d: str) -> DataFrame:
-    """Purchases in the export's wide layout: up to 36 item slots flattened into columns.
+    """Purchases in the export's wide layout: item slots flattened into columns, 36 or as many
+    as the largest order has.
 
     Slot = position of the line inside its order under a total order of the line's columns
     (exact duplicate lines are interchangeable). Fields are text, as in the CSV export.
@@ -85,9 +86,10 @@ def wide_purchases(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_discount").cast("string").alias("discount_value"),
     )
     fields = ["type_id", "price", "sale_price", "in_sale", "quantity", "discount_value"]
+    widest = items.agg(F.max("slot")).first()[0]       # the layout has as many slots as the largest order
     slots = items.groupBy("purchase_id").agg(*[
         F.max(F.when(F.col("slot") == i, F.col(f))).alias(f"item{i}_{f}")
-        for i in range(MAX_ITEM_SLOTS) for f in fields
+        for i in range(max(MAX_ITEM_SLOTS, (-1 if widest is None else widest) + 1)) for f in fields
     ])
     return raw_purchases(spark, d).join(slots, "purchase_id", "left")
 
