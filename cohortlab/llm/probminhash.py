@@ -23,10 +23,13 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Two texts of similarity 0.8 agree in some band but once in 300,000 times.
 BANDS, BAND_ROWS = 32, 5
 REGISTERS = BANDS * BAND_ROWS
-#: Candidates whose registers agree less than this are dropped: four standard deviations below 0.8.
-LEAST_AGREEMENT = 0.67
-#: Texts are hashed in parts of about so many characters; a longer text is a part of its own.
-PART_CHARS = 3_000_000
+#: Texts that share buckets also get a sketch, one bit for each of so many registers.
+SKETCH_BITS = 1024
+#: Candidates go when their registers, or their sketches, agree by so much less than the limit: four
+#: standard deviations of either estimate.
+REGISTER_SLACK, SKETCH_SLACK = 0.13, 0.08
+#: Texts are hashed in parts of about so many characters and texts; a longer text is a part of its own.
+PART_CHARS, PART_TEXTS = 2_000_000, 1000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -119,11 +122,11 @@ def _key() -> Column:
 
 
 def _parts(texts: list[str]):
-    """Ranges of texts with about PART_CHARS characters."""
+    """Ranges of texts with about PART_CHARS characters and PART_TEXTS texts at most."""
     begin = chars = 0
     for i, t in enumerate(texts):
         chars += len(t)
-        if chars >= PART_CHARS:
+        if chars >= PART_CHARS or i + 1 - begin == PART_TEXTS:
             yield begin, i + 1
             begin, chars = i + 1, 0
     if begin < len(texts):
@@ -153,12 +156,14 @@ def _weighted(batches):
         for a, b in _parts(texts):
             of, code, weight = shingles(texts[a:b])
             at = np.searchsorted(of, np.arange(b - a + 1))
+            bit = (_mixed(signatures(b - a, of, code, weight, SKETCH_BITS)) & np.uint64(1)).astype(np.uint8)
+            sketch = np.ascontiguousarray(np.packbits(bit, axis=1)).view(np.int64)
             out = []
             for i in range(b - a):
                 short, where = np.unique((code[at[i]:at[i + 1]] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
-                out.append((nodes[a + i], short.tobytes(), np.bincount(where, weight[at[i]:at[i + 1]], len(short)).astype(np.uint32).tobytes()
+                out.append((nodes[a + i], sketch[i], short.tobytes(), np.bincount(where, weight[at[i]:at[i + 1]], len(short)).astype(np.uint32).tobytes()
                             if (weight[at[i]:at[i + 1]] > 1).any() else b""))
-            yield pd.DataFrame(out, columns=["node", "codes", "counts"])
+            yield pd.DataFrame(out, columns=["node", "sketch", "codes", "counts"])
 
 
 def _verified(batches, least: float):
@@ -185,12 +190,19 @@ def _agreement(x: str, y: str) -> Column:
     return (agree / REGISTERS - 1 / 256) / (1 - 1 / 256)
 
 
+def _sketched(x: str, y: str) -> Column:
+    """Similarity estimated from sketches: registers that agree do so in their bit, and half of the others."""
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)])
+    return 1 - 2 * differ / SKETCH_BITS
+
+
 def _placed(docs: DataFrame, least: float) -> DataFrame:
     """(doc_id, key, root) for every row: key stands for its text, root for its class.
 
     Equal texts are one node, so copies cost a row each. In each band the node that shares most buckets is
     compared with the others; what this links becomes classes. Then, in buckets that still hold several
-    classes, pairs of nodes of different classes whose registers agree enough are compared as well, so no
+    classes, pairs of nodes of different classes whose sketches agree enough are compared as well, each pair in its
+    least common bucket, so no
     candidate link is left out, while a class is never expanded into its pairs.
     """
     work = docs.select("doc_id", "text").withColumn("key", _key())
@@ -208,11 +220,11 @@ def _placed(docs: DataFrame, least: float) -> DataFrame:
     sig = nodes.select("node", "sig")
     stars = store(stars.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
                   .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-                  .filter(_agreement("sig_a", "sig_b") >= LEAST_AGREEMENT).select("a", "b"), "near-stars")
+                  .filter(_agreement("sig_a", "sig_b") >= least - REGISTER_SLACK).select("a", "b"), "near-stars")
 
     keys = members.select("node").distinct().join(nodes.select("node", "key"), "node")
     texts = work.select("key", "text").join(keys, "key").dropDuplicates(["node"])
-    weighted = store(texts.select("node", "text").mapInPandas(_weighted, "node long, codes binary, counts binary"), "near-shingles")
+    weighted = store(texts.select("node", "text").mapInPandas(_weighted, "node long, sketch array<long>, codes binary, counts binary"), "near-shingles")
 
     def verify(pairs: DataFrame) -> DataFrame:
         w = lambda s: weighted.select(F.col("node").alias(s), F.col("codes").alias(f"codes_{s}"), F.col("counts").alias(f"counts_{s}"))
@@ -223,11 +235,13 @@ def _placed(docs: DataFrame, least: float) -> DataFrame:
                   .select("node", F.coalesce("root", "node").alias("root")), "near-roots")
     rest = members.select("bucket", "node").join(roots, "node")
     mixed = rest.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("bucket")
-    rest = store(rest.join(mixed, "bucket").join(sig, "node"), "near-rest")
-    other = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "sig")])
-    pairs = (rest.withColumnRenamed("sig", "sig_a").join(other, "bucket")
-             .filter((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & (_agreement("sig_a", "sig_b") >= LEAST_AGREEMENT))
-             .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+    rest = rest.join(mixed, "bucket").join(weighted.select("node", "sketch"), "node").join(nodes.select("node", "bands"), "node")
+    rest = store(rest, "near-rest")
+    other = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "sketch", "bands")])
+    pairs = (rest.join(other, "bucket")
+             .filter((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & (_sketched("sketch", "sketch_b") >= least - SKETCH_SLACK)
+                     & (F.array_min(F.array_intersect("bands", "bands_b")) == F.col("bucket")))
+             .select(F.col("node").alias("a"), F.col("node_b").alias("b")))
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = store(verify(pairs.join(known, ["a", "b"], "left_anti")), "near-links")
     roots = components(links.unionByName(found))
