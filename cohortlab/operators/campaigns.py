@@ -52,7 +52,8 @@ def smart_notifications(counts: DataFrame, seg_revenue: DataFrame, yoy: DataFram
                 F.lit(False).alias("read"), F.lit(5 * 60).alias("age_s"), F.col("pct_r").alias("value"))
     lost = first(F.col("lc").contains("lost")).filter((F.col("customers") > 0) & (F.col("pct_r") >= 10)) \
         .select(F.lit("lost-seg"), F.lit("action"), F.lit("high"), F.lit(False), F.lit(12 * 60), F.col("pct_r"))
-    rs = seg_revenue.withColumn("share", F.col("revenue") * 100.0 / F.sum("revenue").over(Window.partitionBy()))
+    # FIXED VALUES: rule ids, thresholds on rounded shares, priorities and ages in seconds
+    rs = seg_revenue.withColumn("share", F.floor(F.col("revenue") * 100.0 / F.sum("revenue").over(Window.partitionBy()) + 0.5))
     vip = first(F.col("lc").contains("vip")).join(rs.select("seg", "share"), "seg").filter(F.col("share") >= 40) \
         .select(F.lit("vip-revenue"), F.lit("insight"), F.lit("medium"), F.lit(False), F.lit(30 * 60), F.col("share"))
     y = yoy.filter(F.col("yoy_pct").isNotNull())
@@ -60,7 +61,7 @@ def smart_notifications(counts: DataFrame, seg_revenue: DataFrame, yoy: DataFram
                                                  F.lit(60 * 60), F.col("yoy_pct"))
     ypos = y.filter(F.col("yoy_pct") > 100).select(F.lit("yoy-strong"), F.lit("insight"), F.lit("low"), F.lit(False),
                                                    F.lit(2 * 3600), F.col("yoy_pct"))
-    cat = category_share.filter((F.col("rank") == 1) & (F.col("pct") >= 50)) \
+    cat = category_share.withColumn("pct", F.floor(F.col("pct") + 0.5)).filter((F.col("rank") == 1) & (F.col("pct") >= 50)) \
         .select(F.lit("category-concentration"), F.lit("insight"), F.lit("low"), F.lit(True), F.lit(4 * 3600), F.col("pct"))
     loaded = counts.agg(F.sum("customers").cast("double").alias("v")) \
         .select(F.lit("data-loaded"), F.lit("system"), F.lit("low"), F.lit(True), F.lit(10), F.col("v"))
@@ -119,10 +120,20 @@ def campaign_status_rollup(campaigns: DataFrame, sends: DataFrame) -> DataFrame:
 
 
 def active_campaigns(campaigns: DataFrame, active_names: DataFrame) -> DataFrame:
-    """Hide pending campaigns whose segment is not an active segment name."""
+    """Hide pending campaigns whose segment is not an active segment name; those without one stay."""
     act = active_names.select(F.col("segment").alias("_seg")).distinct()
-    c = campaigns.join(F.broadcast(act), campaigns["segment"] == act["_seg"], "left")
-    keep = (F.col("status") != "pending") | F.col("_seg").isNotNull() | (F.col("segment") == ALL_CUSTOMERS)
+    c = campaigns.join(act, campaigns["segment"] == act["_seg"], "left")
+    keep = (F.col("status") != "pending") | F.col("_seg").isNotNull() | (F.col("segment") == ALL_CUSTOMERS) \
+        | (F.coalesce("segment", F.lit("")) == "")
+    return c.filter(keep).drop("_seg")
+
+
+def clean_campaigns(campaigns: DataFrame, active_names: DataFrame) -> DataFrame:
+    """After a change of K: campaigns not yet sent whose segment is gone are removed."""
+    act = active_names.select(F.col("segment").alias("_seg")).distinct()
+    c = campaigns.join(act, campaigns["segment"] == act["_seg"], "left")
+    keep = (F.col("status") == "sent") | F.col("_seg").isNotNull() | (F.col("segment") == ALL_CUSTOMERS) \
+        | (F.coalesce("segment", F.lit("")) == "")
     return c.filter(keep).drop("_seg")
 
 
@@ -159,10 +170,14 @@ def normalize_channel(channel) -> F.Column:
 
 def build_send_list(scored: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Audience rows (customer id, phone) of every campaign's segment."""
-    c = campaigns.select(F.col("id").alias("campaign_id"), "segment")
-    # every customer belongs to its own segment and to "All Customers": one equi-join on the name
-    aud = scored.select("customer_id", "phone", F.explode(F.array("segment", F.lit(ALL_CUSTOMERS))).alias("segment"))
-    return aud.join(c, "segment").select("campaign_id", "customer_id", "phone")
+    # campaigns per segment name: a segment's list holds those to all customers, too; a customer then looks up its own
+    # list, so no customer is dealt out by a shared name
+    c = campaigns.filter(F.col("segment").isNotNull()).groupBy("segment").agg(F.collect_list("id").alias("ids"))
+    to_all = c.filter(F.col("segment") == ALL_CUSTOMERS).agg(F.coalesce(F.first("ids"), F.array().cast("array<string>")).alias("all_ids"))
+    names = scored.select("segment").distinct().join(c, "segment", "left").crossJoin(F.broadcast(to_all)) \
+        .select(F.col("segment").alias("_s"), F.concat(F.coalesce("ids", F.array().cast("array<string>")), "all_ids").alias("ids"))
+    aud = scored.join(F.broadcast(names), F.col("segment").eqNullSafe(F.col("_s")))     # one row per segment name
+    return aud.select(F.explode("ids").alias("campaign_id"), "customer_id", "phone")
 
 
 def expand_campaign_sends(campaigns: DataFrame) -> DataFrame:
@@ -193,3 +208,36 @@ def propagate_campaign_status(campaigns: DataFrame, sends: DataFrame) -> DataFra
 def merge_new_campaigns(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Append incoming campaigns whose id is not present yet."""
     return existing.unionByName(incoming.join(existing.select("id"), "id", "left_anti"))
+
+
+def replace_campaigns(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming campaigns take the place of those with their id, and new ones are appended."""
+    return existing.join(incoming.select("id"), "id", "left_anti").select(*existing.columns).unionByName(incoming)
+
+
+def search_sends(sends: DataFrame, q: str | None = None, status: str | None = None) -> DataFrame:
+    """Status filter plus case-insensitive contains over segment and subject (email) or message (WhatsApp)."""
+    s = sends if not status or status == "all" else sends.filter(F.col("status") == status)
+    if not q:
+        return s
+    said = F.when(F.col("kind") == "email", F.col("subject")).otherwise(F.col("message"))
+    return s.filter(reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(x), F.lit(q.lower())), F.lit(False)) for x in (F.col("segment"), said)]))
+
+
+def drop_deleted_sends(deleted: DataFrame, sends: DataFrame) -> DataFrame:
+    """Sends left when campaigns are deleted: those linked to one, by id or by text, go; all others stay."""
+    return sends.join(link_sends(deleted, sends).select(F.col("send_id").alias("id")).distinct(), "id", "left_anti").select(*sends.columns)
+
+
+def sync_sends(edited: DataFrame, before: DataFrame, sends: DataFrame) -> DataFrame:
+    """Sends after campaigns are edited: those linked to the campaign as it was (``before``) take over its new
+    subject or message and its recipients; unlinked sends stay as they are (P13)."""
+    new = edited.select(F.col("id").alias("_c"), F.col("subject").alias("_subject"),
+                        F.coalesce(F.when(F.col("body") != "", F.col("body")), "subject").alias("_message"), F.col("recipients").alias("_recipients"))
+    links = link_sends(before.join(edited.select("id"), "id", "left_semi"), sends).groupBy(F.col("send_id").alias("id")).agg(F.min("campaign").alias("_c"))
+    x = sends.join(links, "id", "left").join(new, "_c", "left")
+    hit, email = F.col("_c").isNotNull(), F.col("kind") == "email"
+    change = {"subject": F.when(hit & email, F.col("_subject")).otherwise(F.col("subject")),
+              "message": F.when(hit & ~email, F.col("_message")).otherwise(F.col("message")),
+              "recipients": F.when(hit, F.coalesce("_recipients", "recipients")).otherwise(F.col("recipients"))}
+    return x.select(*[change[c].alias(c) if c in change else F.col(c) for c in sends.columns])

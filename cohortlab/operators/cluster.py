@@ -27,8 +27,8 @@ def assemble(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES) -> DataFrame
 
 def model_input(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
     """Vector frame for iterative fits: lineage cut by a table written to the shared
-    ``spark.checkpoint.dir`` (survives executor loss), then cached for the fit iterations."""
-    return assemble(materialize(scaled, "model_input"), cols).cache()
+    ``spark.checkpoint.dir`` (survives executor loss). Fits cache it while they iterate and release it."""
+    return assemble(materialize(scaled, "model_input"), cols)
 
 
 # ---- M3 / M4 ----------------------------------------------------------------------------
@@ -44,8 +44,12 @@ def fit_kmeans(vec: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_ite
         return KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="features_vec",
                       predictionCol="cluster").fit(vec)
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as ex:
-        models = list(ex.map(fit, range(max(1, n_init))))
+    vec.cache()
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as ex:
+            models = list(ex.map(fit, range(max(1, n_init))))
+    finally:
+        vec.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -70,7 +74,6 @@ def k_sweep(scaled: DataFrame, ks=range(2, 9), seed: int = 42, n_init: int = 10,
         labelled = m.transform(vec).select("customer_id", F.col("cluster").cast("int").alias("cluster"), *cols)
         sil = silhouette(labelled, "cluster", cols).first()["silhouette"]
         rows.append((int(k), float(m.summary.trainingCost), None if sil is None else float(sil)))
-    vec.unpersist()
     return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
@@ -142,24 +145,25 @@ def fit_pca(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES, k: int = 2):
     return model, pc, [float(v) for v in model.explainedVariance.toArray()]
 
 
-def pca_2d(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
-    """customer_id, pca_x, pca_y: projection as a column expression of the 10 loadings (M7)."""
-    _, pc, _ = fit_pca(scaled, cols)
+def pca_2d(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES, fit=None) -> DataFrame:
+    """customer_id, pca_x, pca_y: projection as a column expression of the 10 loadings (M7). ``fit`` is a
+    result of ``fit_pca`` to use again."""
+    _, pc, _ = fit or fit_pca(scaled, cols)
     proj = [sum(F.col(c) * float(pc[i, j]) for j, c in enumerate(cols)) for i in range(2)]
     return scaled.select("customer_id", proj[0].alias("pca_x"), proj[1].alias("pca_y"))
 
 
-def pca_meta(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
+def pca_meta(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES, fit=None) -> DataFrame:
     """Explained variance % per component and the total (M7)."""
-    _, _, ev = fit_pca(scaled, cols)
+    _, _, ev = fit or fit_pca(scaled, cols)
     rows = [(f"pc{i + 1}", v * 100.0) for i, v in enumerate(ev)]
     df = scaled.sparkSession.createDataFrame(rows, "component string, explained_variance double")
     return df.withColumn("total_explained", F.sum("explained_variance").over(Window.partitionBy()))
 
 
-def pca_loadings(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
+def pca_loadings(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES, fit=None) -> DataFrame:
     """feature, pc1, pc2 (M8)."""
-    _, pc, _ = fit_pca(scaled, cols)
+    _, pc, _ = fit or fit_pca(scaled, cols)
     rows = [(c, float(pc[0, j]), float(pc[1, j])) for j, c in enumerate(cols)]
     return scaled.sparkSession.createDataFrame(rows, "feature string, pc1 double, pc2 double")
 

@@ -68,7 +68,7 @@ def unweighted_segment_means(profile: DataFrame,
 
 
 # (metric, lower_is_better)
-BEST_METRICS = [("avg_orders", False), ("avg_spend_velocity", False), ("avg_clv_slope", False), ("avg_spend", False),
+BEST_METRICS = [("avg_orders", False), ("avg_spend_velocity", False), ("clv_growing_pct", False), ("avg_spend", False),
                 ("avg_ipt", True), ("avg_projected_annual", False), ("avg_lifespan", False), ("avg_net_revenue", False),
                 ("avg_aov", False)]
 
@@ -95,12 +95,12 @@ def _pos(monthly: DataFrame) -> DataFrame:
 
 
 def aov_trend(monthly_aov: DataFrame) -> DataFrame:
-    """Mean AOV of the last 3 months vs the 3 before, in % (needs 6 months)."""
+    """Mean AOV of the last 3 months vs the 3 before, in % (needs 6 months; 0 when the base is 0)."""
     p = _pos(monthly_aov).agg(F.max("n_months").alias("n"),
                               (F.sum(F.when(F.col("pos") <= 3, F.col("aov"))) / 3.0).alias("curr3"),
                               (F.sum(F.when((F.col("pos") > 3) & (F.col("pos") <= 6), F.col("aov"))) / 3.0).alias("prev3"))
-    return p.select("curr3", "prev3", F.when((F.col("n") >= 6) & (F.col("prev3") > 0),
-                                             (F.col("curr3") - F.col("prev3")) / F.col("prev3") * 100.0).alias("aov_trend_pct"))
+    pct = F.when(F.col("prev3") > 0, (F.col("curr3") - F.col("prev3")) / F.col("prev3") * 100.0).otherwise(F.lit(0.0))
+    return p.select("curr3", "prev3", F.when(F.col("n") >= 6, pct).alias("aov_trend_pct"))
 
 
 def half_year_trend(monthly_revenue: DataFrame) -> DataFrame:
@@ -119,23 +119,30 @@ def current_vs_peak_month(monthly_revenue: DataFrame) -> DataFrame:
                 .alias("current_pct_of_peak"))
 
 
+def whole(x) -> F.Column:
+    """Rounded to a whole number, halves up."""
+    return F.floor(x + 0.5)
+
+
 def monthly_yoy_delta(monthly_revenue: DataFrame, last: int = 12) -> DataFrame:
-    """% change of each month vs the month 12 positions earlier, for the last ``last`` months."""
+    """Whole % change of each of the last ``last`` months vs the month 12 positions earlier; 0 when that
+    had no revenue. No rows below 24 months of history."""
     w = Window.orderBy("ym")
-    x = monthly_revenue.withColumn("prev", F.lag("revenue", 12).over(w)) \
-        .withColumn("pos", F.row_number().over(Window.orderBy(F.desc("ym"))))
-    return x.filter(F.col("pos") <= last).select(
-        "ym", "revenue", "prev", F.when(F.col("prev") > 0, (F.col("revenue") - F.col("prev")) / F.col("prev") * 100.0)
-        .alias("yoy_delta_pct"))
+    x = _pos(monthly_revenue.withColumn("prev", F.lag("revenue", 12).over(w))).filter((F.col("pos") <= last) & (F.col("n_months") >= 24))
+    delta = F.when(F.col("prev") > 0, whole((F.col("revenue") - F.col("prev")) / F.col("prev") * 100.0)).otherwise(F.lit(0))
+    return x.select("ym", "revenue", "prev", delta.cast("long").alias("yoy_delta_pct"))
 
 
 def quarter_share(monthly_revenue: DataFrame) -> DataFrame:
-    """Last 12 present months by calendar quarter: revenue, % and the best quarter."""
-    x = _pos(monthly_revenue).filter(F.col("pos") <= 12) \
-        .withColumn("quarter", F.concat(F.lit("Q"), ((F.substring("ym", 6, 2).cast("int") - 1) / 3 + 1).cast("int").cast("string")))
-    q = x.groupBy("quarter").agg(F.sum("revenue").alias("revenue"))
-    return q.select("quarter", "revenue", (F.col("revenue") * 100.0 / F.sum("revenue").over(_all())).alias("pct"),
-                    (F.row_number().over(Window.orderBy(F.desc("revenue"), F.asc("quarter"))) == 1).alias("is_best"))
+    """Last 12 present months by calendar quarter, all of Q1 to Q4: revenue, whole % of all, and the best quarter
+    (the first with the largest %). No rows without any month."""
+    x = _pos(monthly_revenue).filter(F.col("pos") <= 12)
+    number = ((F.substring("ym", 6, 2).cast("int") - 1) / 3 + 1).cast("int")
+    q = x.agg(F.count(F.lit(1)).alias("k"), *[F.coalesce(F.sum(F.when(number == i, F.col("revenue"))), F.lit(0.0)).alias(f"Q{i}") for i in range(1, 5)])
+    q = q.filter("k > 0").select(F.expr("stack(4, 'Q1', Q1, 'Q2', Q2, 'Q3', Q3, 'Q4', Q4) AS (quarter, revenue)"))
+    total = F.sum("revenue").over(_all())
+    q = q.withColumn("pct", whole(F.col("revenue") / F.when(total != 0, total).otherwise(F.lit(1.0)) * 100.0).cast("long"))
+    return q.withColumn("is_best", F.row_number().over(Window.orderBy(F.desc("pct"), F.asc("quarter"))) == 1)
 
 
 def peak_month(monthly_revenue: DataFrame) -> DataFrame:
@@ -190,7 +197,7 @@ def segment_zscores(profile: DataFrame, metrics: list[str] = Z_METRICS) -> DataF
 
 # D18 / D19 / D20 / D21 / D27 (category affinity) ------------------------------------------
 def diversity_class(profile: DataFrame) -> DataFrame:
-    pct = F.col("avg_diversity") * 100.0
+    pct = whole(F.col("avg_diversity") * 100.0).cast("long")      # rounded before it is classed
     return profile.select("seg", pct.alias("diversity_pct"),
                           F.when(pct >= 60, F.lit("Generalist")).when(pct >= 35, F.lit("Moderate"))
                           .otherwise(F.lit("Specialist")).alias("diversity_class"))
@@ -255,19 +262,21 @@ def segment_kpis(profile: DataFrame) -> DataFrame:
                           "avg_recency", "avg_return_rate", "avg_clv_slope")
 
 
-def relative_bars(profile: DataFrame) -> DataFrame:
-    """Value as % of the best segment: spend, orders, projected; recency inverted (best = lowest);
-    ipt spread between the shortest and longest."""
-    a = _all()
-    rng = F.max("avg_ipt").over(a) - F.min("avg_ipt").over(a)
-    return profile.select(
-        "seg",
-        (F.col("avg_spend") * 100.0 / F.max("avg_spend").over(a)).alias("spend_bar"),
-        (F.col("avg_orders") * 100.0 / F.max("avg_orders").over(a)).alias("orders_bar"),
-        (F.col("avg_projected_annual") * 100.0 / F.max("avg_projected_annual").over(a)).alias("projected_bar"),
-        F.when(F.col("avg_recency") > 0, F.min("avg_recency").over(a) * 100.0 / F.col("avg_recency")).otherwise(F.lit(100.0))
-        .alias("recency_bar"),
-        F.when(rng > 0, (F.col("avg_ipt") - F.min("avg_ipt").over(a)) * 100.0 / rng).otherwise(F.lit(0.0)).alias("ipt_bar"))
+def relative_bars(profile: DataFrame, overall_aov: DataFrame) -> DataFrame:
+    """One row of whole bar percentages, 100 at most: mean recency and shortest gap inverted against the
+    longest, spread of orders, mean active months, overall AOV against the best segment, spread of spend."""
+    best = lambda c: F.when(F.max(c) != 0, F.max(c)).otherwise(F.lit(1.0))
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    gap = F.when(F.col("avg_ipt") > 0, F.col("avg_ipt"))
+    spread = F.max("avg_spend") - F.min("avg_spend")
+    bars = {"recency_bar": (1 - mean("avg_recency") / best("avg_recency")) * 100.0,
+            "ipt_bar": F.coalesce((1 - F.min(gap) / F.max(gap)) * 100.0, F.lit(0.0)),
+            "orders_bar": (F.max("avg_orders") - F.min("avg_orders")) / best("avg_orders") * 100.0,
+            "active_months_bar": mean("avg_active_months") / best("avg_active_months") * 100.0,
+            "spend_bar": spread / (best("avg_spend") * 1.1 - F.min("avg_spend")) * 100.0 + 40.0}
+    x = profile.agg(best("avg_aov").alias("_aov"), *[v.alias(k) for k, v in bars.items()])
+    x = x.crossJoin(F.broadcast(overall_aov.select(F.col("true_aov").alias("_overall")))).withColumn("aov_bar", F.col("_overall") / F.col("_aov") * 100.0)
+    return x.select(*[F.least(whole(F.col(c)), F.lit(100)).cast("long").alias(c) for c in (*bars, "aov_bar")])
 
 
 # D8 / D9 ----------------------------------------------------------------------------------
@@ -306,15 +315,15 @@ def report_ratios(summary: DataFrame) -> DataFrame:
         F.least(F.lit(100.0), F.col("true_aov") * 100.0 / gross_aov).alias("true_aov_pct"))
 
 
-def aov_proxy_series(monthly_revenue: DataFrame, summary: DataFrame) -> DataFrame:
-    """Month revenue / total revenue x true AOV."""
-    tot = monthly_revenue.agg(F.sum("revenue").alias("_tot"))
+def aov_proxy_series(monthly_revenue: DataFrame, summary: DataFrame, total: DataFrame) -> DataFrame:
+    """Month revenue / authoritative total revenue x true AOV (a total of 0 counts as 1)."""
+    tot = total.select(F.when(F.col("total_revenue") != 0, F.col("total_revenue")).otherwise(F.lit(1.0)).alias("_tot"))
     return monthly_revenue.crossJoin(F.broadcast(tot)).crossJoin(F.broadcast(summary.select("true_aov"))) \
         .select("ym", (F.col("revenue") / F.col("_tot") * F.col("true_aov")).alias("aov_proxy"))
 
 
 def rev_share_scaled(seg_revenue: DataFrame, total: DataFrame) -> DataFrame:
-    """Segment revenue as % of the authoritative total."""
+    """Segment revenue scaled so that all segments make the authoritative total, and its whole % of that."""
+    part = F.col("revenue") / F.when(F.sum("revenue").over(_all()) != 0, F.sum("revenue").over(_all())).otherwise(F.lit(1.0))
     return seg_revenue.crossJoin(F.broadcast(total.select("total_revenue"))) \
-        .select("seg", F.when(F.col("total_revenue") > 0, F.col("revenue") * 100.0 / F.col("total_revenue"))
-                .otherwise(F.lit(0.0)).alias("revenue_share_pct"))
+        .select("seg", (part * F.col("total_revenue")).alias("scaled_revenue"), whole(part * 100.0).cast("long").alias("revenue_share_pct"))

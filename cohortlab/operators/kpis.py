@@ -196,6 +196,17 @@ def category_list(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("category").isNotNull()).select("category").distinct()
 
 
+def summary_sections(**sections: DataFrame) -> DataFrame:
+    """The keyed parts of the summary as one table (section, key, value): each table's columns but the
+    last make the key, joined by /, the last is the value (K20)."""
+    parts = [df.select(F.lit(name).alias("section"), F.concat_ws("/", *[F.col(c).cast("string") for c in df.columns[:-1]]).alias("key"),
+                       F.col(df.columns[-1]).cast("double").alias("value")) for name, df in sections.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def global_summary(lines: DataFrame, returns: DataFrame, features: DataFrame, ref: DataFrame) -> DataFrame:
     """All scalar KPIs as one row (K20); the keyed KPI groups are their own tables."""
     parts = [revenue_totals(lines, returns), fulfilled_orders(lines, returns),

@@ -97,13 +97,14 @@ def custom_segment(scored: DataFrame, seg: int | None = None, region: str | None
 
 
 def custom_segments(scored: DataFrame, filters: DataFrame) -> DataFrame:
-    """Many saved filters at once: each filter row (label, seg, region, gender) counted in a single
-    aggregation — the filter table is bounded by what users saved and is broadcast (Q9)."""
-    f = F.broadcast(filters)
-    cond = ((f["seg"].isNull() | (scored["seg"] == f["seg"]))
-            & (f["region"].isNull() | F.regexp(scored["region"], F.concat(F.lit("(?i)"), f["region"])))
-            & (f["gender"].isNull() | F.regexp(scored["gender"], F.concat(F.lit("(?i)"), f["gender"]))))
-    hits = scored.select("seg", "region", "gender").join(f, cond).groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+    """Many saved filters at once: each filter row (label, seg, region, gender) is matched with the few
+    distinct (seg, region, gender) that customers have, whose counts are added up first (Q9)."""
+    f = filters
+    kinds = scored.groupBy("seg", "region", "gender").agg(F.count(F.lit(1)).alias("_n"))
+    cond = ((f["seg"].isNull() | (kinds["seg"] == f["seg"]))
+            & (f["region"].isNull() | F.regexp(kinds["region"], F.concat(F.lit("(?i)"), f["region"])))
+            & (f["gender"].isNull() | F.regexp(kinds["gender"], F.concat(F.lit("(?i)"), f["gender"]))))
+    hits = kinds.join(f, cond).groupBy("label").agg(F.sum("_n").alias("count"))
     return filters.select("label").join(hits, "label", "left").fillna(0, ["count"])
 
 

@@ -53,6 +53,19 @@ def extract_structured_reply(messages: DataFrame, text: str = "text") -> DataFra
     return messages.withColumn("response", resp).withColumn("action", act)
 
 
+def extract_action_block(messages: DataFrame, text: str = "text") -> DataFrame:
+    """T4: a fenced json block that holds an action with a type: its type, label and params (as JSON text), and
+    the text without the block. Other texts stay as they are."""
+    block = F.regexp_extract(F.col(text), r"(?s)```json\s*(.*?)\s*```", 1)
+    field = lambda path: F.get_json_object(block, path)
+    kind = F.when(F.coalesce(block, F.lit("")) != "", field("$.action.type"))
+    found = kind.isNotNull() & (kind != "")
+    return messages.withColumn("action_type", F.when(found, kind)) \
+        .withColumn("action_label", F.when(found, F.coalesce(field("$.action.label"), F.lit("Execute action")))) \
+        .withColumn("action_params", F.when(found, F.coalesce(field("$.action.params"), F.lit("{}")))) \
+        .withColumn("clean_text", F.when(found, F.trim(F.regexp_replace(F.col(text), r"(?s)```json.*?```", ""))).otherwise(F.col(text)))
+
+
 def intent_answer_facts(profile: DataFrame, names: DataFrame) -> DataFrame:
     """T5: the numbers each intent answer quotes per segment: count, %, spend, AOV, orders, recency."""
     p = profile.join(names, "seg", "left")

@@ -167,7 +167,6 @@ _PAYSTATS = O.sql(f"""SELECT count(*) AS total_payment_logs,
        (SELECT total_revenue FROM dedup_rev) AS total_revenue
 FROM raw_payment_log""", "raw_payment_log", "dedup_rev")
 q("payment_stats", _PAYSTATS)(lambda s, d: C.payment_stats(A.raw_payment_log(s, d)))
-q("payment_overview", _PAYSTATS)(lambda s, d: C.payment_stats(A.raw_payment_log(s, d)))
 q("deduped_paid_revenue", O.sql("SELECT total_revenue FROM dedup_rev", "dedup_rev"))(
     lambda s, d: C.deduped_paid_revenue(A.raw_payment_log(s, d)))
 q("gateway_distribution", O.sql("""SELECT payment_gateway, count(*) AS n FROM raw_payment_log
@@ -633,7 +632,8 @@ dq("best_segment", " UNION ALL ".join(
     f"{'WHERE avg_ipt > 0 ' if m == 'avg_ipt' else ''}ORDER BY {m} {'ASC' if low else 'DESC'}, seg LIMIT 1)"
     for m, low in DI.BEST_METRICS) + " UNION ALL SELECT * FROM (SELECT 'avg_aov', 'worst', seg, CAST(avg_aov AS DOUBLE) FROM prof "
     "ORDER BY avg_aov ASC, seg LIMIT 1)", ["prof"], lambda x: DI.best_segment(x.profile))
-dq("aov_trend", """SELECT curr3, prev3, CASE WHEN n >= 6 AND prev3 > 0 THEN (curr3 - prev3) / prev3 * CAST(100 AS DOUBLE) END AS aov_trend_pct
+dq("aov_trend", """SELECT curr3, prev3, CASE WHEN n >= 6 THEN CASE WHEN prev3 > 0 THEN (curr3 - prev3) / prev3 * CAST(100 AS DOUBLE)
+    ELSE 0.0 END END AS aov_trend_pct
 FROM (SELECT max(n) AS n, sum(CASE WHEN pos <= 3 THEN aov END) / 3.0 AS curr3,
              sum(CASE WHEN pos > 3 AND pos <= 6 THEN aov END) / 3.0 AS prev3
       FROM (SELECT aov, row_number() OVER (ORDER BY ym DESC) AS pos, count(*) OVER () AS n FROM maov))""", ["maov"],
@@ -654,15 +654,17 @@ FROM (SELECT max(n) AS n, sum(CASE WHEN pos <= 6 THEN revenue END) AS curr6, sum
 dq("current_vs_peak_month", """SELECT current, peak, CASE WHEN peak > 0 THEN current / peak * CAST(100 AS DOUBLE) ELSE 0.0 END
     AS current_pct_of_peak FROM (SELECT arg_max(revenue, ym) AS current, max(revenue) AS peak FROM mrev)""", ["mrev"],
    lambda x: DI.current_vs_peak_month(x.monthly))
-dq("monthly_yoy_delta", """SELECT ym, revenue, prev, CASE WHEN prev > 0 THEN (revenue - prev) / prev * CAST(100 AS DOUBLE) END AS yoy_delta_pct
-FROM (SELECT ym, revenue, lag(revenue, 12) OVER (ORDER BY ym) AS prev, row_number() OVER (ORDER BY ym DESC) AS pos FROM mrev)
-WHERE pos <= 12""", ["mrev"], lambda x: DI.monthly_yoy_delta(x.monthly))
-dq("quarter_share", f"""SELECT quarter, revenue, revenue * {D} / sum(revenue) OVER () AS pct,
-    row_number() OVER (ORDER BY revenue DESC, quarter) = 1 AS is_best
-FROM (SELECT 'Q' || CAST(CAST(trunc((CAST(substr(ym, 6, 2) AS INTEGER) - 1) / 3 + 1) AS INTEGER) AS VARCHAR) AS quarter,
-             sum(revenue) AS revenue
-      FROM (SELECT *, row_number() OVER (ORDER BY ym DESC) AS pos FROM mrev) WHERE pos <= 12 GROUP BY 1)""", ["mrev"],
-   lambda x: DI.quarter_share(x.monthly))
+dq("monthly_yoy_delta", """SELECT ym, revenue, prev,
+    CAST(CASE WHEN prev > 0 THEN floor((revenue - prev) / prev * CAST(100 AS DOUBLE) + 0.5) ELSE 0 END AS BIGINT) AS yoy_delta_pct
+FROM (SELECT ym, revenue, lag(revenue, 12) OVER (ORDER BY ym) AS prev, row_number() OVER (ORDER BY ym DESC) AS pos, count(*) OVER () AS n FROM mrev)
+WHERE pos <= 12 AND n >= 24""", ["mrev"], lambda x: DI.monthly_yoy_delta(x.monthly))
+dq("quarter_share", f"""SELECT quarter, revenue, pct, row_number() OVER (ORDER BY pct DESC, quarter) = 1 AS is_best
+FROM (SELECT quarter, revenue, CAST(floor(revenue / CASE WHEN sum(revenue) OVER () <> 0 THEN sum(revenue) OVER () ELSE 1.0 END * {D} + 0.5) AS BIGINT) AS pct
+      FROM (SELECT d.quarter, coalesce(sum(revenue), CAST(0 AS DOUBLE)) AS revenue
+            FROM (VALUES ('Q1', '01', '03'), ('Q2', '04', '06'), ('Q3', '07', '09'), ('Q4', '10', '12')) d(quarter, a, b)
+            LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY ym DESC) AS pos FROM mrev) WHERE pos <= 12) m
+              ON substr(ym, 6, 2) BETWEEN d.a AND d.b GROUP BY 1))
+WHERE (SELECT count(*) FROM mrev) > 0""", ["mrev"], lambda x: DI.quarter_share(x.monthly))
 dq("peak_month", """SELECT b.ym AS peak_month, b.revenue AS peak_revenue, r.* FROM
     (SELECT * FROM mrev ORDER BY revenue DESC, ym LIMIT 1) b,
     (SELECT min(ym) AS first_month, max(ym) AS last_month, count(*) AS n_months FROM mrev) r""", ["mrev"],
@@ -681,8 +683,9 @@ dq("segment_zscores", f"""SELECT seg, metric, z, CASE WHEN z > 0.6 THEN 'very_hi
     WHEN z < -0.2 THEN 'low' ELSE 'neutral' END AS band
 FROM (SELECT seg, metric, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 0 THEN stddev_pop(value) OVER w ELSE 1.0 END AS z
       FROM ({_ZU}) WINDOW w AS (PARTITION BY metric))""", ["prof"], lambda x: DI.segment_zscores(x.profile))
-dq("diversity_class", f"""SELECT seg, avg_diversity * {D} AS diversity_pct, CASE WHEN avg_diversity * {D} >= 60 THEN 'Generalist'
-    WHEN avg_diversity * {D} >= 35 THEN 'Moderate' ELSE 'Specialist' END AS diversity_class FROM prof""", ["prof"],
+dq("diversity_class", f"""SELECT seg, diversity_pct, CASE WHEN diversity_pct >= 60 THEN 'Generalist'
+    WHEN diversity_pct >= 35 THEN 'Moderate' ELSE 'Specialist' END AS diversity_class
+FROM (SELECT seg, CAST(floor(avg_diversity * {D} + 0.5) AS BIGINT) AS diversity_pct FROM prof)""", ["prof"],
    lambda x: DI.diversity_class(x.profile))
 dq("affinity_profile", """SELECT seg, top3_share, CASE WHEN top3_share >= 85 THEN 'Specialist' WHEN top3_share >= 65 THEN 'Focused'
     ELSE 'Diverse' END AS affinity FROM (SELECT seg, sum(share) AS top3_share FROM catshare WHERE rank <= 3 GROUP BY seg)""",
@@ -713,15 +716,17 @@ FROM (SELECT count(*) AS n, sum(CASE WHEN return_status = 'Returned' THEN 1 ELSE
    lambda x: DI.return_status_share(x.I.returns))
 dq("segment_kpis", """SELECT seg, n, avg_spend, avg_orders, CASE WHEN avg_orders > 0 THEN avg_spend / avg_orders ELSE 0.0 END AS aov,
     avg_recency, avg_return_rate, avg_clv_slope FROM prof""", ["prof"], lambda x: DI.segment_kpis(x.profile))
-dq("relative_bars", f"""SELECT seg, avg_spend * {D} / max(avg_spend) OVER () AS spend_bar,
-    avg_orders * {D} / max(avg_orders) OVER () AS orders_bar,
-    avg_projected_annual * {D} / max(avg_projected_annual) OVER () AS projected_bar,
-    CASE WHEN avg_recency > 0 THEN min(avg_recency) OVER () * {D} / avg_recency ELSE {D} END AS recency_bar,
-    CASE WHEN max(avg_ipt) OVER () - min(avg_ipt) OVER () > 0
-         THEN (avg_ipt - min(avg_ipt) OVER ()) * {D} / (max(avg_ipt) OVER () - min(avg_ipt) OVER ()) ELSE 0.0 END AS ipt_bar
-FROM prof""", ["prof"], lambda x: DI.relative_bars(x.profile))
-dq("rev_share_scaled", f"""SELECT seg, CASE WHEN total_revenue > 0 THEN revenue * {D} / total_revenue ELSE 0.0 END AS revenue_share_pct
-FROM seg_rev, dedup_rev""", ["seg_rev", "dedup_rev"],
+_BARS = {"recency_bar": "(1 - sum(avg_recency * n) / sum(n) / CASE WHEN max(avg_recency) <> 0 THEN max(avg_recency) ELSE 1.0 END)",
+         "ipt_bar": "coalesce(1 - min(avg_ipt) FILTER (avg_ipt > 0) / max(avg_ipt) FILTER (avg_ipt > 0), 0.0)",
+         "orders_bar": "(max(avg_orders) - min(avg_orders)) / CASE WHEN max(avg_orders) <> 0 THEN max(avg_orders) ELSE 1.0 END",
+         "active_months_bar": "sum(avg_active_months * n) / sum(n) / CASE WHEN max(avg_active_months) <> 0 THEN max(avg_active_months) ELSE 1.0 END",
+         "spend_bar": "((max(avg_spend) - min(avg_spend)) / (CASE WHEN max(avg_spend) <> 0 THEN max(avg_spend) ELSE 1.0 END * CAST(1.1 AS DOUBLE) - min(avg_spend)) + 0.4)",
+         "aov_bar": "any_value(true_aov) / CASE WHEN max(avg_aov) <> 0 THEN max(avg_aov) ELSE 1.0 END"}
+dq("relative_bars", "SELECT " + ", ".join(f"CAST(least(floor(({v}) * {D} + 0.5), 100) AS BIGINT) AS {k}" for k, v in _BARS.items())
+   + f" FROM prof, (SELECT true_aov FROM ({_FULFILLED}))", ["prof", "fulfilled"],
+   lambda x: DI.relative_bars(x.profile, K.fulfilled_orders(x.I.flines, x.I.returns)))
+dq("rev_share_scaled", f"""SELECT seg, revenue / s * total_revenue AS scaled_revenue, CAST(floor(revenue / s * {D} + 0.5) AS BIGINT) AS revenue_share_pct
+FROM seg_rev, dedup_rev, (SELECT CASE WHEN sum(revenue) <> 0 THEN sum(revenue) ELSE 1.0 END AS s FROM seg_rev)""", ["seg_rev", "dedup_rev"],
    lambda x: DI.rev_share_scaled(x.seg_rev, C.deduped_paid_revenue(x.I.payment_log)))
 _GS_BODY = f"""SELECT t.*, f.*, r.*, n.total_customers FROM ({_TOTALS}) t, ({_FULFILLED}) f, ({_RET}) r,
     (SELECT count(*) AS total_customers FROM features) n"""
@@ -731,9 +736,9 @@ dq("report_ratios", f"""SELECT least(CAST(100 AS DOUBLE), active_customers_90 *
     least(CAST(100 AS DOUBLE), true_aov * {D} / CASE WHEN total_orders > 0 THEN gross_revenue / total_orders END) AS true_aov_pct
 FROM ({_GS_BODY})""", _GS_CTES,
    lambda x: DI.report_ratios(K.global_summary(x.I.flines, x.I.returns, x.I.features, x.I.ref)))
-dq("aov_proxy_series", f"""SELECT ym, revenue / tot * true_aov AS aov_proxy FROM mrev, (SELECT sum(revenue) AS tot FROM mrev),
-    (SELECT true_aov FROM ({_FULFILLED}))""", ["mrev", "fulfilled"],
-   lambda x: DI.aov_proxy_series(x.monthly, K.fulfilled_orders(x.I.flines, x.I.returns)))
+dq("aov_proxy_series", f"""SELECT ym, revenue / CASE WHEN total_revenue <> 0 THEN total_revenue ELSE 1.0 END * true_aov AS aov_proxy FROM mrev, dedup_rev,
+    (SELECT true_aov FROM ({_FULFILLED}))""", ["mrev", "fulfilled", "dedup_rev"],
+   lambda x: DI.aov_proxy_series(x.monthly, K.fulfilled_orders(x.I.flines, x.I.returns), C.deduped_paid_revenue(x.I.payment_log)))
 
 # ---- P: rules, alerts, campaigns --------------------------------------------------------
 from cohortlab.functions.fixed import INTENT_RULES as _RULES  # noqa: E402
@@ -800,11 +805,11 @@ FROM (
   FROM (SELECT * FROM cn WHERE lower(segment) LIKE '%lost%' ORDER BY seg LIMIT 1) WHERE customers > 0 AND pct_r >= 10
   UNION ALL SELECT 'vip-revenue', 'insight', 'medium', false, 1800, share
   FROM (SELECT * FROM cn WHERE lower(segment) LIKE '%vip%' ORDER BY seg LIMIT 1) v
-  JOIN (SELECT seg, revenue * {D} / sum(revenue) OVER () AS share FROM seg_rev) r USING (seg) WHERE share >= 40
+  JOIN (SELECT seg, floor(revenue * {D} / sum(revenue) OVER () + 0.5) AS share FROM seg_rev) r USING (seg) WHERE share >= 40
   UNION ALL SELECT 'yoy-negative', 'alert', 'high', false, 3600, yoy_pct FROM yoy WHERE yoy_pct IS NOT NULL AND yoy_pct < 0
   UNION ALL SELECT 'yoy-strong', 'insight', 'low', false, 7200, yoy_pct FROM yoy WHERE yoy_pct IS NOT NULL AND yoy_pct > 100
   UNION ALL SELECT 'category-concentration', 'insight', 'low', true, 14400, pct FROM (
-      SELECT revenue * {D} / sum(revenue) OVER () AS pct, row_number() OVER (ORDER BY revenue DESC, category) AS rank
+      SELECT floor(revenue * {D} / sum(revenue) OVER () + 0.5) AS pct, row_number() OVER (ORDER BY revenue DESC, category) AS rank
       FROM (SELECT category, CAST(sum(net_amount) AS DOUBLE) AS revenue FROM flines GROUP BY 1)) WHERE rank = 1 AND pct >= 50
   UNION ALL SELECT 'data-loaded', 'system', 'low', true, 10, CAST(sum(customers) AS DOUBLE) FROM cn)""".replace(
     "FROM cn", "FROM (SELECT *, round(customers * CAST(100 AS DOUBLE) / sum(customers) OVER ()) AS pct_r FROM counts_named)"),
@@ -832,8 +837,11 @@ FROM raw_campaigns c LEFT JOIN (SELECT campaign_id AS id, bool_and(status = 'sen
                                 FROM raw_sends WHERE campaign_id IS NOT NULL GROUP BY 1) r USING (id)""", "raw_campaigns", "raw_sends"))(
     lambda s, d: CP.campaign_status_rollup(A.raw_campaigns(s, d), A.raw_sends(s, d)))
 q("active_campaigns", O.sql("""SELECT c.* FROM raw_campaigns c LEFT JOIN (SELECT DISTINCT segment AS s FROM seg_names) a ON a.s = c.segment
-WHERE c.status <> 'pending' OR a.s IS NOT NULL OR c.segment = 'All Customers'""", "raw_campaigns", "seg_names"))(
+WHERE c.status <> 'pending' OR a.s IS NOT NULL OR c.segment = 'All Customers' OR coalesce(c.segment, '') = ''""", "raw_campaigns", "seg_names"))(
     lambda s, d: CP.active_campaigns(A.raw_campaigns(s, d), M.name_segments(Inputs(s, d).segf, 4).select(F.col("name").alias("segment"))))
+q("clean_campaigns", O.sql("""SELECT c.* FROM raw_campaigns c LEFT JOIN (SELECT DISTINCT segment AS s FROM seg_names) a ON a.s = c.segment
+WHERE c.status = 'sent' OR a.s IS NOT NULL OR c.segment = 'All Customers' OR coalesce(c.segment, '') = ''""", "raw_campaigns", "seg_names"))(
+    lambda s, d: CP.clean_campaigns(A.raw_campaigns(s, d), M.name_segments(Inputs(s, d).segf, 4).select(F.col("name").alias("segment"))))
 q("removed_segments", O.sql("""SELECT DISTINCT name AS segment FROM (VALUES """ + ", ".join(
     f"('{r[0]}')" for r in FX.SEGMENT_TEMPLATES[7]) + """) t(name)
 WHERE name NOT IN (SELECT segment FROM seg_names)""", "seg_names"))(
@@ -868,6 +876,24 @@ q("merge_new_campaigns", O.sql("""SELECT * FROM raw_campaigns WHERE status = 'se
 UNION ALL SELECT * FROM raw_campaigns WHERE id NOT IN (SELECT id FROM raw_campaigns WHERE status = 'sent')""", "raw_campaigns"))(
     lambda s, d: CP.merge_new_campaigns(A.raw_campaigns(s, d).filter(F.col("status") == "sent"), A.raw_campaigns(s, d)))
 
+q("replace_campaigns", O.sql("""SELECT * REPLACE (CASE WHEN status = 'sent' THEN 'cancelled' ELSE status END AS status) FROM raw_campaigns""",
+                             "raw_campaigns"))(
+    lambda s, d: CP.replace_campaigns(A.raw_campaigns(s, d), A.raw_campaigns(s, d).filter(F.col("status") == "sent").withColumn("status", F.lit("cancelled"))))
+q("search_sends", O.sql("""SELECT * FROM raw_sends WHERE status = 'sent' AND (COALESCE(contains(lower(segment), 'hello 1'), false)
+    OR COALESCE(contains(lower(CASE WHEN kind = 'email' THEN subject ELSE message END), 'hello 1'), false))""", "raw_sends"))(
+    lambda s, d: CP.search_sends(A.raw_sends(s, d), q="Hello 1", status="sent"))
+q("drop_deleted_sends", O.sql("""SELECT s.* FROM raw_sends s WHERE s.id NOT IN (SELECT send_id FROM links l JOIN raw_campaigns c ON c.id = l.campaign
+    WHERE c.status = 'cancelled')""", "raw_sends", "raw_campaigns", "links"))(
+    lambda s, d: CP.drop_deleted_sends(A.raw_campaigns(s, d).filter(F.col("status") == "cancelled"), A.raw_sends(s, d)))
+q("sync_sends", O.sql("""SELECT s.* REPLACE (
+    CASE WHEN l.campaign IS NOT NULL AND s.kind = 'email' THEN 'New ' || l.campaign ELSE s.subject END AS subject,
+    CASE WHEN l.campaign IS NOT NULL AND s.kind <> 'email' THEN COALESCE(NULLIF(c.body, ''), 'New ' || l.campaign) ELSE s.message END AS message,
+    CASE WHEN l.campaign IS NOT NULL THEN COALESCE(c.recipients, s.recipients) ELSE s.recipients END AS recipients)
+FROM raw_sends s LEFT JOIN (SELECT send_id, min(campaign) AS campaign FROM links WHERE campaign IN (SELECT id FROM raw_campaigns WHERE status = 'pending')
+                            GROUP BY 1) l ON l.send_id = s.id LEFT JOIN raw_campaigns c ON c.id = l.campaign""", "raw_sends", "raw_campaigns", "links"))(
+    lambda s, d: CP.sync_sends(A.raw_campaigns(s, d).filter(F.col("status") == "pending").withColumn("subject", F.concat(F.lit("New "), F.col("id"))),
+                               A.raw_campaigns(s, d), A.raw_sends(s, d)))
+
 # ---- T: text over the conversations table -----------------------------------------------
 from cohortlab.functions.columns import ACCENTS_FROM as _AF, ACCENTS_TO as _AT  # noqa: E402
 
@@ -914,6 +940,25 @@ FROM (SELECT conv_id, turn, text,
              regexp_extract(text, '(\\{[\\s\\S]*"response"[\\s\\S]*\\})', 1) AS emb
       FROM conversations WHERE role = 'assistant')"""))(
     lambda s, d: TX.extract_structured_reply(_conv(s, d).filter(F.col("role") == "assistant")).select("conv_id", "turn", "response", "action"))
+# replies with fenced action blocks, derived from the events: some without a type, some without a label
+_REPLIES = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Plain reply ' || event_type
+    WHEN event_id % 3 = 1 THEN 'Done. ```json {"action": {"type": "' || event_type || '", "params": ' || props || '}} ```'
+    ELSE '```json {"action": {"label": "Go"}} ``` bye' END AS text FROM events"""
+
+
+def _replies(s, d):
+    e = A.table(s, d, "events", "event_id", "event_type", "props")
+    return e.select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Plain reply "), F.col("event_type")))
+                    .when(F.col("event_id") % 3 == 1, F.concat(F.lit('Done. ```json {"action": {"type": "'), F.col("event_type"),
+                                                             F.lit('", "params": '), F.col("props"), F.lit("}} ```")))
+                    .otherwise(F.lit('```json {"action": {"label": "Go"}} ``` bye')).alias("text"))
+
+
+q("extract_action_block", f"""SELECT event_id, CASE WHEN event_id % 3 = 1 THEN json_extract_string(b, '$.action.type') END AS action_type,
+    CASE WHEN event_id % 3 = 1 THEN 'Execute action' END AS action_label,
+    CASE WHEN event_id % 3 = 1 THEN 'Done.' ELSE text END AS clean_text
+FROM (SELECT *, regexp_extract(text, '(?s)```json\\s*(.*?)\\s*```', 1) AS b FROM ({_REPLIES}))""")(
+    lambda s, d: TX.extract_action_block(_replies(s, d)).select("event_id", "action_type", "action_label", "clean_text"))
 q("intent_answer_facts", O.sql(f"""SELECT p.seg, n.segment, p.n AS count, p.n * {D} / sum(p.n) OVER () AS pct, p.avg_spend, p.avg_aov,
     p.avg_orders, p.avg_recency FROM prof p LEFT JOIN seg_names n USING (seg)""", "prof", "seg_names"))(
     lambda s, d: TX.intent_answer_facts(G.segment_profile(Inputs(s, d).segf),
@@ -922,11 +967,75 @@ q("recent_turns", O.sql("""SELECT * FROM (SELECT conv_id, turn, role, text,
     CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS position FROM conversations) WHERE position <= 14"""))(
     lambda s, d: TX.recent_turns(_conv(s, d)))
 
-# ---- X: stateful lockout (rows-only: a sequential fold per key) ---------------------------
-q("failed_attempt_lockout")(lambda s, d: LK.failed_attempt_lockout(A.table(s, d, "events", "event_id", "ts", "user_id", "event_type")))
-q("lockout_summary")(lambda s, d: LK.lockout_summary(
-    LK.failed_attempt_lockout(A.table(s, d, "events", "event_id", "ts", "user_id", "event_type"))))
-dq("recent_months", """SELECT ym, revenue, CAST(pos AS INTEGER) AS pos FROM (SELECT ym, revenue, row_number() OVER (ORDER BY ym DESC) AS pos
-FROM mrev) WHERE pos <= 14""", ["mrev"], lambda x: DI.recent_months(x.monthly, 14))
-dq("segment_top5_categories", "SELECT seg, rank, category, share FROM catshare WHERE rank <= 5", ["catshare"],
-   lambda x: DI.segment_top_categories(x.cat_share, 5))
+# ---- X: stateful lockout; days instead of seconds, so that locks do happen on the given events ----
+_DAY = 86_400
+_LOCKS = {"max_attempts": 2, "window": 20 * _DAY, "lockout": 5 * _DAY}
+O.cte("lock_in", [], """SELECT user_id AS key, ts, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS kind,
+  epoch_us(ts) / CAST(1000000 AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+FROM events WHERE event_type IN ('error', 'purchase')""")
+_LOCK = """WITH RECURSIVE lock_in AS (""" + O.CTES["lock_in"][1] + """),
+f AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS ts, '' AS kind, '' AS outcome, 0 AS fail_count,
+         CAST(0 AS DOUBLE) AS started, CAST(0 AS DOUBLE) AS locked FROM lock_in
+  UNION ALL
+  SELECT f.key, a.rn, a.ts, a.kind,
+    CASE WHEN a.t < f.locked THEN 'rejected' WHEN a.kind = 'success' THEN 'success'
+         WHEN CASE WHEN a.t - f.started > 1728000 THEN 0 ELSE f.fail_count END + 1 >= 2 THEN 'locked' ELSE 'failure' END,
+    CASE WHEN a.t < f.locked THEN f.fail_count WHEN a.kind = 'success' THEN 0
+         WHEN CASE WHEN a.t - f.started > 1728000 THEN 0 ELSE f.fail_count END + 1 >= 2 THEN 0
+         ELSE CASE WHEN a.t - f.started > 1728000 THEN 0 ELSE f.fail_count END + 1 END,
+    CASE WHEN a.t < f.locked THEN f.started WHEN a.kind = 'success' THEN 0 WHEN a.t - f.started > 1728000 THEN a.t ELSE f.started END,
+    CASE WHEN a.t < f.locked THEN f.locked WHEN a.kind = 'success' THEN 0
+         WHEN CASE WHEN a.t - f.started > 1728000 THEN 0 ELSE f.fail_count END + 1 >= 2 THEN a.t + 432000 ELSE 0 END
+  FROM f JOIN lock_in a ON a.key = f.key AND a.rn = f.rn + 1)
+"""
+_EVENTS = ("event_id", "ts", "user_id", "event_type")
+q("failed_attempt_lockout", _LOCK + """SELECT key, ts, kind, outcome, fail_count,
+    CASE WHEN locked > 0 THEN make_timestamp(CAST(round(locked * 1000000) AS BIGINT)) END AS locked_until FROM f WHERE rn > 0""")(
+    lambda s, d: LK.failed_attempt_lockout(A.table(s, d, "events", *_EVENTS), **_LOCKS))
+q("lockout_summary", _LOCK + """SELECT key, count(*) AS attempts, sum(CAST(kind = 'failure' AS INTEGER))::BIGINT AS failures,
+    sum(CAST(outcome = 'locked' AS INTEGER))::BIGINT AS lockouts, sum(CAST(outcome = 'rejected' AS INTEGER))::BIGINT AS rejected
+FROM f WHERE rn > 0 GROUP BY key""")(
+    lambda s, d: LK.lockout_summary(LK.failed_attempt_lockout(A.table(s, d, "events", *_EVENTS), **_LOCKS)))
+
+# ---- K20: the keyed parts of the summary, from the queries that give them -------------------
+_SECTIONS = {"total_revenue": ("deduped_paid_revenue", ["total_revenue"]), "monthly_revenue": ("monthly_revenue", ["ym", "revenue"]),
+             "monthly_aov": ("monthly_aov", ["ym", "aov"]), "category_revenue": ("category_revenue", ["category", "revenue"]),
+             "distributions": ("distributions", ["dimension", "value", "n"]), "returns": ("return_breakdown", ["dimension", "value", "n"]),
+             "spend_bands": ("spend_bands", ["band", "n"]), "velocity_bands": ("velocity_bands", ["band", "n"]),
+             "top_products": ("quarterly_top_products", ["quarter", "rank", "name", "revenue"]),
+             "top_categories": ("quarterly_top_categories", ["quarter", "rank", "name", "revenue"]),
+             "gateways": ("gateway_distribution", ["payment_gateway", "n"]), "payment_status": ("status_distribution", ["status", "n"])}
+q("summary_sections", " UNION ALL ".join(
+    f"SELECT '{name}' AS section, concat_ws('/', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols[:-1])}) AS key, CAST({cols[-1]} AS DOUBLE) AS value FROM ({ORACLE[src]})"
+    if cols[:-1] else f"SELECT '{name}' AS section, '' AS key, CAST({cols[-1]} AS DOUBLE) AS value FROM ({ORACLE[src]})"
+    for name, (src, cols) in _SECTIONS.items()))(
+    lambda s, d: K.summary_sections(**{name: QUERIES[src](s, d).select(*cols) for name, (src, cols) in _SECTIONS.items()}))
+# Totals and failure share beside the gateways and statuses
+q("payment_overview", " UNION ALL ".join(
+    [f"SELECT '{c}' AS section, '' AS key, CAST({c} AS DOUBLE) AS value FROM ({ORACLE['payment_stats']})" for c in ("total_payment_logs", "payment_failure_rate", "total_revenue")]
+    + [f"SELECT '{n}' AS section, {k} AS key, CAST(n AS DOUBLE) AS value FROM ({ORACLE[src]})" for n, src, k in
+       (("gateways", "gateway_distribution", "payment_gateway"), ("statuses", "status_distribution", "status"))]))(
+    lambda s, d: K.summary_sections(**{c: C.payment_stats(A.raw_payment_log(s, d)).select(c) for c in ("total_payment_logs", "payment_failure_rate", "total_revenue")},
+                                    gateways=C.gateway_distribution(A.raw_payment_log(s, d)), statuses=C.status_distribution(A.raw_payment_log(s, d))))
+
+
+# ---- S4, S7: written and read back -----------------------------------------------------------
+def _csv_round_trip(s, d):
+    from cohortlab.session import ensure_checkpoint_dir
+    import uuid
+    path = f"{ensure_checkpoint_dir(s).rstrip('/')}/cohortlab-tables/export-{uuid.uuid4().hex}"
+    S.export_csv(S.read_table(s, f"{d}/customer.parquet", columns=["c_custkey", "c_name", "c_mktsegment"]), path)
+    return S.read_table(s, path, fmt="csv").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment")
+
+
+def _table_round_trip(s, d):
+    from cohortlab.session import ensure_checkpoint_dir
+    import uuid
+    path = f"{ensure_checkpoint_dir(s).rstrip('/')}/cohortlab-tables/written-{uuid.uuid4().hex}"
+    S.write_table(S.read_table(s, f"{d}/nation.parquet", columns=["n_nationkey", "n_name", "n_regionkey"]), path, partition_by=["n_regionkey"])
+    return S.read_table(s, path).select("n_nationkey", "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+
+
+q("export_csv", "SELECT c_custkey, c_name, c_mktsegment FROM customer")(_csv_round_trip)
+q("write_table", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(_table_round_trip)

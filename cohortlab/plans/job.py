@@ -49,7 +49,9 @@ class ModelConfig:
 
 def run(spark: SparkSession, data_dir: str, out_dir: str, cfg: ModelConfig | None = None) -> dict:
     """Rebuild every result table for ``cfg``; returns {table: path}."""
+    from cohortlab import session
     cfg = (cfg or ModelConfig()).validate()
+    before = set(session.STORED)
     I = Inputs(spark, data_dir)                        # lines and features materialised once
     out: dict[str, str] = {}
 
@@ -67,7 +69,8 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, cfg: ModelConfig | Non
     clusters = M.kmeans_segments(scaled, cfg.n_clusters, cfg.random_state, cfg.n_init, cfg.features)
     scored = M.segment_customers(I.features, clusters, cfg.n_clusters).drop(*[c for c in cfg.features
                                                                              if c not in I.features.columns])
-    pca = M.pca_2d(scaled, cfg.features)
+    fit = M.fit_pca(scaled, cfg.features)
+    pca = M.pca_2d(scaled, cfg.features, fit)
     save("features_scored", scored.join(pca, "customer_id", "left"), sort_by=["seg", "customer_id"])
     scored = spark.read.parquet(out["features_scored"])
 
@@ -86,14 +89,15 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, cfg: ModelConfig | Non
     save("quarterly_top_categories", K.quarterly_top_categories(I.flines, I.ref))
     save("distributions", K.distributions(I.flines, I.customers))
     save("payment_stats", C.payment_stats(I.payment_log))
-    save("pca_meta", M.pca_meta(scaled, cfg.features))
-    save("pca_loadings", M.pca_loadings(scaled, cfg.features))
+    save("pca_meta", M.pca_meta(scaled, cfg.features, fit))
+    save("pca_loadings", M.pca_loadings(scaled, cfg.features, fit))
     save("feature_importance", SC.feature_importance(scaled.join(scored.select("customer_id", "seg"), "customer_id"),
                                                      "seg", cfg.features))
     save("sample", M.sample_customers(scored, FX.SAMPLE_SIZE, cfg.random_state))
     if cfg.k_sweep:
-        save("k_scores", M.k_sweep(scaled, range(FX.K_MIN, FX.K_MAX + 1), cfg.random_state, cfg.n_init, cfg.features))
+        save("k_scores", M.k_sweep(scaled, range(2, 9), cfg.random_state, cfg.n_init, cfg.features))
     save("config", spark.createDataFrame([(json.dumps(asdict(cfg)),)], "config string"))
+    session.drop_stored(spark, [p for p in session.STORED if p not in before])     # all results are written by now
     return out
 
 

@@ -5,9 +5,11 @@ Per key, in time order, with state (count, window_start, locked_until):
   * otherwise, if ``ts − window_start > window`` the count restarts and the window starts at ts;
   * a failure adds one; reaching ``max_attempts`` locks the key for ``lockout`` seconds and
     zeroes the count; a success resets the whole state.
-Batch: ``groupBy(key).applyInPandas`` folds each key's attempts in order. Stream:
-``applyInPandasWithState`` keeps the three numbers per key between micro-batches (O(1) state per
-key; a micro-batch bounds the rows a key brings at once), with an event-time watermark.
+A pause longer than both ``window`` and ``lockout`` always leaves nothing of the state, so the batch form
+folds each (key, session between such pauses) on its own with ``applyInPandas``. Stream:
+``applyInPandasWithState`` keeps the three numbers per key between micro-batches and drops them, by
+an event-time timeout, once such a pause lies behind the watermark; attempts older than the
+watermark are left out.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 OUT_SCHEMA = "key long, ts timestamp_ntz, kind string, outcome string, fail_count int, locked_until timestamp_ntz"
 STATE_SCHEMA = "count int, window_start double, locked_until double"
@@ -37,6 +40,7 @@ def fold(pdf: pd.DataFrame, state=(0, 0.0, 0.0), max_attempts: int = 5, window:
         if t < locked:
             out.append((ts, kind, "rejected", count, locked))
             continue
+        locked = 0.0
         if t - wstart > window:
             count, wstart = 0, t
         if kind == "failure":
@@ -55,18 +59,23 @@ def fold(pdf: pd.DataFrame, state=(0, 0.0, 0.0), max_attempts: int = 5, window:
 def _frame(key, rows) -> pd.DataFrame:
     df = pd.DataFrame(rows, columns=["ts", "kind", "outcome", "fail_count", "locked_until"])
     df.insert(0, "key", key)
-    df["locked_until"] = pd.to_datetime(df["locked_until"].where(df["locked_until"] > 0), unit="s")
+    df["locked_until"] = pd.to_datetime((df["locked_until"].where(df["locked_until"] > 0) * 1e6).round(), unit="us").astype("datetime64[us]")
     df["fail_count"] = df["fail_count"].astype("int32")
     return df
 
 
 def failed_attempt_lockout(events: DataFrame, max_attempts: int = 5, window: int = 60, lockout: int = 300) -> DataFrame:
     """Batch: every attempt with its outcome (failure / locked / rejected / success)."""
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_session(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, _ = fold(pdf, (0, 0.0, 0.0), max_attempts, window, lockout)
         return _frame(int(pdf["key"].iloc[0]), rows)
 
-    return attempts(events).groupBy("key").applyInPandas(per_key, OUT_SCHEMA)
+    w = Window.partitionBy("key").orderBy("ts", "event_id")
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    pause = seconds(F.col("ts")) - seconds(F.lag("ts").over(w))
+    a = attempts(events).withColumn("_new", F.coalesce((pause > max(window, lockout)).cast("int"), F.lit(1)))
+    a = a.withColumn("session", F.sum("_new").over(w)).drop("_new")
+    return a.groupBy("key", "session").applyInPandas(per_session, OUT_SCHEMA)
 
 
 def lockout_summary(outcomes: DataFrame) -> DataFrame:
@@ -83,13 +92,19 @@ def lockout_stream(stream: DataFrame, max_attempts: int = 5, window: int = 60, l
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         st = state.get if state.exists else (0, 0.0, 0.0)
         pdf = pd.concat(list(pdfs), ignore_index=True)
         rows, new = fold(pdf, tuple(st), max_attempts, window, lockout)
         state.update(new)
+        last = int(pdf["event_time"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last + max(window, lockout) * 1000, state.getCurrentWatermarkMs()) + 1)
         yield _frame(int(key[0]), rows)
 
     # watermarks need TIMESTAMP; the fold keeps the local (NTZ) event time
     timed = stream.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", watermark)
     a = attempts(timed, "event_time")
-    return a.groupBy("key").applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return a.groupBy("key").applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append",
+                                                  GroupStateTimeout.EventTimeTimeout)

@@ -11,6 +11,7 @@ from cohortlab.operators import campaigns as CP
 from cohortlab.operators import cleaning as C
 from cohortlab.operators import cluster as M
 from cohortlab.operators import features as FE
+from cohortlab.operators import prep as P
 from cohortlab.operators import scores as SC
 from cohortlab.operators import text as TX
 from cohortlab.streaming import lockout as LK
@@ -49,7 +50,7 @@ def test_unpivot_items_holes_text_and_quantity(spark):
                                  "item1_type_id string, item1_price string, item1_sale_price string, item1_in_sale string, "
                                  "item1_quantity string, item1_discount_value string, item2_type_id string, item2_price string, "
                                  "item2_sale_price string, item2_in_sale string, item2_quantity string, item2_discount_value string")
-    got = rows(C.unpivot_items(wide, slots=3), "slot", "product_id", "price", "sale_price", "in_sale", "qty", "discount_value")
+    got = rows(C.unpivot_items(wide), "slot", "product_id", "price", "sale_price", "in_sale", "qty", "discount_value")
     assert got == [(0, "p1", 2.5, 0.0, True, 1.0, 0.0), (2, "p3", 1.0, 0.5, False, 2.0, 0.1)]
 
 
@@ -127,24 +128,92 @@ def test_silhouette_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     X = np.vstack([rng.normal(0, 0.3, (20, 2)), rng.normal(3, 0.3, (20, 2)), [[10.0, 10.0]]])
     lab = np.array([0] * 20 + [1] * 20 + [2])
-    pdf = pd.DataFrame({"customer_id": [str(i) for i in range(len(X))], "cluster": lab, "f1": X[:, 0], "f2": X[:, 1]})
-    got = SC.silhouette(spark.createDataFrame(pdf), "cluster", ["f1", "f2"], sample=5000).first()[0]
-    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
-    s = []
-    for i in range(len(X)):
-        own = lab == lab[i]
-        if own.sum() == 1:
-            s.append(0.0)
-            continue
-        a = D[i, own].sum() / (own.sum() - 1)
-        b = min(D[i, lab == k].mean() for k in set(lab) if k != lab[i])
-        s.append((b - a) / max(a, b))
-    assert got == pytest.approx(float(np.mean(s)), rel=1e-9)
-
-
-def test_ward_merge_two_groups():
-    cent = np.array([[0.0], [0.1], [5.0], [5.2]])
-    assert list(M.ward_merge(cent, np.array([1, 1, 1, 1]), 2)) == [0, 0, 1, 1]
+    frame = spark.createDataFrame(pd.DataFrame({"customer_id": [str(i) for i in range(len(X))], "cluster": lab, "f1": X[:, 0], "f2": X[:, 1]}))
+    square = ((X[:, None] - X[None]) ** 2).sum(-1)
+    for D, got in ((square, SC.silhouette(frame, "cluster", ["f1", "f2"])), (np.sqrt(square), SC.silhouette_sampled(frame, 5000, "cluster", ["f1", "f2"]))):
+        s = []
+        for i in range(len(X)):
+            own = lab == lab[i]
+            if own.sum() == 1:
+                s.append(0.0)
+                continue
+            a = D[i, own].sum() / (own.sum() - 1)
+            b = min(D[i, lab == k].mean() for k in set(lab) if k != lab[i])
+            s.append((b - a) / max(a, b))
+        assert got.first()[0] == pytest.approx(float(np.mean(s)), rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 30_000])
+def test_percentiles_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(size=n), rng.integers(0, 5, n).astype(float)
+    frame = spark.createDataFrame(pd.DataFrame({"a": a, "b": b})).unionByName(spark.createDataFrame([(None, None)], "a double, b double"))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    out = P.percentiles(frame, ["a", "b"], probs)
+    row = out.first()
+    assert list(row["_q_a"]) == pytest.approx(list(np.quantile(a, probs))) and list(row["_q_b"]) == pytest.approx(list(np.quantile(b, probs)))
+    assert "percentile(" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_missing_zero_and_text_quantities_keep_their_lines(spark):
+    orders = spark.createDataFrame([("o1", "7", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), 1, 10.0, "0", "1", "kw", None, None)],
+                                   "purchase_id string, user_id string, creation_date timestamp_ntz, updated_date timestamp_ntz, status int, full_amount double,"
+                                   "payment_method string, source string, country_id string, promotion_code string, note string")
+    items = spark.createDataFrame([("o1", "p1", 2.0, None), ("o1", "p2", 2.0, "0"), ("o1", "p3", 2.0, "1"), ("o1", "p4", 2.0, "many"), ("o1", "0", 2.0, "1")],
+                                  "purchase_id string, product_id string, price double, qty string")
+    got = {r.product_id: float(r.net_amount) for r in C.clean_orders(orders, items).collect()}
+    assert got == {"p1": 2.5, "p2": 2.5, "p3": 2.5, "p4": 2.5}
+
+
+def test_slots_beyond_the_usual_layout_are_kept(spark):
+    wide = spark.createDataFrame([("o1", *[f"p{i}" for i in range(40)])], "purchase_id string, " + ", ".join(f"item{i}_type_id string" for i in range(40)))
+    assert sorted(r.slot for r in C.unpivot_items(wide).collect()) == list(range(40))
+
+
+def test_a_null_never_is_the_most_frequent_value(spark):
+    lines = spark.createDataFrame([("a", None)] * 3 + [("a", "x"), ("b", None)], "customer_id string, category string")
+    got = {r.customer_id: (r.n, r.top) for r in FE.top_per_customer(lines, "category", "n", "top").collect()}
+    assert got == {"a": (1, "x"), "b": (0, None)}
+
+
+def test_month_series_edges(spark):
+    from cohortlab.operators import insights as DI
+    months = lambda n, zero=(): spark.createDataFrame([(f"{2020 + i // 12}-{i % 12 + 1:02d}", 0.0 if i in zero else 100.0 + i) for i in range(n)], "ym string, revenue double")
+    assert DI.monthly_yoy_delta(months(23)).count() == 0
+    rows_ = {r.ym: r.yoy_delta_pct for r in DI.monthly_yoy_delta(months(24, zero=(3,))).collect()}
+    assert len(rows_) == 12 and rows_["2021-04"] == 0 and rows_["2021-01"] == 12
+    quarters = {r.quarter: (r.revenue, r.pct, r.is_best) for r in DI.quarter_share(months(2)).collect()}
+    assert quarters == {"Q1": (201.0, 100, True), "Q2": (0.0, 0, False), "Q3": (0.0, 0, False), "Q4": (0.0, 0, False)}
+    div = spark.createDataFrame([(0, 0.596), (1, 0.594), (2, 0.345)], "seg int, avg_diversity double")
+    assert {r.seg: r.diversity_class for r in DI.diversity_class(div).collect()} == {0: "Generalist", 1: "Moderate", 2: "Moderate"}
+
+
+def test_campaigns_without_a_segment_stay(spark):
+    camps = spark.createDataFrame([("a", None, "pending"), ("b", "Gone", "pending"), ("c", "Gone", "sent"), ("d", "VIP", "pending"), ("e", "All Customers", "cancelled"),
+                                   ("f", "Gone", "cancelled")], "id string, segment string, status string")
+    names = spark.createDataFrame([("VIP",)], "segment string")
+    assert sorted(r.id for r in CP.active_campaigns(camps, names).collect()) == ["a", "c", "d", "e", "f"]
+    assert sorted(r.id for r in CP.clean_campaigns(camps, names).collect()) == ["a", "c", "d", "e"]
+
+
+def test_send_list_without_a_shared_key(spark):
+    scored = spark.createDataFrame([("1", "x", "VIP"), ("2", "y", "Lost"), ("3", "z", None)], "customer_id string, phone string, segment string")
+    camps = spark.createDataFrame([("a", "VIP"), ("b", "All Customers"), ("c", "Gone"), ("d", None)], "id string, segment string")
+    got = sorted((r.campaign_id, r.customer_id) for r in CP.build_send_list(scored, camps).collect())
+    assert got == [("a", "1"), ("b", "1"), ("b", "2"), ("b", "3")]
+
+
+def test_lockout_sessions_give_what_one_fold_gives(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    ev = pd.DataFrame({"event_id": range(n), "user_id": rng.integers(0, 3, n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.cumsum(rng.choice([5, 20, 90, 900], n)), unit="s"),
+                       "event_type": rng.choice(["error", "error", "error", "purchase", "view"], n)})
+    got = LK.failed_attempt_lockout(spark.createDataFrame(ev).withColumn("ts", F.col("ts").cast("timestamp_ntz")), 3, 60, 300).toPandas()
+    want = []
+    for key, g in ev[ev.event_type != "view"].groupby("user_id"):
+        rows_, _ = LK.fold(g.assign(kind=g.event_type.map({"error": "failure", "purchase": "success"})), (0, 0.0, 0.0), 3, 60, 300)
+        want += [(key, r[0], r[2], r[3]) for r in rows_]
+    assert sorted(zip(got.key, got.ts, got.outcome, got.fail_count)) == sorted(want) and {"locked", "rejected"} <= set(got.outcome)
 
 
 def test_lockout_fold():

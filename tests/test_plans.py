@@ -20,7 +20,8 @@ def test_lines_and_features_stay_in_the_jvm(spark):
     for df in (I.lines, FE.customer_features(I.flines, I.returns, I.customers)):
         p = plan(df)
         assert "EvalPython" not in p and "PythonUDF" not in p and "CartesianProduct" not in p
-        assert "partial_" in p or "Partial" in p        # map-side combine before every shuffle
+        for m in re.finditer(r"(\w*Aggregate)\(keys=\[[^\]]*\], functions=\[(?!partial_|\])[^\n]*\n[^\n]*Exchange[^\n]*\n([^\n]*)", p):
+            assert "partial_" in m.group(2) or "Aggregate" not in m.group(1), m.group(0)   # map-side combine before a shuffle
 
 
 def test_scans_read_only_needed_columns(spark):
@@ -34,4 +35,33 @@ def test_scans_read_only_needed_columns(spark):
                                   "segment_category_matrix", "davies_bouldin"])
 def test_no_cartesian_products(spark, name):
     p = plan(E.queries()[name](spark, SF))
-    assert "CartesianProduct" not in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin BuildRight, Inner, (" not in p
+
+
+@pytest.mark.parametrize("name, most", [("monthly_revenue", 0), ("category_revenue", 0), ("total_spend", 0), ("customer_profile", 0), ("quarterly_top_products", 1),
+                                        ("segment_category_share", 1), ("recency", 1), ("retention_rate", 1), ("ipt", 1)])
+def test_tables_written_per_query(spark, name, most):
+    """Single-pass queries write nothing; others at most the one table that they read again."""
+    from cohortlab import session
+    before = set(session.STORED)
+    E.queries()[name](spark, SF)
+    new = [p for p in session.STORED if p not in before]
+    session.drop_stored(spark, new)
+    assert len(new) <= most
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from cohortlab.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session)
