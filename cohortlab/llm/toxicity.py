@@ -17,9 +17,9 @@ from cohortlab.llm.common import packed, store, unpacked
 ORDERS = (3, 4, 5)
 HASH_BITS = 18
 #: The classifier is fitted on about this many labelled texts, chosen by a hash of the id.
-MAX_TRAIN_ROWS = 40_000
+MAX_TRAIN_ROWS = 15_000
 #: Features the regression weighs: those of the greatest absolute ratio times root of their count.
-SELECTED = 20_000
+SELECTED = 10_000
 SMOOTHING, PENALTY, ROUNDS = 1.0, 1e-3, 150
 #: A text is hashed in pieces of so many characters.
 PIECE = 100_000
@@ -107,7 +107,7 @@ def fit_logistic(indptr: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio:
     weight, bias = np.zeros(len(ratio)), 0.0
     if not len(y):
         return weight, bias
-    of = np.repeat(np.arange(len(y)), np.diff(indptr))
+    of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(indptr))
     first, second = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, ROUNDS + 1):
         z = np.bincount(of, (weight * ratio)[feature], len(y)) + bias
@@ -137,9 +137,8 @@ def train_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRA
 
     def fitted(group):
         rows = sorted(zip(group["x"], group["y"]))
-        x = [np.frombuffer(a, np.int32) for a, _ in rows]
-        indptr = np.concatenate([[0], np.cumsum([len(a) for a in x])])
-        weight, bias = fit_logistic(indptr, np.concatenate(x) if x else np.zeros(0, np.int32), np.array([b for _, b in rows], np.float64), scale)
+        indptr = np.concatenate([[0], np.cumsum([len(a) // 4 for a, _ in rows])])
+        weight, bias = fit_logistic(indptr, np.frombuffer(b"".join(a for a, _ in rows), np.int32), np.array([b for _, b in rows], np.float64), scale)
         return pd.DataFrame({"weight": [(weight * scale).tobytes()], "bias": [bias]})
 
     model = (train.mapInPandas(kept, "one int, y int, x binary").groupBy("one")

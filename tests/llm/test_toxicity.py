@@ -40,9 +40,9 @@ def test_held_out_labels_are_never_read(spark):
 
 def test_grams_are_distinct_and_whole():
     grams = T.Grams()
-    text = "abc" * (T.PIECE // 2) + "grumpkin"
+    text = "abc" * (T.PIECE // 2) + " grumpkin"
     x = grams(text)
-    assert len(x) == len(set(x.tolist())) and set(T.Grams()("grumpkin").tolist()) - set(x.tolist()) <= set(T.Grams()(" gru").tolist())
+    assert len(x) == len(set(x.tolist())) and set(T.Grams()("grumpkin").tolist()) <= set(x.tolist())
     assert set(grams("grumpkin").tolist()) == set(T.Grams()("grumpkin").tolist())
 
 
