@@ -1,14 +1,13 @@
 """URL filters: host and path rules, and a naive Bayes judge of the words in host and path.
 
 Names such as ``freebets`` are split into words by a unigram Viterbi search, whose counts come from
-the pages' own visible text. Hosts whose words hold a seed word teach a multinomial naive Bayes
+the pages' own visible text: all of them, each name being joined with the words that stand in it. Hosts whose words hold a seed word teach a multinomial naive Bayes
 classifier, which then scores every url by its host and path words.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,11 +22,10 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 SEEDS = ("adult", "ads", "adserver", "bet", "bets", "betting", "casino", "cialis", "clickbait", "escort", "gambling", "jackpot",
          "malware", "payday", "phishing", "pills", "poker", "porn", "roulette", "sex", "slots", "spam", "track", "tracker",
          "tracking", "viagra", "warez", "xxx")
-#: The unigram model keeps this many words, the most frequent ones.
-MOST_WORDS = 50_000
 LONGEST_WORD = 20
+#: Words of so few letters stand in most names, and the alphabet bounds their number; longer ones are joined.
+SHORT_WORD = 3
 SMOOTHING = 1.0
-_NAME = re.compile(r"[a-z]+|[0-9]+")
 
 
 def host_of(url: Column) -> Column:
@@ -50,68 +48,95 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def word_counts(pages: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
-    """Counts of the most frequent words of the pages' visible text; the seeds count at least as often
+def word_counts(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(word, n) of all words of the pages' visible text, and the sum of n; the seeds count at least as often
     as the mean word."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", " "))
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"[a-z]+"), F.lit(0))).alias("word"))
-    rows = (words.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n"))
-            .orderBy(F.desc("n"), "word").limit(most).collect())
-    counts = {r["word"]: r["n"] for r in rows}
-    mean = max(1, sum(counts.values()) // max(1, len(counts)))
-    return counts | {w: max(mean, counts.get(w, 0)) for w in SEEDS}
+    found = store(words.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n")), "url-words")
+    total, distinct = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    mean = max(1, total // max(1, distinct))
+    held = {r["word"]: r["n"] for r in found.filter(F.col("word").isin(*SEEDS)).collect()}
+    seeds = [(w, max(mean, held.get(w, 0))) for w in SEEDS]
+    counts = found.filter(~F.col("word").isin(*SEEDS)).unionByName(pages.sparkSession.createDataFrame(seeds, "word string, n long"))
+    return counts, total + sum(n for _, n in seeds) - sum(held.values())
 
 
 class Segmenter:
     """The most probable split of a name into words of a unigram model. An unknown word of n letters
     has the probability 1 / (total * 26 ** n)."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = math.log(sum(counts.values()) or 1)
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``counts`` of all words that may stand in the names, ``total`` of all words there are."""
+        self.total = math.log((sum(counts.values()) if total is None else total) or 1)
         self.log = {w: math.log(n) - self.total for w, n in counts.items()}
-        self.known: dict[str, list[str]] = {}
 
     def __call__(self, name: str) -> list[str]:
-        if name not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            best = [(0.0, 0)]
-            for end in range(1, len(name) + 1):
-                best.append(max((best[a][0] + self.log.get(name[a:end], -self.total - 3.26 * (end - a)), a)
-                                for a in range(max(0, end - LONGEST_WORD), end)))
-            cut, words = len(name), []
-            while cut:
-                words.append(name[best[cut][1]:cut])
-                cut = best[cut][1]
-            self.known[name] = words[::-1]
-        return self.known[name]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of host and path, marked h: and p:; numbers and unknown words are one token each."""
-        return [f"{part}:{w if w == '#' or w in self.log else '?'}" for part, text in (("h", host), ("p", path.lower()))
-                for name in _NAME.findall(text) for w in (["#"] if name[0].isdigit() else self(name))]
-
-
-def _tokens(counts):
-    @F.pandas_udf("array<string>")
-    def tokens(host: pd.Series, path: pd.Series) -> pd.Series:
-        split = Segmenter(counts.value)
-        return pd.Series([split.tokens(h, p) for h, p in zip(host, path)])
+        best = [(0.0, 0)]
+        for end in range(1, len(name) + 1):
+            best.append(max((best[a][0] + self.log.get(name[a:end], -self.total - 3.26 * (end - a)), a)
+                            for a in range(max(0, end - LONGEST_WORD), end)))
+        cut, words = len(name), []
+        while cut:
+            words.append(name[best[cut][1]:cut])
+            cut = best[cut][1]
+        return words[::-1]
+
+
+def _parts(name: str, least: int, most: int) -> set[str]:
+    return {name[a:a + k] for k in range(least, most + 1) for a in range(len(name) - k + 1)}
 
-    return tokens
 
+def split_names(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(name, words) of the distinct ``name``s, unknown words as ?."""
+    short = {r["word"]: r["n"] for r in counts.filter(F.length("word") <= SHORT_WORD).collect()}
+    shared = names.sparkSession.sparkContext.broadcast(short)
 
-def naive_bayes(tokens: DataFrame) -> tuple[dict[str, float], float]:
-    """Log odds of each token and of the class. Tokens come from the bounded word list, so the table
-    is bounded too; counts are added up before they are shuffled."""
-    seed = F.array_contains(F.transform(F.array(*[F.lit(f"h:{w}") for w in SEEDS]), lambda w: F.array_contains("tokens", w)), True)
-    rows = tokens.withColumn("unwanted", seed)
+    @F.pandas_udf("array<string>")
+    def parts(names: pd.Series) -> pd.Series:
+        return pd.Series([list(_parts(x, SHORT_WORD + 1, LONGEST_WORD)) for x in names])
+
+    @F.pandas_udf("array<string>")
+    def words(names: pd.Series, found: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for name, ws, ns in zip(names, found, n):
+            own = {w: shared.value[w] for w in _parts(name, 1, SHORT_WORD) if w in shared.value}
+            if ws is not None:
+                own.update(zip(ws, ns))
+            out.append([w if w in own else "?" for w in Segmenter(own, total)(name)])
+        return pd.Series(out)
+
+    held = names.select("name", F.explode(parts("name")).alias("word")).join(counts, "word") \
+        .groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("held"))
+    return names.join(held, "name", "left").select("name", words("name", F.col("held.word"), F.col("held.n")).alias("words"))
+
+
+def url_tokens(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(row, tokens): the words of host and path of each row that has any, marked h: and p:; numbers and unknown words
+    are one token each."""
+    def of(part, text):
+        return F.transform(F.regexp_extract_all(text, F.lit("[a-z]+|[0-9]+"), F.lit(0)), lambda x: F.struct(F.lit(part).alias("part"), x.alias("name")))
+
+    names = [of("h:", F.col("host")), of("p:", F.lower("path"))]
+    named = rows.select("row", F.explode(F.concat(*names)).alias("x")).select("row", "x.part", "x.name")
+    number = F.col("name").rlike("^[0-9]")
+    split = store(split_names(named.filter(~number).select("name").distinct(), counts, total), "url-names")
+    words = F.when(number, F.array(F.lit("#"))).otherwise(F.col("words"))
+    return named.withColumn("key", F.when(~number, F.col("name"))).join(split.withColumnRenamed("name", "key"), "key", "left") \
+        .select("row", F.transform(words, lambda w: F.concat("part", w)).alias("tokens")) \
+        .groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+
+
+def naive_bayes(tokens: DataFrame) -> tuple[DataFrame, float]:
+    """(token, odds), the log odds of each token, and those of the class; counts are added up before they are shuffled."""
+    seed = F.coalesce(F.arrays_overlap("tokens", F.array(*[F.lit(f"h:{w}") for w in SEEDS])), F.lit(False))
+    rows = tokens.select("tokens", seed.alias("unwanted"))
     n = {r["unwanted"]: r["n"] for r in rows.groupBy("unwanted").agg(F.count("*").alias("n")).collect()}
-    counts = (rows.select("unwanted", F.explode("tokens").alias("token")).groupBy("token")
-              .agg(F.sum(F.col("unwanted").cast("long")).alias("bad"), F.sum((~F.col("unwanted")).cast("long")).alias("good")).collect())
-    bad, good = (sum(r[c] for r in counts) + SMOOTHING * len(counts) for c in ("bad", "good"))
-    odds = {r["token"]: math.log((r["bad"] + SMOOTHING) / bad) - math.log((r["good"] + SMOOTHING) / good) for r in counts}
-    return odds, math.log((n.get(True, 0) + SMOOTHING) / (n.get(False, 0) + SMOOTHING))
+    counts = store(rows.select("unwanted", F.explode("tokens").alias("token")).groupBy("token")
+                   .agg(F.sum(F.col("unwanted").cast("long")).alias("bad"), F.sum((~F.col("unwanted")).cast("long")).alias("good")), "url-odds")
+    all_bad, all_good, distinct = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first()
+    odds = [F.log((F.col(c) + SMOOTHING) / F.lit(float(total + SMOOTHING * max(1, distinct)))) for c, total in (("bad", all_bad), ("good", all_good))]
+    return counts.select("token", (odds[0] - odds[1]).alias("odds")), math.log((n.get(True, 0) + SMOOTHING) / (n.get(False, 0) + SMOOTHING))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -122,17 +147,15 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     Null and repeated ids and repeated rows give their own rows; null html has no words; further columns
     are ignored; an empty table gives no row.
     """
-    context = pages.sparkSession.sparkContext
-    counts = context.broadcast(word_counts(pages))
-    split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    tokens = store(split.withColumn("tokens", _tokens(counts)("host", "path")), "url-tokens")
-    model = context.broadcast(naive_bayes(tokens))
-
-    @F.pandas_udf("double")
-    def score(tokens: pd.Series) -> pd.Series:
-        odds, prior = model.value
-        return pd.Series([prior + sum(odds.get(t, 0.0) for t in x) for x in tokens], dtype="float64")
-
-    judged = tokens.withColumn("score", score("tokens")).withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
+    counts, total = word_counts(pages)
+    rows = store(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
+                              F.monotonically_increasing_id().alias("row")), "url-rows")
+    tokens = store(rows.join(url_tokens(rows, counts, total), "row", "left"), "url-tokens")
+    odds, prior = naive_bayes(tokens)
+    # summed in a fixed order, so that a score is the same in every run
+    scores = tokens.select("row", F.explode("tokens").alias("token")).join(odds, "token").groupBy("row") \
+        .agg(F.aggregate(F.array_sort(F.collect_list("odds")), F.lit(0.0), lambda x, y: x + y).alias("sum"))
+    judged = tokens.select("row", "page_id", "host", "path").join(scores, "row", "left") \
+        .withColumn("score", F.lit(prior) + F.coalesce("sum", F.lit(0.0))).withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), "score",
                          F.coalesce("found.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))

@@ -51,3 +51,18 @@ def test_edges(spark):
     rows = U.judge_urls(frame).collect()
     assert len(rows) == 4 and {r["verdict"] for r in rows} <= {"allow", "block"}
     assert U.judge_urls(frame.limit(0)).count() == 0
+
+
+def test_rare_words_count_however_many_there_are(spark):
+    """60,000 words that are more frequent push none out of the model: a name of two rare words is split into them."""
+    letters = "bcdfghjklm"
+    made = lambda i: "z" + "".join(letters[int(d)] for d in str(i).zfill(5))
+    many = " ".join(made(i) for i in range(60_000))
+    rows = [(1, "http://gardenplanet.net/a/1", f"<p>{many} {many} garden planet</p>", "h", "t"), (2, f"http://x.net/{made(59_999)}garden/", None, "h", "t")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    counts, total = U.word_counts(frame)
+    assert counts.count() == 60_002 + len(U.SEEDS) and total == 120_002 + len(U.SEEDS)
+    names = spark.createDataFrame([(x,) for x in ("gardenplanet", made(59_999) + "garden", "net")], "name string")
+    split = {r["name"]: r["words"] for r in U.split_names(names, counts, total).collect()}
+    assert split == {"gardenplanet": ["garden", "planet"], made(59_999) + "garden": [made(59_999), "garden"], "net": ["?"]}
+    assert U.judge_urls(frame).count() == 2
