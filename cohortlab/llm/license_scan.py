@@ -8,6 +8,7 @@ that speak of a licence are looked up the same way, as notices.
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,19 @@ and limitations under the License."""
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
 with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 _UNLICENSE = "This is free and unencumbered software released into the public domain."
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _whole_texts():
+    """(name, text) of the files of whole licences, those with an appendix also up to the end of their terms."""
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        yield path.stem, text
+        if _END in text:
+            yield path.stem, text[:text.index(_END) + len(_END)]
+            yield path.stem, text[:text.index(_END)]
+
+
 KNOWN = (
     ("MIT", _MIT_BODY), ("MIT", "MIT License\n" + _MIT_BODY), ("MIT", "The MIT License (MIT)\n" + _MIT_BODY), ("ISC", _ISC_BODY),
     ("ISC", "ISC License\n" + _ISC_BODY), ("BSD-2-Clause", _BSD_1 + _BSD_2), ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_1 + _BSD_2),
@@ -73,6 +87,7 @@ KNOWN = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is released into the public domain under the CC0 1.0 license."),
+    *_whole_texts(),
 )
 #: Spellings that count as equal, after lower case and punctuation.
 EQUAL = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),

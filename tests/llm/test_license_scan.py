@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 from llm_cases import edge_docs, empty_docs
 
@@ -36,3 +37,12 @@ def test_edges_and_plan(spark):
     assert len(rows) == docs.count() and {r["license"] for r in rows} == {None} and {r["n_notices"] for r in rows} == {0}
     assert L.scan_licenses(empty_docs(spark)).count() == 0
     assert not re.search("Python|Pandas|ArrowEval|Cartesian|NestedLoop", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_entire_texts_of_long_licences(spark):
+    folder = Path(L.__file__).parent / "licenses"
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    texts = {n: (folder / f"{n}.txt").read_text(encoding="utf-8") for n in names}
+    rows = [(n, "Copyright (c) 2021 Some One\n" + t.upper()) for n, t in texts.items()] + [("cut " + n, t[:len(t) // 2]) for n, t in texts.items()]
+    got = {r["doc_id"]: r["license"] for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {n: n for n in names} | {"cut " + n: None for n in names}
