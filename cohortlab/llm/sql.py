@@ -144,3 +144,65 @@ FROM w LEFT JOIN k USING (digest) LEFT JOIN n USING (doc_id)
 
 
 OP6 = _op6()
+
+#: The table of crc32 from its polynomial.
+_CRC_TABLE = ("crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), "
+              "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)")
+
+
+def _crc32(data: str) -> str:
+    """Unsigned crc32 of a list of bytes; ``crc.t`` is the table."""
+    return f"xor(list_reduce([4294967295] || {data}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+
+def _bytes(x: str) -> str:
+    """The UTF-8 bytes of a text of code points below 256."""
+    return (f"flatten(list_transform(regexp_extract_all({x}, '.'), lambda z: CASE WHEN unicode(z) < 128 THEN [unicode(z)::BIGINT] "
+            f"WHEN unicode(z) < 192 THEN [194::BIGINT, unicode(z)] ELSE [195::BIGINT, unicode(z) - 64] END))")
+
+
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+counted AS (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL HAVING length(run) >= 7),
+hashed AS (SELECT run, k, {_crc32(_bytes("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM counted, crc),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+swap AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+indel AS (SELECT DISTINCT c.word AS longer, c.n AS longer_n, w.word AS shorter, w.n AS shorter_n FROM cut c JOIN w ON c.rest = w.word),
+pairs AS (SELECT * FROM swap UNION ALL SELECT longer, shorter, shorter_n FROM indel UNION ALL SELECT shorter, longer, longer_n FROM indel),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM pairs GROUP BY word),
+named AS (SELECT p.word, min(near) AS near, any_value(n_near) AS n_near, any_value(top) AS top FROM pairs p JOIN best b ON p.word = b.word AND p.n = b.top GROUP BY p.word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 10 * w.n THEN near END AS form, CASE WHEN top >= 10 * w.n THEN top END::BIGINT AS form_n
+  FROM w LEFT JOIN named USING (word)),
+walk AS (SELECT word, form AS goal, 1 AS steps FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN forms f ON walk.goal = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, coalesce(r.goal, f.word) AS root, n, n_near, form_n
+FROM forms f LEFT JOIN (SELECT word, arg_max(goal, steps) AS goal FROM walk GROUP BY word) r USING (word)
+"""
+
+OP13 = rf"""
+WITH {_CRC_TABLE},
+texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+hashed AS (SELECT doc_id, ws, len(ws) AS n, {_crc32(_bytes("coalesce(CAST(doc_id AS VARCHAR), '')"))} AS h FROM texts, crc),
+looped AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM hashed),
+looped2 AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM looped),
+places AS (SELECT doc_id, ws, a, p, unnest(range(0, n)) AS i FROM looped2),
+w AS (SELECT doc_id, i, ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM places),
+sizes AS (SELECT doc_id, n FROM hashed),
+equal AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i JOIN sizes s ON s.doc_id = x.doc_id
+  WHERE 4 * (y.i - x.i) <= s.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal),
+long AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM long GROUP BY doc_id, start, length),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+  arg_min({{'s': start, 'l': length, 'q': period}}, {{'a': -length, 'b': start, 'c': period}}) AS top FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.l::BIGINT AS length, top.q::BIGINT AS period,
+  (1000 * top.l // top.q)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

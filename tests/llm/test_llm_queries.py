@@ -22,7 +22,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_all_are_registered():
     names = [n for n in E.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
 
 
 def test_stages(spark):
