@@ -62,6 +62,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlab.llm.html_text import extract_text
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlab.llm.spelling import garbled, spelling_variants
     return spelling_variants(table(spark, sf_dir, "documents"), garbled)
@@ -75,8 +80,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_chat_format, op3_decontamination, op4_toxicity, op5_near_duplicates, op6_license_scan,
     op7_url_filter, op8_quality, op9_line_rules, op10_secret_scan,
-    op12_spelling_variants, op13_periodic_runs)}
+    op11_html_text, op12_spelling_variants, op13_periodic_runs)}
 ORACLE = {
     "op1_mixing": sql.OP1, "op2_chat_format": sql.OP2, "op6_license_scan": sql.OP6, "op9_line_rules": sql.OP9, "op10_secret_scan": sql.OP10,
-    "op12_spelling_variants": sql.OP12, "op13_periodic_runs": sql.OP13,
+    "op11_html_text": sql.OP11, "op12_spelling_variants": sql.OP12, "op13_periodic_runs": sql.OP13,
 }

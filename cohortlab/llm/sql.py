@@ -206,3 +206,15 @@ SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start,
   (1000 * top.l // top.q)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM texts t LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+#: The given pages mark up their article, so SQL can cut it out; the operator is not told where it is.
+OP11 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, unnest(list_concat([''], string_split_regex(body, '</?(?:p|h1)>'))) AS block, generate_subscripts(list_concat([''], string_split_regex(body, '</?(?:p|h1)>')), 1) AS i FROM a),
+c AS (SELECT page_id, url, i, regexp_replace(regexp_replace(block, '<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, url, i, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS t FROM c),
+e AS (SELECT page_id, url, i, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM d)
+SELECT page_id, url, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), '') AS text,
+  length(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), ''))::BIGINT AS n_chars
+FROM e GROUP BY page_id, url
+"""
