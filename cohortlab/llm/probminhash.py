@@ -51,7 +51,8 @@ def shingles(texts: list[str], length: int = SHINGLE) -> tuple[np.ndarray, np.nd
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+    # words apart by one space first: Arrow's split at white space reads beyond a text that ends in several
+    split = pc.split_pattern(pc.utf8_lower(pa.array([" ".join(t.split()) for t in texts], pa.large_string())), " ")
     at, flat = pc.list_parent_indices(split), pc.list_flatten(split)
     some = pc.not_equal(flat, "")
     at, flat = at.filter(some).to_numpy().astype(np.int64), flat.filter(some).dictionary_encode()
@@ -89,7 +90,9 @@ def signatures(n_texts: int, of: np.ndarray, code: np.ndarray, weight: np.ndarra
         clock = clock - np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53) / rate
         live = clock < last[of]
         of, code, rate, clock, x = of[live], code[live], rate[live], clock[live], x[live]
-        slot = of * registers + (((x & np.uint64(0x7FF)) * np.uint64(registers)) >> np.uint64(11)).astype(np.int64)
+        # the register comes of bits of its own, enough of them for any number of registers
+        turned = _mixed(x ^ _MIX[0]) >> np.uint64(32)
+        slot = of * registers + ((turned * np.uint64(registers)) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(time, slot, clock)
         won = time[slot] == clock
         owner[slot[won]] = code[won]

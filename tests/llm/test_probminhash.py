@@ -34,6 +34,19 @@ def test_registers_estimate_similarity():
     assert (owner > 0).all()
 
 
+def test_white_space_is_no_word():
+    texts = [" \n\t ", "", "a b \n\t \n", "\t a\u00a0b", "a b"]
+    for _ in range(300):
+        of, code, _ = P.shingles(texts)
+        assert of.tolist() == [2, 3, 4] and len(set(code.tolist())) == 1
+
+
+def test_many_registers_end_and_fill():
+    for registers in (1, 160, 2048, 4096, 10_000):
+        owner = P.signatures(1, np.zeros(50, np.int64), np.arange(1, 51, dtype=np.uint64), np.ones(50), registers)
+        assert (owner > 0).all()
+
+
 def classes_by_brute_force(docs):
     first = {}
     for i, t in sorted(docs, key=lambda x: x[0]):
