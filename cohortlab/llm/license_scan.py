@@ -1,12 +1,13 @@
 """License scans by canonical digests, on DataFrame operations only.
 
-A text is brought to a canonical form (copyright lines dropped, lower case, punctuation to spaces,
-equivalent spellings made equal) and its digest is joined with those of known licence texts. Lines
-that speak of a licence are looked up the same way, as notices.
+A text is brought to a canonical form (copyright lines dropped, lower case, punctuation and line ends to spaces,
+equivalent spellings made equal) and its digest is joined with those of whole licence texts. Lines
+that speak of a licence are looked up the same way in a list of notices of its own.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from pathlib import Path
 
@@ -60,6 +61,9 @@ _MPL = """This Source Code Form is subject to the terms of the Mozilla Public Li
 with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 _UNLICENSE = "This is free and unencumbered software released into the public domain."
 _END = "END OF TERMS AND CONDITIONS"
+_TEMPLATE_LINES = ("Copyright (c) <year> <copyright holders>", "Copyright (c) [year] [fullname]", "Copyright <YEAR> <COPYRIGHT HOLDER>")
+#: The line of a licence's appendix that users fill in; filled in, it is a copyright line.
+_TO_FILL = re.compile(r"(?m)^ *Copyright \[yyyy\] \[name of copyright owner\]$")
 
 
 def _whole_texts():
@@ -67,16 +71,28 @@ def _whole_texts():
     for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
         text = path.read_text(encoding="utf-8")
         yield path.stem, text
+        if _TO_FILL.search(text):
+            yield path.stem, _TO_FILL.sub("", text)
         if _END in text:
             yield path.stem, text[:text.index(_END) + len(_END)]
             yield path.stem, text[:text.index(_END)]
 
 
-KNOWN = (
-    ("MIT", _MIT_BODY), ("MIT", "MIT License\n" + _MIT_BODY), ("MIT", "The MIT License (MIT)\n" + _MIT_BODY), ("ISC", _ISC_BODY),
-    ("ISC", "ISC License\n" + _ISC_BODY), ("BSD-2-Clause", _BSD_1 + _BSD_2), ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_1 + _BSD_2),
-    ("BSD-3-Clause", _BSD_1 + _BSD_THIRD + _BSD_2), ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD_1 + _BSD_THIRD + _BSD_2),
-    ("Apache-2.0", _APACHE), ("MPL-2.0", _MPL), ("Unlicense", _UNLICENSE),
+def _variants():
+    """(name, text) of the short licences: as they are, under their titles, and with the copyright lines of their templates."""
+    for name, titles, text in (("MIT", ("MIT License", "The MIT License (MIT)"), _MIT_BODY), ("ISC", ("ISC License",), _ISC_BODY),
+                               ("BSD-2-Clause", ("BSD 2-Clause License",), _BSD_1 + "\n" + _BSD_2),
+                               ("BSD-3-Clause", ("BSD 3-Clause License",), _BSD_1 + _BSD_THIRD + "\n" + _BSD_2)):
+        for title in ("", *(t + "\n\n" for t in titles)):
+            for line in ("", *(x + "\n\n" for x in _TEMPLATE_LINES)):
+                yield name, title + line + text
+
+
+#: Whole texts (name, text).
+KNOWN = (*_variants(), *_whole_texts())
+#: Notices that name a licence in one line (name, text).
+NOTICES = (
+    ("Apache-2.0", " ".join(_APACHE.split())), ("MPL-2.0", " ".join(_MPL.split())), ("Unlicense", _UNLICENSE),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
@@ -87,7 +103,6 @@ KNOWN = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is released into the public domain under the CC0 1.0 license."),
-    *_whole_texts(),
 )
 #: Spellings that count as equal, after lower case and punctuation.
 EQUAL = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
@@ -97,10 +112,17 @@ EQUAL = (("licence", "license"), ("licenced", "licensed"), ("sub license", "subl
 MENTIONS = r"(?i)licen[cs]e|public domain|permission|redistribution|source code form"
 
 
+#: A copyright line: the word and a mark or a year, or a mark and a year, at its head. Lines of the licences themselves are
+#: none: those that leave year or holder open, and those of the foundation that wrote them. So how a text is wrapped
+#: does not matter: no sentence of a licence can be taken for such a line.
+COPYRIGHT = (r"(?im)^[ \t/*#;-]*(?:copyright[ \t]*(?:\(c\)|©)|(?:copyright|\(c\)|©)[ \t]*(?=(?:19|20)[0-9][0-9]))"
+             r"(?![ \t]*(?:[<\[]|year))(?![^\n]*free software)[^\n]*$")
+
+
 def canonical(text: Column) -> Column:
     """The canonical form, words apart by single spaces."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?im)^[ \t/*#;-]*(?:copyright|\(c\)|©)[^\n]*$", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?i)all rights reserved\.?", ""), "&", " and ")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)all\s+rights\s+reserved\.?", ""), "&", " and ")
     out = F.concat(F.lit(" "), F.regexp_replace(F.lower(out), "[^a-z0-9]+", " "), F.lit(" "))
     out = reduce(lambda x, pair: F.replace(x, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), EQUAL, out)
     return F.trim(out)
@@ -110,9 +132,9 @@ def digest(text: Column) -> Column:
     return F.md5(canonical(text))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
+def known_digests(spark: SparkSession, texts=KNOWN) -> DataFrame:
     """(digest, license) of the known texts."""
-    return spark.createDataFrame(list(KNOWN), "license string, text string").select(digest(F.col("text")).alias("digest"), "license") \
+    return spark.createDataFrame(list(texts), "license string, text string").select(digest(F.col("text")).alias("digest"), "license") \
         .groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -123,17 +145,16 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     Null and empty texts, and texts of copyright lines only, have the digest of an empty text and no licence. Null and
     repeated ids and repeated rows give their own rows; further columns are ignored; an empty table gives
-    no row. ``known`` (digest, license) replaces the built-in list; it is a list of licences, and only its
-    digests of notices are gathered as literals.
+    no row. Texts are read as a whole, however long. ``known`` (digest, license) replaces the built-in list of whole texts; it
+    may be of any length. The notices are a fixed list.
     """
     known = known_digests(docs.sparkSession) if known is None else known.filter("digest IS NOT NULL AND license IS NOT NULL") \
         .groupBy("digest").agg(F.min("license").alias("license"))
-    pairs = [(r["digest"], r["license"]) for r in known.collect()]
+    pairs = [(r["digest"], r["license"]) for r in known_digests(docs.sparkSession, NOTICES).collect()]
     names = F.create_map(*[F.lit(x) for pair in pairs for x in pair]) if pairs else F.lit(None).cast("map<string,string>")
     work = docs.select("doc_id", "text").select("doc_id", digest(F.col("text")).alias("digest"), F.filter(
         F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.rlike(line, F.lit(MENTIONS))).alias("lines"))
     found = F.filter(F.transform("lines", lambda line: F.element_at(names, digest(line))), lambda x: x.isNotNull())
     work = work.withColumn("found", F.when(F.size("lines") > 0, found).otherwise(F.array().cast("array<string>")))
-    # the list of licences is known to be short, its size is fixed by the caller
-    return work.join(F.broadcast(known), "digest", "left").select(
+    return work.join(known, "digest", "left").select(
         "doc_id", "digest", "license", F.size("found").cast("long").alias("n_notices"), F.concat_ws(",", F.array_sort(F.array_distinct("found"))).alias("notices"))

@@ -116,13 +116,38 @@ FROM documents d LEFT JOIN g USING (doc_id)
 """
 
 
+#: Notices, written out.
+_NOTICES = [
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License
+for the specific language governing permissions and limitations under the License."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "Released under the MIT License"), ("MIT", "Licensed under the MIT License"), ("MIT", "SPDX License Identifier MIT"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("Apache-2.0", "SPDX License Identifier Apache 2.0"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"), ("GPL-3.0", "Licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "SPDX License Identifier GPL 3.0 only"), ("GPL-2.0", "SPDX License Identifier GPL 2.0 only"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"), ("LGPL-3.0", "SPDX License Identifier LGPL 3.0 only"),
+    ("BSD-3-Clause", "SPDX License Identifier BSD 3 Clause"), ("BSD-2-Clause", "SPDX License Identifier BSD 2 Clause"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY NC 4.0"), ("CC-BY-4.0", "Licensed under CC BY 4.0"), ("CC-BY-SA-4.0", "Licensed under CC BY SA 4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
+    ("CC0-1.0", "This work is released into the public domain under the CC0 1.0 license"),
+]
+
+
 def _op6() -> str:
-    """The known texts come from the operator's list of fixed values, the canonical form is written anew."""
+    """The whole texts are those of the operator; notices and the canonical form are written anew."""
     from cohortlab.llm.license_scan import KNOWN
 
     def canonical(x: str) -> str:
-        x = f"regexp_replace({x}, '(?im)^[ \\t/*#;-]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
-        x = f"replace(regexp_replace({x}, '(?i)all rights reserved\\.?', '', 'g'), '&', ' and ')"
+        head = "(?i)^[ \\t/*#;-]*"
+        line = (f"(regexp_matches(z, '{head}copyright[ \\t]*(\\(c\\)|©)') OR regexp_matches(z, '{head}(copyright|\\(c\\)|©)[ \\t]*(19|20)[0-9][0-9]')) "
+                f"AND NOT regexp_matches(z, '{head}copyright[ \\t]*(\\(c\\)|©)[ \\t]*([<\\[]|year)') AND NOT regexp_matches(z, '(?i)free software')")
+        x = f"array_to_string(list_filter(string_split({x}, chr(10)), lambda z: NOT ({line})), chr(10))"
+        x = f"replace(regexp_replace({x}, '(?i)all\\s+rights\\s+reserved\\.?', '', 'g'), '&', ' and ')"
         x = f"' ' || regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g') || ' '"
         for a, b in (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
                      ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("favour", "favor"),
@@ -130,13 +155,18 @@ def _op6() -> str:
             x = f"replace({x}, ' {a} ', ' {b} ')"
         return f"md5(trim({x}))"
 
-    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    def values(pairs):
+        return ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in pairs)
+
+    def known(pairs):
+        return f"""(SELECT {canonical("text")} AS digest, min(license) AS license FROM (VALUES {values(pairs)}) AS v(license, text) GROUP BY 1)"""
+
     return f"""
-WITH k AS (SELECT {canonical("text")} AS digest, min(license) AS license FROM (VALUES {values}) AS v(license, text) GROUP BY 1),
+WITH k AS {known(KNOWN)}, k2 AS {known(_NOTICES)},
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, {canonical("line")} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
       WHERE regexp_matches(line, '(?i)licen[cs]e|public domain|permission|redistribution|source code form')),
-n AS (SELECT doc_id, count(*)::BIGINT AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l JOIN k USING (digest) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*)::BIGINT AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l JOIN k2 USING (digest) GROUP BY doc_id),
 w AS (SELECT doc_id, {canonical("text")} AS digest FROM d)
 SELECT w.doc_id, w.digest, k.license, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
 FROM w LEFT JOIN k USING (digest) LEFT JOIN n USING (doc_id)

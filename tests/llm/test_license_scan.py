@@ -1,4 +1,5 @@
 import re
+import textwrap
 from pathlib import Path
 
 from llm_cases import edge_docs, empty_docs
@@ -19,7 +20,31 @@ def test_whole_texts_and_notices(spark):
 def test_every_known_text_is_found_and_notices_are_looked_at(spark):
     frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(L.KNOWN)], "doc_id long, text string")
     assert {r["doc_id"]: r["license"] for r in L.scan_licenses(frame).collect()} == {i: n for i, (n, _) in enumerate(L.KNOWN)}
-    assert all(re.search(L.MENTIONS, t) for _, t in L.KNOWN)
+    assert all(re.search(L.MENTIONS, t) for _, t in L.NOTICES)
+
+
+def test_a_notice_is_not_the_whole_licence(spark):
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(L.NOTICES)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["license"], r["notices"]) for r in L.scan_licenses(frame).collect()} == {i: (None, n) for i, (n, _) in enumerate(L.NOTICES)}
+
+
+def rewrapped(text: str, width: int) -> str:
+    parts = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", text)]
+    return "\n\n".join(textwrap.fill(p, width, break_long_words=False) if width else p for p in parts)
+
+
+def test_known_texts_at_all_widths(spark):
+    rows = [(i * 1000 + w, rewrapped(t, w)) for i, (_, t) in enumerate(L.KNOWN) for w in (0, *range(40, 131))]
+    missed = {divmod(r["doc_id"], 1000) for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).filter("license is null").collect()}
+    assert not missed
+
+
+def test_copyright_lines(spark):
+    bsd = next(t for n, t in L.KNOWN if n == "BSD-2-Clause")
+    heads = ["Copyright (c) 2020, Some One", "// Copyright 1999-2004 The Authors. All rights reserved.", "© 2011 Some One", "(c) 2020 Some One", "Copyright (C) Some Company and its affiliates."]
+    rows = [(i, f"{h}\n\n{rewrapped(bsd, 79)}") for i, h in enumerate(heads)] + [(9, "Copyright law is dull.\n\n" + bsd)]
+    got = {r["doc_id"]: r["license"] for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "BSD-2-Clause" for i in range(len(heads))} | {9: None}
 
 
 def test_own_list(spark):
