@@ -19,8 +19,8 @@ END_MARK = re.compile(r"[.!?:;…\"'”’»)][ \t\r]*$")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
-OUT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
-       "n_failed_lines long, lost_words long, base_failed boolean, kept boolean, clean_text string")
+OUT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
+       "n_lines long, n_failed_lines long, lost_words long, clean_text string")
 
 
 def repeated_words(words: list[str], window: int = 5) -> int:
@@ -76,7 +76,7 @@ def judge(text: str | None, most_lost: float) -> tuple:
         seen.add(line)
     base = len(words) < 10 or 100 * repeat > 20 * len(words)
     kept = not base and lost <= most_lost * len(words)
-    return (len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), dup, repeat, lines, failed, lost, base, kept, "\n".join(clean))
+    return (len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), dup, repeat, base, kept, lines, failed, lost, "\n".join(clean))
 
 
 def clean_lines(docs: DataFrame, most_lost: float = 0.5, with_text: bool = True) -> DataFrame:

@@ -140,7 +140,7 @@ def naive_bayes(tokens: DataFrame) -> tuple[DataFrame, float]:
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, score, verdict) for every input row. The verdict is the rule's where one fits, else
+    """(page_id, host, path, rule, verdict, score) for every input row. The verdict is the rule's where one fits, else
     block where the classifier's log odds ``score`` are above 0.
 
     A url that is null or without :// has empty host and path, fits no rule and is judged by the prior alone.
@@ -157,5 +157,5 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         .agg(F.aggregate(F.array_sort(F.collect_list("odds")), F.lit(0.0), lambda x, y: x + y).alias("sum"))
     judged = tokens.select("row", "page_id", "host", "path").join(scores, "row", "left") \
         .withColumn("score", F.lit(prior) + F.coalesce("sum", F.lit(0.0))).withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
-    return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), "score",
-                         F.coalesce("found.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))
+    return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"),
+                         F.coalesce("found.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
