@@ -205,14 +205,21 @@ def propagate_campaign_status(campaigns: DataFrame, sends: DataFrame) -> DataFra
                                              new.alias("status"))
 
 
+def latest_campaigns(rows: DataFrame) -> DataFrame:
+    """One row per id: the one created last, of equally old ones the one whose JSON form sorts last."""
+    row = F.struct(*rows.columns)
+    kept = rows.groupBy("id").agg(F.max_by(row, F.struct("created_at", F.to_json(row))).alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in rows.columns])
+
+
 def merge_new_campaigns(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Append incoming campaigns whose id is not present yet."""
-    return existing.unionByName(incoming.join(existing.select("id"), "id", "left_anti"))
+    """Append incoming campaigns whose id is not present yet, the latest row of each id."""
+    return existing.unionByName(latest_campaigns(incoming).join(existing.select("id"), "id", "left_anti"))
 
 
 def replace_campaigns(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming campaigns take the place of those with their id, and new ones are appended."""
-    return existing.join(incoming.select("id"), "id", "left_anti").select(*existing.columns).unionByName(incoming)
+    """Incoming campaigns, the latest row of each id, take the place of those with their id, and new ones are appended."""
+    return existing.join(incoming.select("id"), "id", "left_anti").select(*existing.columns).unionByName(latest_campaigns(incoming))
 
 
 def search_sends(sends: DataFrame, q: str | None = None, status: str | None = None) -> DataFrame:

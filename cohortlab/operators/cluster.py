@@ -7,7 +7,7 @@ Model fits use ``pyspark.ml`` on a cached vector frame; only model facts sized b
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlab.functions import fixed as FX
+from cohortlab.operators import kmeans as KM
 from cohortlab.session import materialize
 
 # ---- vectors ----------------------------------------------------------------------------
@@ -34,46 +35,28 @@ def model_input(scaled: DataFrame, cols: list[str] = FX.FEATURE_NAMES) -> DataFr
 # ---- M3 / M4 ----------------------------------------------------------------------------
 
 
-def fit_kmeans(vec: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
-               parallel: int = 10):
-    """Best of ``n_init`` k-means|| fits (least training cost; ties -> lowest seed). The restarts
-    are independent Spark jobs submitted concurrently. Returns the model."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def fit(i):
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="features_vec",
-                      predictionCol="cluster").fit(vec)
-
-    vec.cache()
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as ex:
-            models = list(ex.map(fit, range(max(1, n_init))))
-    finally:
-        vec.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
 def kmeans_segments(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,
                     cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
-    """customer_id, cluster (raw K-Means label) (M3)."""
+    """customer_id, cluster (raw K-Means label) and the features (M3). The labels depend on ids, values and seed, not on how
+    the rows are partitioned."""
     if not FX.K_MIN <= k <= FX.K_MAX:
         raise ValueError(f"k must be in [{FX.K_MIN}, {FX.K_MAX}]")
-    vec = model_input(scaled, cols)
-    model = fit_kmeans(vec, k, seed, n_init)
-    return model.transform(vec).select("customer_id", F.col("cluster").cast("int").alias("cluster"), *cols)
+    kept = materialize(scaled.select("customer_id", *cols), "model_input")
+    points = KM.whole(kept, cols)
+    labels = KM.assign(points, KM.fit(points, [k], len(cols), seed, n_init)[k], len(cols))
+    return labels.join(kept, "customer_id").select("customer_id", "cluster", *cols)
 
 
 def k_sweep(scaled: DataFrame, ks=range(2, 9), seed: int = 42, n_init: int = 10,
             cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
     """Inertia and silhouette over all rows per K, 2 to 8 (M4); naming alone is limited to 7."""
-    from cohortlab.operators.scores import silhouette
-    vec = model_input(scaled, cols)
-    rows = []
-    for k in ks:
-        m = fit_kmeans(vec, k, seed, n_init)
-        labelled = m.transform(vec).select("customer_id", F.col("cluster").cast("int").alias("cluster"), *cols)
-        sil = silhouette(labelled, "cluster", cols).first()["silhouette"]
-        rows.append((int(k), float(m.summary.trainingCost), None if sil is None else float(sil)))
+    from cohortlab.operators.scores import silhouette_euclidean
+    kept = materialize(scaled.select("customer_id", *cols), "model_input")
+    points, rows = KM.whole(kept, cols), []
+    for k, model in KM.fit(points, list(ks), len(cols), seed, n_init).items():
+        labelled = KM.assign(points, model, len(cols)).join(kept, "customer_id")
+        sil = silhouette_euclidean(labelled, "cluster", cols).first()["silhouette"]
+        rows.append((int(k), model.cost, None if sil is None else float(sil)))
     return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
@@ -203,8 +186,8 @@ def gmm_segments(scaled: DataFrame, k: int = 4, seed: int = 42, cols: list[str]
 
 
 def hierarchical_segments(scaled: DataFrame, k: int = 4, seed: int = 42, cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
-    """Hierarchical labels by bisecting K-Means over every row (M11): the divisive form, whose splits run
-    on Spark at any size."""
+    """Hierarchical labels by bisecting K-Means over every row: the divisive form, beside Ward linkage
+    (``linkage.ward_segments``, M11)."""
     vec = model_input(scaled, cols)
     m = BisectingKMeans(k=k, seed=seed, featuresCol="features_vec", predictionCol="cluster").fit(vec)
     return m.transform(vec).select("customer_id", F.col("cluster").cast("int").alias("cluster"), *cols)

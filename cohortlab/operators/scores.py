@@ -1,7 +1,7 @@
 """Cluster quality scores and model comparison.
 
 Scores are aggregates over the labelled frame: per-cluster statistics (K rows) are computed
-in Spark and combined there, over all rows. A sampled Euclidean silhouette exists beside them.
+in Spark and combined there, over all rows.
 """
 
 from __future__ import annotations
@@ -82,6 +82,69 @@ def silhouette_sampled(labelled: DataFrame, sample: int, label: str = "cluster",
     return per_point.agg(F.avg("s").alias("silhouette"))
 
 
+#: Rows that stand for all clusters together in the Euclidean silhouette, and for one cluster at least.
+SILHOUETTE_SAMPLE, LEAST_SAMPLE = 8000, 50
+
+
+def cluster_sample(labelled: DataFrame, label: str, cols: list[str], sample: int, seed: int = 42) -> DataFrame:
+    """(c, x, p, n): rows drawn with probability p from clusters of n. A cluster of no more rows than its share of ``sample`` is taken as a whole;
+    of others a row's p is in proportion to its distance from the cluster's mean, half of it evenly, which keeps a far row from weighing too much.
+    Which rows are drawn depends on a digest of the id alone."""
+    rows = labelled.select("customer_id", F.col(label).alias("c"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    cen = centroids(labelled, label, cols).select("c", "n", F.array(*[f"m_{c}" for c in cols]).alias("mean"))
+    far = F.sqrt(F.aggregate(F.zip_with("x", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    rows = rows.join(F.broadcast(cen), "c").withColumn("far", far)
+    size = rows.groupBy("c").agg(F.sum("far").alias("all_far")).crossJoin(F.broadcast(cen.agg(F.count(F.lit(1)).alias("k"))))
+    share = F.greatest(F.floor(F.lit(sample) / F.col("k")), F.lit(LEAST_SAMPLE))
+    even = F.lit(0.5) / F.col("n")
+    p = F.when(F.col("n") <= share, 1.0).otherwise(F.least(F.lit(1.0), share * (even + F.when(F.col("all_far") > 0, F.lit(0.5) * F.col("far") / F.col("all_far")).otherwise(even))))
+    u = F.conv(F.substring(F.md5(F.concat(F.col("customer_id").cast("string"), F.lit(f"#{seed}"))), 1, 13), 16, 10).cast("double") / float(16 ** 13)
+    return rows.join(F.broadcast(size), "c").withColumn("p", p).filter(u < F.col("p")).select("c", "x", "p", "n")
+
+
+def silhouette_euclidean(labelled: DataFrame, label: str = "cluster", cols: list[str] = FX.FEATURE_NAMES, sample: int = SILHOUETTE_SAMPLE,
+                         seed: int = 42) -> DataFrame:
+    """Mean silhouette of all rows with Euclidean distances (M13), and ``bound``: one row, nulls for fewer than 2 clusters.
+
+    Every row is scored; its mean distance to a cluster is estimated from the cluster's sampled rows (``cluster_sample``), each weighed by 1 / p. The
+    estimate is exact, and bound 0, while the sample holds all rows; beyond, the relative standard error of each mean distance is below
+    2 / sqrt(rows drawn a cluster), and bound is four times the least such figure of the clusters. Noise (label < 0) is left out; a row alone in its
+    cluster scores 0. The sample, about ``sample`` rows however many there are, is known to every task.
+    """
+    v = _valid(labelled, label).dropna(subset=cols)
+    spark = labelled.sparkSession
+    drawn = cluster_sample(v, label, cols, sample, seed).toPandas()          # ``sample`` rows, or LEAST_SAMPLE a cluster
+    kinds = sorted(drawn["c"].unique())
+    if len(kinds) < 2:
+        return spark.createDataFrame([(None, None)], "silhouette double, bound double")
+    parts = [drawn[drawn["c"] == c] for c in kinds]
+    shared = spark.sparkContext.broadcast([(np.array(p["x"].tolist()), 1 / p["p"].to_numpy(), int(p["n"].iloc[0])) for p in parts])
+    place = {c: i for i, c in enumerate(kinds)}
+
+    def score(batches):
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                b = whole.iloc[lo:lo + 256]
+                x, own = b[cols].to_numpy(dtype=float), b["_c"].map(place).to_numpy()
+                totals, n = np.zeros((len(b), len(kinds))), np.array([m for _, _, m in shared.value], float)
+                for j, (y, weight, _) in enumerate(shared.value):
+                    d = np.zeros((len(x), len(y)))
+                    for i in range(x.shape[1]):
+                        d += (x[:, i, None] - y[None, :, i]) ** 2
+                    totals[:, j] = np.sqrt(d) @ weight
+                rows = np.arange(len(b))
+                a = totals[rows, own] / np.maximum(n[own] - 1, 1)
+                means = totals / n
+                means[rows, own] = np.inf
+                least = means.min(1)
+                top = np.maximum(a, least)
+                yield pd.DataFrame({"s": np.where((n[own] > 1) & (top > 0), (least - a) / np.where(top > 0, top, 1.0), 0.0)})
+
+    bound = max([0.0] + [8 / float(np.sqrt(len(p))) for p in parts if len(p) < p["n"].iloc[0]])
+    return v.select(F.col(label).alias("_c"), *cols).mapInPandas(score, "s double").agg(F.avg("s").alias("silhouette")) \
+        .withColumn("bound", F.lit(bound))
+
+
 def centroids(labelled: DataFrame, label: str, cols: list[str]) -> DataFrame:
     return _valid(labelled, label).groupBy(F.col(label).alias("c")).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols])
@@ -135,18 +198,21 @@ def compare_algorithms(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: in
                        cols: list[str] = FX.FEATURE_NAMES) -> DataFrame:
     """Algorithm x (segments, silhouette, Davies-Bouldin, Calinski-Harabasz, noise) with the winner
     per metric and the overall winner (most wins) (M16)."""
-    from cohortlab.operators.cluster import gmm_segments, hierarchical_segments, kmeans_segments
+    from cohortlab.operators.cluster import gmm_segments, kmeans_segments
+    from cohortlab.operators.density import dbscan
+    from cohortlab.operators.linkage import ward_segments
     spark = scaled.sparkSession
     runs = {"KMeans": kmeans_segments(scaled, k, seed, n_init, cols),
             "GaussianMixture": gmm_segments(scaled, k, seed, cols),
-            "Hierarchical": hierarchical_segments(scaled, k, seed=seed, cols=cols)}
+            "Hierarchical": ward_segments(scaled, k, cols),
+            "DBSCAN": scaled.join(dbscan(scaled, cols=cols).select("customer_id", "cluster"), "customer_id")}
     rows = []
     for name, lab in runs.items():
         lab = lab.cache()
         segs = lab.filter(F.col("cluster") >= 0).select("cluster").distinct().count()
         noise = lab.filter(F.col("cluster") < 0).count()
         if segs >= 2:
-            sil = silhouette(lab, "cluster", cols).first()[0]
+            sil = silhouette_euclidean(lab, "cluster", cols).first()[0]
             db = davies_bouldin(lab, "cluster", cols).first()[0]
             ch = calinski_harabasz(lab, "cluster", cols).first()[0]
         else:

@@ -372,6 +372,8 @@ FROM ({_TOTALS}) t, ({_FULFILLED}) f, yoy y,
 # ---- M: preprocessing, model, scores ----------------------------------------------------
 from cohortlab.functions.fixed import FEATURE_NAMES as _FN  # noqa: E402
 from cohortlab.operators import cluster as M  # noqa: E402
+from cohortlab.operators import density as DB  # noqa: E402
+from cohortlab.operators import linkage as LI  # noqa: E402
 from cohortlab.operators import prep as P  # noqa: E402
 from cohortlab.operators import scores as SC  # noqa: E402
 
@@ -433,7 +435,19 @@ FROM (SELECT feature, stddev_pop(v) AS sd FROM ({_STACK}) GROUP BY feature)""",
     lambda s, d: SC.feature_importance(_stand_in(_scaled(s, d))))
 q("gmm_segments")(lambda s, d: M.gmm_segments(_scaled(s, d)).select("customer_id", "cluster"))
 q("hierarchical_segments")(lambda s, d: M.hierarchical_segments(_scaled(s, d)).select("customer_id", "cluster"))
+q("ward_segments")(lambda s, d: LI.ward_segments(_scaled(s, d)).select("customer_id", "cluster"))
+q("ward_dendrogram")(lambda s, d: LI.dendrogram(_scaled(s, d)))
 _DIST = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _FN)
+O.cte("dbscan_near", ["scaled"], f"SELECT a.customer_id AS a, b.customer_id AS b, {_DIST} AS square FROM scaled a JOIN scaled b ON {_DIST} <= CAST(0.8 AS DOUBLE) * CAST(0.8 AS DOUBLE)")
+O.cte("dbscan_points", ["dbscan_near"], "SELECT a AS customer_id, count(*) AS n FROM dbscan_near GROUP BY a")
+O.cte("dbscan_core", ["dbscan_points"], "SELECT customer_id FROM dbscan_points WHERE n >= 10")
+O.cte("dbscan_links", ["dbscan_near", "dbscan_core"], "SELECT a, b FROM dbscan_near WHERE a IN (SELECT customer_id FROM dbscan_core) AND b IN (SELECT customer_id FROM dbscan_core)")
+O.cte("dbscan_spread", ["dbscan_links"], """SELECT 0 AS step, customer_id AS id, customer_id AS label FROM dbscan_core
+  UNION ALL SELECT s.step + 1, l.a, min(s.label) FROM dbscan_spread s JOIN dbscan_links l ON l.b = s.id WHERE s.step < 60 GROUP BY s.step, l.a""")
+O.cte("dbscan_labels", ["dbscan_spread", "dbscan_near"], """SELECT id AS customer_id, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM dbscan_spread WHERE step = 60
+  UNION ALL SELECT f.a, r.cluster FROM (SELECT a, arg_min(b, {'d': square, 'b': b}) AS b FROM dbscan_near
+    WHERE a NOT IN (SELECT customer_id FROM dbscan_core) AND b IN (SELECT customer_id FROM dbscan_core) GROUP BY a) f
+  JOIN (SELECT id, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM dbscan_spread WHERE step = 60) r ON r.id = f.b""")
 q("silhouette", O.sql(f"""SELECT avg(sv) AS silhouette FROM (
   SELECT customer_id, CASE WHEN n_own > 1 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS sv
   FROM (SELECT customer_id, max(n_own) AS n_own, max(CASE WHEN other = own THEN sd / greatest(n_own - 1, 1) END) AS a,
@@ -444,6 +458,19 @@ q("silhouette", O.sql(f"""SELECT avg(sv) AS silhouette FROM (
               JOIN (SELECT seg, count(*) AS n FROM segsc GROUP BY 1) c1 ON c1.seg = p.own
               JOIN (SELECT seg, count(*) AS n FROM segsc GROUP BY 1) c2 ON c2.seg = p.other)
         GROUP BY 1))""", "segsc"))(lambda s, d: SC.silhouette(_stand_in(_scaled(s, d)), "seg"))
+# labels of core points spread to their neighbours; 60 rounds are more than any chain of core points on the tables checked
+q("dbscan_segments", O.sql(f"""SELECT p.customer_id, CAST(coalesce(c.cluster, -1) AS INTEGER) AS cluster, p.n AS n_near, p.n >= 10 AS is_core
+FROM dbscan_points p LEFT JOIN dbscan_labels c USING (customer_id)""", "dbscan_points", "dbscan_labels").replace("WITH", "WITH RECURSIVE", 1))(lambda s, d: DB.dbscan(_scaled(s, d)))
+q("silhouette_euclidean", O.sql(f"""SELECT avg(sv) AS silhouette, CAST(0 AS DOUBLE) AS bound FROM (
+  SELECT customer_id, CASE WHEN n_own > 1 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS sv
+  FROM (SELECT customer_id, max(n_own) AS n_own, max(CASE WHEN other = own THEN sd / greatest(n_own - 1, 1) END) AS a,
+               min(CASE WHEN other <> own THEN sd / n_other END) AS b
+        FROM (SELECT p.*, c1.n AS n_own, c2.n AS n_other
+              FROM (SELECT a.customer_id, a.seg AS own, b.seg AS other, sum(sqrt({_DIST})) AS sd
+                    FROM segsc a JOIN segsc b ON a.customer_id <> b.customer_id GROUP BY 1, 2, 3) p
+              JOIN (SELECT seg, count(*) AS n FROM segsc GROUP BY 1) c1 ON c1.seg = p.own
+              JOIN (SELECT seg, count(*) AS n FROM segsc GROUP BY 1) c2 ON c2.seg = p.other)
+        GROUP BY 1))""", "segsc"))(lambda s, d: SC.silhouette_euclidean(_stand_in(_scaled(s, d)), "seg"))
 _CEN = "SELECT seg, count(*) AS n, " + ", ".join(f"avg({c}) AS m_{c}" for c in _FN) + " FROM segsc GROUP BY seg"
 _PD = " + ".join(f"(x.{c} - c.m_{c}) * (x.{c} - c.m_{c})" for c in _FN)
 _CD = " + ".join(f"(a.m_{c} - b.m_{c}) * (a.m_{c} - b.m_{c})" for c in _FN)
@@ -699,6 +726,10 @@ FROM (SELECT g.category, g.seg, COALESCE(c.share, 0.0) AS share
 WINDOW w AS (PARTITION BY category)""", ["catshare"], lambda x: DI.segment_category_matrix(x.cat_share))
 dq("dominant_category", """SELECT category, total_share FROM (SELECT category, sum(share) AS total_share FROM catshare GROUP BY 1)
 ORDER BY total_share DESC, category LIMIT 1""", ["catshare"], lambda x: DI.dominant_category(x.cat_share))
+dq("recent_months", """SELECT ym, revenue, CAST(pos AS INTEGER) AS pos FROM (SELECT ym, revenue, row_number() OVER (ORDER BY ym DESC) AS pos
+FROM mrev) WHERE pos <= 14""", ["mrev"], lambda x: DI.recent_months(x.monthly, 14))
+dq("segment_top5_categories", "SELECT seg, rank, category, share FROM catshare WHERE rank <= 5", ["catshare"],
+   lambda x: DI.segment_top_categories(x.cat_share, 5))
 dq("segment_top_categories", "SELECT seg, rank, category, share FROM catshare WHERE rank <= 3", ["catshare"],
    lambda x: DI.segment_top_categories(x.cat_share, 3))
 dq("spend_band_share", f"""SELECT band, n, n * {D} / sum(n) OVER () AS pct FROM ({_bands_sql("total_spend", 100, 500)})""",
