@@ -168,16 +168,18 @@ def normalize_channel(channel) -> F.Column:
             .otherwise(F.lit("default")))
 
 
+#: Parts of the customers of one segment name.
+SALTS = 32
+
+
 def build_send_list(scored: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Audience rows (customer id, phone) of every campaign's segment."""
-    # campaigns per segment name: a segment's list holds those to all customers, too; a customer then looks up its own
-    # list, so no customer is dealt out by a shared name
-    c = campaigns.filter(F.col("segment").isNotNull()).groupBy("segment").agg(F.collect_list("id").alias("ids"))
-    to_all = c.filter(F.col("segment") == ALL_CUSTOMERS).agg(F.coalesce(F.first("ids"), F.array().cast("array<string>")).alias("all_ids"))
-    names = scored.select("segment").distinct().join(c, "segment", "left").crossJoin(F.broadcast(to_all)) \
-        .select(F.col("segment").alias("_s"), F.concat(F.coalesce("ids", F.array().cast("array<string>")), "all_ids").alias("ids"))
-    aud = scored.join(F.broadcast(names), F.col("segment").eqNullSafe(F.col("_s")))     # one row per segment name
-    return aud.select(F.explode("ids").alias("campaign_id"), "customer_id", "phone")
+    # a customer has two keys, its segment and all customers; salts spread the customers of a key, of which there are few,
+    # over tasks, and the campaigns of a key are copied once a salt
+    salt = F.pmod(F.xxhash64("customer_id"), F.lit(SALTS)).cast("int").alias("salt")
+    keys = scored.select("customer_id", "phone", salt, F.explode(F.array_distinct(F.array("segment", F.lit(ALL_CUSTOMERS)))).alias("segment"))
+    copies = campaigns.filter(F.col("segment").isNotNull()).select(F.col("id").alias("campaign_id"), "segment", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return keys.join(copies, ["segment", "salt"]).select("campaign_id", "customer_id", "phone")
 
 
 def expand_campaign_sends(campaigns: DataFrame) -> DataFrame:

@@ -90,12 +90,14 @@ def segment_net_revenue(lines: DataFrame, returns: DataFrame, segf: DataFrame, s
 
 
 def redistribute_unassigned(lines: DataFrame, returns: DataFrame, segf: DataFrame, seg: str = "seg") -> DataFrame:
-    """Net revenue of buyers without a segment spread over segments pro rata."""
+    """Net revenue of buyers without a segment spread over segments pro rata (G7). Lines and returns are added up per
+    customer before anything is joined."""
+    lines = lines.groupBy("customer_id").agg(F.sum("net_amount").alias("net_amount"))
+    returns = returns.groupBy("customer_id").agg(F.sum("refund_amount").alias("refund_amount"))
     base = segment_net_revenue(lines, returns, segf, seg)
-    sm = seg_map(segf, seg)
-    un_cust = lines.select("customer_id").distinct().join(sm, "customer_id", "left_anti")
-    ug = lines.join(un_cust, "customer_id", "left_semi").agg(F.sum("net_amount").alias("ug"))
-    ur = returns.join(un_cust, "customer_id", "left_semi").agg(F.sum("refund_amount").alias("ur"))
+    un_cust = lines.join(seg_map(segf, seg), "customer_id", "left_anti")
+    ug = un_cust.agg(F.sum("net_amount").alias("ug"))
+    ur = returns.join(un_cust.select("customer_id"), "customer_id", "left_semi").agg(F.sum("refund_amount").alias("ur"))
     u = ug.crossJoin(ur).select((F.coalesce("ug", F.lit(0)) - F.coalesce("ur", F.lit(0))).cast("double").alias("u"))
     tot = F.sum("net_revenue").over(Window.partitionBy())
     x = base.crossJoin(F.broadcast(u)).withColumn("_tot", tot)

@@ -26,8 +26,9 @@ def normalized_messages(messages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tag_intents(messages: DataFrame, text: str = "text") -> DataFrame:
-    """Intent of each message (null = not answered locally)."""
-    return messages.withColumn("intent", intent_expr(normalize_text(text)))
+    """Intent of each message (null = not answered locally). The normalised text is bound once: repeated inside every
+    keyword test it would make the generated code too large to compile."""
+    return messages.withColumn("intent", F.transform(F.array(normalize_text(text)), lambda n: intent_expr(n))[0])
 
 
 def intent_coverage(tagged: DataFrame) -> DataFrame:

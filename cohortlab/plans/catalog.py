@@ -196,7 +196,7 @@ q("customer_features", O.sql("SELECT * FROM features", "features"))(lambda s, d:
 
 # ---- G: segment aggregates (stand-in labels) --------------------------------------------
 q("segment_counts", O.sql("SELECT seg, count(*) AS customers, sum(count(*)) OVER () AS total_customers FROM segf GROUP BY seg",
-                          "segf"))(lambda s, d: G.segment_counts(Inputs(s, d).segf))
+                          "segf"))(lambda s, d: G.segment_counts(pipeline.Inputs.seg_map_of(Inputs(s, d).lines_for("customer_id"))))
 _prof = ", ".join(f"avg({src}) AS {name}" for name, src in G.PROFILE_METRICS)
 _SEGPROF = f"""SELECT seg, count(*) AS n, {_prof}, COALESCE(avg(ipt), 0.0) AS avg_ipt,
        sum(CASE WHEN clv_slope > 0 THEN 1 ELSE 0 END) * {D} / count(*) AS clv_growing_pct,
@@ -502,6 +502,11 @@ LEFT JOIN (VALUES """ + ", ".join(f"({i}, '{row[0]}')" for i, row in enumerate(_
 O.cte("scored", ["segf", "seg_names"], "SELECT * FROM segf JOIN seg_names USING (seg)")
 
 
+def _segments_of(s, d, *columns):
+    """customer_id, these features and the stand-in segment, from the branches that they need."""
+    return Inputs(s, d).features_of(*columns).withColumn("seg", (F.col("customer_id").cast("long") % 4).cast("int"))
+
+
 def _scored(s, d):
     segf = Inputs(s, d).segf
     names = M.name_segments(segf, 4).select("seg", F.col("name").alias("segment"))
@@ -567,8 +572,8 @@ GROUP BY f.label""", "scored"))(_custom_many)
 q("segment_overview", O.sql("""SELECT n.seg, n.segment, c.customers, c.total_customers FROM seg_names n LEFT JOIN
     (SELECT seg, count(*) AS customers, sum(count(*)) OVER () AS total_customers FROM segf GROUP BY seg) c USING (seg)""",
                             "seg_names", "segf"))(
-    lambda s, d: L.segment_overview(M.name_segments(Inputs(s, d).segf, 4).select("seg", F.col("name").alias("segment")),
-                                    G.segment_counts(Inputs(s, d).segf)))
+    lambda s, d: L.segment_overview(M.name_segments(_segments_of(s, d, "spend_365", "recency"), 4).select("seg", F.col("name").alias("segment")),
+                                    G.segment_counts(pipeline.Inputs.seg_map_of(Inputs(s, d).lines_for("customer_id")))))
 q("feature_importance_sorted", O.sql(f"""SELECT feature, value, CAST(row_number() OVER (ORDER BY value DESC, feature) AS INTEGER) AS rank
 FROM (SELECT feature, sd / CASE WHEN max(sd) OVER () > 0 THEN max(sd) OVER () ELSE 1.0 END AS value
       FROM (SELECT feature, stddev_pop(v) AS sd FROM ({_STACK}) GROUP BY feature))""", "segsc"))(
@@ -779,9 +784,9 @@ from cohortlab.streaming import lockout as LK  # noqa: E402
 
 
 def _counts_named(s, d):
-    I = Inputs(s, d)
-    names = M.name_segments(I.segf, 4).select("seg", F.col("name").alias("segment"))
-    return G.segment_counts(I.segf).select("seg", "customers").join(names, "seg")
+    f = _segments_of(s, d, "spend_365", "recency")
+    names = M.name_segments(f, 4).select("seg", F.col("name").alias("segment"))
+    return G.segment_counts(f).select("seg", "customers").join(names, "seg")
 
 
 O.cte("counts_named", ["segf", "seg_names"], """SELECT seg, customers, segment FROM

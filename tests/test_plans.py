@@ -65,3 +65,19 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session)
+
+
+def test_intents_bind_the_text_once(spark):
+    """The chain that normalises a text stands in the plan once, not once per keyword."""
+    p = plan(E.queries()["tag_intents"](spark, SF))
+    assert p.count("regexp_replace") < 20
+
+
+@pytest.mark.parametrize("name", ["segment_counts", "segment_overview", "campaign_audience"])
+def test_segment_queries_build_no_whole_feature_table(spark, name):
+    from cohortlab import session
+    before = set(session.STORED)
+    p = plan(E.queries()[name](spark, SF))
+    new = [x for x in session.STORED if x not in before]
+    session.drop_stored(spark, new)
+    assert not any("features" in x for x in new) and len(new) <= 1 and "clv_slope" not in p
