@@ -5,10 +5,11 @@ Per key, in time order, with state (count, window_start, locked_until):
   * otherwise, if ``ts − window_start > window`` the count restarts and the window starts at ts;
   * a failure adds one; reaching ``max_attempts`` locks the key for ``lockout`` seconds and
     zeroes the count; a success resets the whole state.
-A pause longer than both ``window`` and ``lockout`` always leaves nothing of the state, so the batch form
-folds each (key, session between such pauses) on its own with ``applyInPandas``. Stream:
+Batch: a key's attempts are cut into chunks of time. Each chunk is a transfer function from the state it is entered with to the state
+it leaves behind; the functions are composed by doubling and every chunk is folded on its own from its true entry
+state (``transfer``), so no task holds more than one chunk of one key, however long the key goes on without a pause. Stream:
 ``applyInPandasWithState`` keeps the three numbers per key between micro-batches and drops them, by
-an event-time timeout, once such a pause lies behind the watermark; attempts older than the
+an event-time timeout, once a pause longer than window and lockout lies behind the watermark; attempts older than the
 watermark are left out.
 """
 
@@ -17,10 +18,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from cohortlab.streaming import transfer
 
 OUT_SCHEMA = "key long, ts timestamp_ntz, kind string, outcome string, fail_count int, locked_until timestamp_ntz"
-STATE_SCHEMA = "count int, window_start double, locked_until double"
+STATE_SCHEMA = "count int, window_start long, locked_until long"
 
 
 def attempts(events: DataFrame, *extra: str) -> DataFrame:
@@ -30,28 +32,28 @@ def attempts(events: DataFrame, *extra: str) -> DataFrame:
         .filter(F.col("kind").isNotNull())
 
 
-def fold(pdf: pd.DataFrame, state=(0, 0.0, 0.0), max_attempts: int = 5, window: int = 60, lockout: int = 300):
-    """Fold one key's attempts (sorted here) from ``state``; returns (rows, new state)."""
+def fold(pdf: pd.DataFrame, state=(0, 0, 0), max_attempts: int = 5, window: int = 60, lockout: int = 300):
+    """Fold one key's attempts (sorted here) from ``state``, whose times are microseconds; returns (rows, new state)."""
     count, wstart, locked = state
     pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    secs = pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6
+    micros = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
     out = []
-    for ts, t, kind in zip(pdf["ts"], secs, pdf["kind"]):
+    for ts, t, kind in zip(pdf["ts"], micros, pdf["kind"]):
         if t < locked:
             out.append((ts, kind, "rejected", count, locked))
             continue
-        locked = 0.0
-        if t - wstart > window:
+        locked = 0
+        if t - wstart > window * 1_000_000:
             count, wstart = 0, t
         if kind == "failure":
             count += 1
             if count >= max_attempts:
-                locked, count = t + lockout, 0
+                locked, count = t + lockout * 1_000_000, 0
                 out.append((ts, kind, "locked", count, locked))
             else:
                 out.append((ts, kind, "failure", count, locked))
         else:
-            count, wstart, locked = 0, 0.0, 0.0
+            count, wstart, locked = 0, 0, 0
             out.append((ts, kind, "success", count, locked))
     return out, (count, wstart, locked)
 
@@ -59,23 +61,29 @@ def fold(pdf: pd.DataFrame, state=(0, 0.0, 0.0), max_attempts: int = 5, window:
 def _frame(key, rows) -> pd.DataFrame:
     df = pd.DataFrame(rows, columns=["ts", "kind", "outcome", "fail_count", "locked_until"])
     df.insert(0, "key", key)
-    df["locked_until"] = pd.to_datetime((df["locked_until"].where(df["locked_until"] > 0) * 1e6).round(), unit="us").astype("datetime64[us]")
+    df["locked_until"] = pd.to_datetime(df["locked_until"].where(df["locked_until"] > 0), unit="us").astype("datetime64[us]")
     df["fail_count"] = df["fail_count"].astype("int32")
     return df
 
 
-def failed_attempt_lockout(events: DataFrame, max_attempts: int = 5, window: int = 60, lockout: int = 300) -> DataFrame:
-    """Batch: every attempt with its outcome (failure / locked / rejected / success)."""
-    def per_session(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = fold(pdf, (0, 0.0, 0.0), max_attempts, window, lockout)
-        return _frame(int(pdf["key"].iloc[0]), rows)
+def failed_attempt_lockout(events: DataFrame, max_attempts: int = 5, window: int = 60, lockout: int = 300, chunk: int = 3600) -> DataFrame:
+    """Batch: every attempt with its outcome (failure / locked / rejected / success).
+
+    ``chunk`` is the length in seconds of the stretches of a key that tasks fold on their own; it must exceed window and lockout together and
+    does not change the result. Attempts without a time are left out; those without a key are one key; an empty table gives no row.
+    """
+    limits = transfer.Limits(max_attempts, window * 1_000_000, lockout * 1_000_000)
+    a = transfer.chunked(attempts(events).filter(F.col("ts").isNotNull()), limits, chunk * 1_000_000)
+    entries = transfer.entry_states(a, limits, chunk * 1_000_000)
+
+    def per_chunk(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return _frame(None, [])
+        state = tuple(int(x) for x in entry[["count", "start", "locked"]].iloc[0]) if len(entry) else (0, 0, 0)
+        key = pdf["key"].iloc[0]
+        return _frame(None if pd.isna(key) else int(key), fold(pdf, state, max_attempts, window, lockout)[0])
 
-    w = Window.partitionBy("key").orderBy("ts", "event_id")
-    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    pause = seconds(F.col("ts")) - seconds(F.lag("ts").over(w))
-    a = attempts(events).withColumn("_new", F.coalesce((pause > max(window, lockout)).cast("int"), F.lit(1)))
-    a = a.withColumn("session", F.sum("_new").over(w)).drop("_new")
-    return a.groupBy("key", "session").applyInPandas(per_session, OUT_SCHEMA)
+    return a.groupBy("key", "chunk").cogroup(entries.groupBy("key", "chunk")).applyInPandas(per_chunk, OUT_SCHEMA)
 
 
 def lockout_summary(outcomes: DataFrame) -> DataFrame:
@@ -95,7 +103,7 @@ def lockout_stream(stream: DataFrame, max_attempts: int = 5, window: int = 60, l
         if state.hasTimedOut:
             state.remove()
             return
-        st = state.get if state.exists else (0, 0.0, 0.0)
+        st = state.get if state.exists else (0, 0, 0)
         pdf = pd.concat(list(pdfs), ignore_index=True)
         rows, new = fold(pdf, tuple(st), max_attempts, window, lockout)
         state.update(new)
