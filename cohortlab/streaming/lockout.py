@@ -66,15 +66,17 @@ def _frame(key, rows) -> pd.DataFrame:
     return df
 
 
-def failed_attempt_lockout(events: DataFrame, max_attempts: int = 5, window: int = 60, lockout: int = 300, chunk: int = 3600) -> DataFrame:
+def failed_attempt_lockout(events: DataFrame, max_attempts: int = 5, window: int = 60, lockout: int = 300,
+                           chunk: int | None = None) -> DataFrame:
     """Batch: every attempt with its outcome (failure / locked / rejected / success).
 
-    ``chunk`` is the length in seconds of the stretches of a key that tasks fold on their own; it must exceed window and lockout together and
-    does not change the result. Attempts without a time are left out; those without a key are one key; an empty table gives no row.
+    ``chunk`` is the length in seconds of the stretches of a key that tasks fold on their own; it must exceed window and lockout together, is
+    twice that or an hour unless given, and does not change the result. Attempts without a time are left out; those without a key are one key; an empty table gives no row.
     """
     limits = transfer.Limits(max_attempts, window * 1_000_000, lockout * 1_000_000)
-    a = transfer.chunked(attempts(events).filter(F.col("ts").isNotNull()), limits, chunk * 1_000_000)
-    entries = transfer.entry_states(a, limits, chunk * 1_000_000)
+    length = (max(3600, 2 * (window + lockout)) if chunk is None else chunk) * 1_000_000
+    a = transfer.chunked(attempts(events).filter(F.col("ts").isNotNull()), limits, length)
+    entries = transfer.entry_states(a, limits, length)
 
     def per_chunk(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
