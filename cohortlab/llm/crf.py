@@ -87,7 +87,7 @@ def loss_and_gradient(x: np.ndarray, features: list, labels: list) -> tuple[floa
     return loss, gradient
 
 
-def _minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     """L-BFGS; a step that does not lower the loss enough is halved."""
     loss, g = f(x)
     past: list[tuple[np.ndarray, np.ndarray]] = []
@@ -137,7 +137,7 @@ def fit(sequences: DataFrame, n_features: int, steps: int = 40, penalty: float =
         return (sum(r["loss"] for r in rows) + penalty / 2 * float(x @ x),
                 sum((np.frombuffer(r["gradient"]) for r in rows), np.zeros(len(x))) + penalty * x)
 
-    return Weights.unpack(_minimise(summed, np.zeros(n_features + 6), steps))
+    return Weights.unpack(minimise(summed, np.zeros(n_features + 6), steps))
 
 
 def viterbi(u: np.ndarray, w: Weights) -> list[int]:

@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import packed, store, unpacked
+from cohortlab.llm.crf import minimise
 
 ORDERS = (3, 4, 5)
 HASH_BITS = 18
 #: The classifier is fitted on about this many labelled texts, chosen by a hash of the id.
 MAX_TRAIN_ROWS = 15_000
-#: Features the regression weighs: those of the greatest absolute ratio times root of their count.
-SELECTED = 10_000
-SMOOTHING, PENALTY, ROUNDS = 1.0, 1e-3, 150
+SMOOTHING, PENALTY, STEPS = 1.0, 1e-3, 40
+#: Features whose slopes are added up in one group.
+BLOCK = 1 << 14
+#: Texts whose features a task unfolds at once.
+TEXTS = 200
 #: A text is hashed in pieces of so many characters.
 PIECE = 100_000
 
@@ -63,13 +66,19 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(y, text) of about ``max_rows`` labelled texts at most. A document with several labels counts as
-    toxic when at least half of them say so; null labels and null ids don't count."""
+    """(y, text), stored, of about ``max_rows`` labelled texts at most. A document with several labels counts as
+    toxic when at least half of them say so; null labels and null ids don't count; equal rows count once."""
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(~held_out())
              .groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y")))
     share = int(min(1.0, max_rows / max(1, known.count())) * 1_000_000)
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").distinct()
+    rows = store(rows.select("y", "text"), "toxic-train")
+    found = rows.count()
+    if found <= 2 * max_rows:
+        return rows
+    # one id with many texts
+    return store(rows.filter(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1_000_000)) < int(max_rows / found * 1_000_000)), "toxic-train")
 
 
 def _counts(batches):
@@ -101,53 +110,73 @@ def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ratio, pos + neg
 
 
-def fit_logistic(indptr: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept of an L2-penalised logistic regression on features scaled by ``ratio``,
-    by Adam over all rows at once."""
-    weight, bias = np.zeros(len(ratio)), 0.0
-    if not len(y):
-        return weight, bias
-    of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(indptr))
-    first, second = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
-    for t in range(1, ROUNDS + 1):
-        z = np.bincount(of, (weight * ratio)[feature], len(y)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        slope = np.append(np.bincount(feature, error[of], len(ratio)) * ratio + PENALTY * weight, error.sum())
-        first = 0.9 * first + 0.1 * slope
-        second = 0.99 * second + 0.01 * slope ** 2
-        step = 0.05 * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.99 ** t)) + 1e-8)
-        weight, bias = weight - step[:-1], bias - step[-1]
-    return weight, float(bias)
+def loss_and_slopes(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, scaled: np.ndarray, bias: float) -> tuple[float, np.ndarray]:
+    """Logistic loss of some texts and its slope by each feature's scaled weight, the intercept's last."""
+    of = np.repeat(np.arange(len(y)), sizes)
+    z = np.bincount(of, scaled[x], len(y)) + bias
+    error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+    return float((np.logaddexp(0, z) - y * z).sum()), np.append(np.bincount(x, error[of], len(scaled)), error.sum())
+
+
+def fit_logistic(train: DataFrame, ratio: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L2-penalised logistic regression on every feature, each scaled by ``ratio``, by L-BFGS.
+
+    ``train`` is a stored table (y, x: int32 numbers of a text's features). In each step every task adds up the slopes of its texts and
+    sends them by blocks of features, which are added up in groups; the driver gets one sum.
+    """
+    context, width = train.sparkSession.sparkContext, len(ratio)
+    rows = max(1, train.count())
+
+    def summed(w: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = context.broadcast((w[:-1] * ratio, w[-1]))
+
+        def part(batches):
+            from pyspark import TaskContext
+
+            scaled, bias = shared.value
+            loss, slopes = 0.0, np.zeros(width + 1)
+            for batch in batches:
+                for a in range(0, len(batch), TEXTS):
+                    texts, y = batch["x"].iloc[a:a + TEXTS], batch["y"].iloc[a:a + TEXTS].to_numpy(np.float64)
+                    more, further = loss_and_slopes(np.frombuffer(b"".join(texts), np.int32), np.array([len(t) // 4 for t in texts]), y, scaled, bias)
+                    loss, slopes = loss + more, slopes + further
+            cuts = range(0, width + 1, BLOCK)
+            yield pd.DataFrame({"block": range(len(cuts)), "task": TaskContext.get().partitionId(), "loss": loss,
+                                "slopes": [slopes[c:c + BLOCK].tobytes() for c in cuts]})
+
+        def added(group):
+            # in the order of tasks, so that reruns agree
+            group = group.sort_values("task")
+            total = np.sum([np.frombuffer(s) for s in group["slopes"]], axis=0)
+            return pd.DataFrame({"block": group["block"].iloc[:1], "loss": [group["loss"].sum()], "slopes": [total.tobytes()]})
+
+        sums = (train.mapInPandas(part, "block int, task int, loss double, slopes binary").groupBy("block")
+                .applyInPandas(added, "block int, loss double, slopes binary").collect())
+        shared.destroy()
+        if not sums:
+            return 0.0, np.zeros(width + 1)
+        sums.sort(key=lambda r: r["block"])
+        slopes = np.concatenate([np.frombuffer(r["slopes"]) for r in sums])
+        slopes = slopes * np.append(ratio, 1.0)
+        slopes[:-1] += PENALTY * rows * w[:-1]
+        return sums[0]["loss"] + PENALTY * rows / 2 * float(w[:-1] @ w[:-1]), slopes
+
+    w = minimise(summed, np.zeros(width + 1), steps)
+    return w[:-1], float(w[-1])
 
 
 def train_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """(weight of every hashed feature, intercept); without any labelled text all zero."""
-    train = store(training_rows(docs, labels, max_rows), "toxic-train")
-    ratio, count = log_count_ratios(train)
-    strength = np.where(count >= 2, np.abs(ratio) * np.sqrt(count), 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:SELECTED])
-    number = np.full(1 << HASH_BITS, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    scale = ratio[chosen]
-
-    def kept(batches):
+    train = training_rows(docs, labels, max_rows)
+    ratio, _ = log_count_ratios(train)
+
+    def numbered(batches):
         grams = Grams()
         for batch in batches:
-            yield pd.DataFrame({"one": 0, "y": batch["y"], "x": [(n := number[grams(t)])[n >= 0].astype(np.int32).tobytes() for t in batch["text"]]})
-
-    def fitted(group):
-        rows = sorted(zip(group["x"], group["y"]))
-        indptr = np.concatenate([[0], np.cumsum([len(a) // 4 for a, _ in rows])])
-        weight, bias = fit_logistic(indptr, np.frombuffer(b"".join(a for a, _ in rows), np.int32), np.array([b for _, b in rows], np.float64), scale)
-        return pd.DataFrame({"weight": [(weight * scale).tobytes()], "bias": [bias]})
-
-    model = (train.mapInPandas(kept, "one int, y int, x binary").groupBy("one")
-             .applyInPandas(fitted, "weight binary, bias double").first())
-    weights = np.zeros(1 << HASH_BITS)
-    if model is None:
-        return weights, 0.0
-    weights[chosen] = np.frombuffer(model["weight"], np.float64)
-    return weights, model["bias"]
+            yield pd.DataFrame({"y": batch["y"], "x": [grams(t).astype(np.int32).tobytes() for t in batch["text"]]})
+
+    weight, bias = fit_logistic(store(train.mapInPandas(numbered, "y int, x binary"), "toxic-grams"), ratio)
+    return weight * ratio, bias
 
 
 def _scorer(docs: DataFrame, model: tuple[np.ndarray, float]):

@@ -46,12 +46,44 @@ def test_grams_are_distinct_and_whole():
     assert set(grams("grumpkin").tolist()) == set(T.Grams()("grumpkin").tolist())
 
 
-def test_logistic_separates():
-    indptr, feature, y = np.arange(0, 41), np.tile([0, 1], 20), np.tile([0.0, 1.0], 20)
-    w, b = T.fit_logistic(indptr, feature, y, np.array([-1.0, 1.0]))
+def test_logistic_separates(spark):
+    y, x = np.tile([0, 1], 20), [np.array([k], np.int32).tobytes() for k in np.tile([0, 1], 20)]
+    train = spark.createDataFrame(list(zip(y.tolist(), x)), "y int, x binary").repartition(3)
+    w, b = T.fit_logistic(train, np.array([-1.0, 1.0]))
     assert w[0] * -1 + b < 0 < w[1] + b
 
 
+def test_fit_is_the_minimum_over_all_features(spark):
+    """Ratios by definition from all texts; at the fitted weights the slope, recomputed on dense rows, vanishes, whatever the blocks."""
+    docs, labels = made(spark, 120)
+    rows = [(r["y"], r["text"]) for r in T.training_rows(docs, labels, 1000).collect()]
+    dense, y = np.zeros((len(rows), 1 << T.HASH_BITS), np.float32), np.array([r[0] for r in rows], float)
+    grams = T.Grams()
+    for i, (_, text) in enumerate(rows):
+        dense[i, grams(text)] = 1
+    ratio, count = T.log_count_ratios(T.training_rows(docs, labels, 1000))
+    pos, neg = dense[y == 1].sum(0, dtype=float), dense[y == 0].sum(0, dtype=float)
+    want = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / (len(y) - y.sum() + 2))
+    assert np.allclose(ratio, want) and (count == pos + neg).all()
+    weights, bias = T.train_classifier(docs, labels, 1000)
+    seen = count > 0
+    assert (weights[seen & (np.abs(ratio) > 0.1)] != 0).mean() > 0.99 and not weights[~seen].any()
+    z = dense @ weights + bias
+    error = 1 / (1 + np.exp(-z)) - y
+    w = np.divide(weights, ratio, out=np.zeros_like(weights), where=ratio != 0)
+    slope = (error @ dense) * ratio + T.PENALTY * len(y) * w
+    start = ((0.5 - y) @ dense) * ratio
+    assert np.linalg.norm(slope) < 0.02 * np.linalg.norm(start)
+
+
+def test_repeated_ids_stay_bounded(spark):
+    docs = spark.range(3000).selectExpr("1L AS doc_id", "concat('text ', id) AS text").unionByName(spark.sql("SELECT 2L AS doc_id, 'other' AS text"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, toxic int")
+    known = [i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5]
+    assert known and T.training_rows(docs, labels, 100).count() <= 200
+    assert T.training_rows(docs.unionByName(docs), labels, 5000).count() == T.training_rows(docs, labels, 5000).count()
+
+
 def test_edges(spark):
     docs, labels = edge_docs(spark), table(spark, "labels")
     odd = labels.unionByName(spark.createDataFrame([(None, 1, 1), (1, None, None), (1, 0, 0), (6, 0, 1), (6, 0, 1)], "doc_id long, quality int, toxic int"))
