@@ -20,8 +20,8 @@ HASH_BITS = 18
 #: The classifier is fitted on about this many labelled texts, chosen by a hash of the id.
 MAX_TRAIN_ROWS = 15_000
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-3, 40
-#: Features whose slopes are added up in one group.
-BLOCK = 1 << 14
+#: The features of the texts to learn from, bounded as they are, are stored in so many parts; each step sends one sum of slopes a part.
+PARTS = 8
 #: Texts whose features a task unfolds at once.
 TEXTS = 200
 #: A text is hashed in pieces of so many characters.
@@ -121,8 +121,8 @@ def loss_and_slopes(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, scaled: np.
 def fit_logistic(train: DataFrame, ratio: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and intercept of an L2-penalised logistic regression on every feature, each scaled by ``ratio``, by L-BFGS.
 
-    ``train`` is a stored table (y, x: int32 numbers of a text's features). In each step every task adds up the slopes of its texts and
-    sends them by blocks of features, which are added up in groups; the driver gets one sum.
+    ``train`` is a stored table (y, x: int32 numbers of a text's features). In each step every task adds up the slopes of its texts;
+    the driver gets one vector of fixed size from each of at most ``PARTS`` parts and nothing is shuffled.
     """
     context, width = train.sparkSession.sparkContext, len(ratio)
     rows = max(1, train.count())
@@ -140,26 +140,15 @@ def fit_logistic(train: DataFrame, ratio: np.ndarray, steps: int = STEPS) -> tup
                     texts, y = batch["x"].iloc[a:a + TEXTS], batch["y"].iloc[a:a + TEXTS].to_numpy(np.float64)
                     more, further = loss_and_slopes(np.frombuffer(b"".join(texts), np.int32), np.array([len(t) // 4 for t in texts]), y, scaled, bias)
                     loss, slopes = loss + more, slopes + further
-            cuts = range(0, width + 1, BLOCK)
-            yield pd.DataFrame({"block": range(len(cuts)), "task": TaskContext.get().partitionId(), "loss": loss,
-                                "slopes": [slopes[c:c + BLOCK].tobytes() for c in cuts]})
-
-        def added(group):
-            # in the order of tasks, so that reruns agree
-            group = group.sort_values("task")
-            total = np.sum([np.frombuffer(s) for s in group["slopes"]], axis=0)
-            return pd.DataFrame({"block": group["block"].iloc[:1], "loss": [group["loss"].sum()], "slopes": [total.tobytes()]})
-
-        sums = (train.mapInPandas(part, "block int, task int, loss double, slopes binary").groupBy("block")
-                .applyInPandas(added, "block int, loss double, slopes binary").collect())
+            if loss:
+                yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "loss": [loss], "slopes": [slopes.tobytes()]})
+
+        # in the order of tasks, so that reruns agree
+        sums = sorted(train.mapInPandas(part, "task int, loss double, slopes binary").collect(), key=lambda r: r["task"])
         shared.destroy()
-        if not sums:
-            return 0.0, np.zeros(width + 1)
-        sums.sort(key=lambda r: r["block"])
-        slopes = np.concatenate([np.frombuffer(r["slopes"]) for r in sums])
-        slopes = slopes * np.append(ratio, 1.0)
+        slopes = sum((np.frombuffer(r["slopes"]) for r in sums), np.zeros(width + 1)) * np.append(ratio, 1.0)
         slopes[:-1] += PENALTY * rows * w[:-1]
-        return sums[0]["loss"] + PENALTY * rows / 2 * float(w[:-1] @ w[:-1]), slopes
+        return sum(r["loss"] for r in sums) + PENALTY * rows / 2 * float(w[:-1] @ w[:-1]), slopes
 
     w = minimise(summed, np.zeros(width + 1), steps)
     return w[:-1], float(w[-1])
@@ -175,7 +164,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRA
         for batch in batches:
             yield pd.DataFrame({"y": batch["y"], "x": [grams(t).astype(np.int32).tobytes() for t in batch["text"]]})
 
-    weight, bias = fit_logistic(store(train.mapInPandas(numbered, "y int, x binary"), "toxic-grams"), ratio)
+    weight, bias = fit_logistic(store(train.coalesce(PARTS).mapInPandas(numbered, "y int, x binary"), "toxic-grams"), ratio)
     return weight * ratio, bias
 
 

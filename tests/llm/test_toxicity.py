@@ -54,7 +54,7 @@ def test_logistic_separates(spark):
 
 
 def test_fit_is_the_minimum_over_all_features(spark):
-    """Ratios by definition from all texts; at the fitted weights the slope, recomputed on dense rows, vanishes, whatever the blocks."""
+    """Ratios by definition from all texts; at the fitted weights the slope, recomputed on dense rows, vanishes."""
     docs, labels = made(spark, 120)
     rows = [(r["y"], r["text"]) for r in T.training_rows(docs, labels, 1000).collect()]
     dense, y = np.zeros((len(rows), 1 << T.HASH_BITS), np.float32), np.array([r[0] for r in rows], float)
