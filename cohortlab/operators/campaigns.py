@@ -183,17 +183,21 @@ def build_send_list(scored: DataFrame, campaigns: DataFrame) -> DataFrame:
 
 
 def expand_campaign_sends(campaigns: DataFrame) -> DataFrame:
-    """One queued email send and/or one WhatsApp send per campaign by its channel text."""
+    """One queued email send and/or one WhatsApp send per campaign by its channel text (P12). An email carries the campaign's
+    body and discount, a WhatsApp send its text; both carry who made the campaign."""
     ch = F.lower(F.coalesce("channel", F.lit("")))
+    none = F.lit(None).cast("string")
     arr = F.array(
-        F.struct(F.lit("email").alias("kind"), F.contains(ch, F.lit("email")).alias("on"),
-                 F.coalesce("subject", "id").alias("subject"), F.lit(None).cast("string").alias("message")),
-        F.struct(F.lit("whatsapp").alias("kind"), F.contains(ch, F.lit("whatsapp")).alias("on"),
-                 F.lit(None).cast("string").alias("subject"), F.coalesce("body", "subject", F.lit("")).alias("message")))
-    x = campaigns.select(F.col("id").alias("campaign_id"), "segment", "recipients", "created_at",
+        F.struct(F.lit("email").alias("kind"), F.contains(ch, F.lit("email")).alias("on"), F.coalesce("subject", "id").alias("subject"),
+                 none.alias("message"), F.col("body").alias("send_body"), F.col("discount").alias("send_discount")),
+        F.struct(F.lit("whatsapp").alias("kind"), F.contains(ch, F.lit("whatsapp")).alias("on"), none.alias("subject"),
+                 F.coalesce("body", "subject", F.lit("")).alias("message"), none.alias("send_body"),
+                 F.lit(None).cast(campaigns.schema["discount"].dataType).alias("send_discount")))
+    x = campaigns.select(F.col("id").alias("campaign_id"), "segment", "recipients", "created_at", "created_by",
                          F.inline(F.filter(arr, lambda s: s["on"])))
-    return x.select("campaign_id", "kind", "segment", "subject", "message", F.coalesce("recipients", F.lit(0)).alias("recipients"),
-                    F.lit("queued").alias("status"), "created_at")
+    return x.select("campaign_id", "kind", "segment", "subject", "message", F.col("send_body").alias("body"),
+                    F.col("send_discount").alias("discount"), F.coalesce("recipients", F.lit(0)).alias("recipients"),
+                    F.lit("queued").alias("status"), "created_at", "created_by")
 
 
 def propagate_campaign_status(campaigns: DataFrame, sends: DataFrame) -> DataFrame:
@@ -240,13 +244,16 @@ def drop_deleted_sends(deleted: DataFrame, sends: DataFrame) -> DataFrame:
 
 def sync_sends(edited: DataFrame, before: DataFrame, sends: DataFrame) -> DataFrame:
     """Sends after campaigns are edited: those linked to the campaign as it was (``before``) take over its new
-    subject or message and its recipients; unlinked sends stay as they are (P13)."""
+    subject or message and its recipients, emails also its body and discount where the sends have such columns; unlinked
+    sends stay as they are (P13)."""
     new = edited.select(F.col("id").alias("_c"), F.col("subject").alias("_subject"),
-                        F.coalesce(F.when(F.col("body") != "", F.col("body")), "subject").alias("_message"), F.col("recipients").alias("_recipients"))
+                        F.coalesce(F.when(F.col("body") != "", F.col("body")), "subject").alias("_message"), F.col("recipients").alias("_recipients"),
+                        F.col("body").alias("_body"), F.col("discount").alias("_discount"))
     links = link_sends(before.join(edited.select("id"), "id", "left_semi"), sends).groupBy(F.col("send_id").alias("id")).agg(F.min("campaign").alias("_c"))
     x = sends.join(links, "id", "left").join(new, "_c", "left")
     hit, email = F.col("_c").isNotNull(), F.col("kind") == "email"
     change = {"subject": F.when(hit & email, F.col("_subject")).otherwise(F.col("subject")),
               "message": F.when(hit & ~email, F.col("_message")).otherwise(F.col("message")),
               "recipients": F.when(hit, F.coalesce("_recipients", "recipients")).otherwise(F.col("recipients"))}
+    change |= {c: F.when(hit & email, F.col("_" + c)).otherwise(F.col(c)) for c in ("body", "discount") if c in sends.columns}
     return x.select(*[change[c].alias(c) if c in change else F.col(c) for c in sends.columns])

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortlab.functions import fixed as FX
+
 
 def _all():
     return Window.partitionBy()
@@ -237,16 +239,32 @@ def dominant_category(cat_share: DataFrame) -> DataFrame:
 
 
 # D22 / D23 / D24 / D26 / D30 (segment value) ----------------------------------------------
-def spend_band_share(bands: DataFrame) -> DataFrame:
-    return bands.select("band", "n", (F.col("n") * 100.0 / F.sum("n").over(_all())).alias("pct"))
+def spend_band_share(bands: DataFrame, profile: DataFrame) -> DataFrame:
+    """Customers and whole % per spend band. When the bands count nobody, each segment's customers go to the band of
+    its mean spend (``profile``: seg, n, avg_spend)."""
+    spend = F.coalesce(F.col("avg_spend"), F.lit(0.0))
+    lo, hi = FX.SPEND_BANDS
+    named = F.when(spend >= hi, F.lit("high")).when(spend >= lo, F.lit("mid")).otherwise(F.lit("low"))
+    by_mean = profile.groupBy(named.alias("band")).agg(F.sum("n").cast("long").alias("_by_mean"))
+    x = bands.join(by_mean, "band", "left").withColumn("_counted", F.sum("n").over(_all()))
+    x = x.select("band", F.when(F.col("_counted") > 0, F.col("n")).otherwise(F.coalesce("_by_mean", F.lit(0))).cast("long").alias("n"))
+    total = F.greatest(F.sum("n").over(_all()), F.lit(1))
+    return x.select("band", "n", whole(F.col("n") / total * 100.0).cast("long").alias("pct"))
 
 
 def net_aov(profile: DataFrame) -> DataFrame:
-    """AOV after discount, discount cost per order, both relative to the largest."""
-    x = profile.select("seg", (F.col("avg_aov") * (F.lit(1.0) - F.col("avg_discount"))).alias("net_aov"),
-                       (F.col("avg_aov") * F.col("avg_discount")).alias("discount_cost"))
-    return x.select("*", (F.col("net_aov") * 100.0 / F.max("net_aov").over(_all())).alias("net_aov_bar"),
-                    (F.col("discount_cost") * 100.0 / F.max("discount_cost").over(_all())).alias("discount_cost_bar"))
+    """AOV after discount and discount cost per order; whole % bars of AOV, net AOV and discount relative to the largest
+    segment's (a largest value of 0 counts as 1)."""
+    aov, discount = F.coalesce(F.col("avg_aov"), F.lit(0.0)), F.coalesce(F.col("avg_discount"), F.lit(0.0))
+    x = profile.select("seg", aov.alias("aov"), discount.alias("discount"), (aov * (F.lit(1.0) - discount)).alias("net_aov"),
+                       (aov * discount).alias("discount_cost"))
+
+    def bar(c):
+        top = F.max(c).over(_all())
+        return whole(F.col(c) / F.when(top == 0, F.lit(1.0)).otherwise(top) * 100.0).cast("long")
+
+    return x.select("seg", "net_aov", "discount_cost", bar("aov").alias("aov_bar"), bar("net_aov").alias("net_aov_bar"),
+                    bar("discount").alias("discount_bar"))
 
 
 def discount_efficiency(profile: DataFrame) -> DataFrame:

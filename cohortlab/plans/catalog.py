@@ -737,11 +737,17 @@ dq("segment_top5_categories", "SELECT seg, rank, category, share FROM catshare W
    lambda x: DI.segment_top_categories(x.cat_share, 5))
 dq("segment_top_categories", "SELECT seg, rank, category, share FROM catshare WHERE rank <= 3", ["catshare"],
    lambda x: DI.segment_top_categories(x.cat_share, 3))
-dq("spend_band_share", f"""SELECT band, n, n * {D} / sum(n) OVER () AS pct FROM ({_bands_sql("total_spend", 100, 500)})""",
-   ["features"], lambda x: DI.spend_band_share(K.spend_bands(x.I.features)))
-dq("net_aov", f"""SELECT *, net_aov * {D} / max(net_aov) OVER () AS net_aov_bar,
-    discount_cost * {D} / max(discount_cost) OVER () AS discount_cost_bar
-FROM (SELECT seg, avg_aov * (1.0 - avg_discount) AS net_aov, avg_aov * avg_discount AS discount_cost FROM prof)""", ["prof"],
+dq("spend_band_share", f"""SELECT band, n, CAST(floor(CAST(n AS DOUBLE) / sum(n) OVER () * {D} + 0.5) AS BIGINT) AS pct FROM ({_bands_sql("total_spend", 100, 500)})""",
+   ["features"], lambda x: DI.spend_band_share(K.spend_bands(x.I.features), x.profile))
+# the fallback, as for a summary without bands
+dq("spend_band_share_by_mean", f"""SELECT band, n, CAST(floor(CAST(n AS DOUBLE) / sum(n) OVER () * {D} + 0.5) AS BIGINT) AS pct
+FROM (SELECT b.band, CAST(COALESCE(sum(p.n), 0) AS BIGINT) AS n FROM (VALUES ('high'), ('mid'), ('low')) b(band)
+      LEFT JOIN prof p ON b.band = CASE WHEN p.avg_spend >= 500 THEN 'high' WHEN p.avg_spend >= 100 THEN 'mid' ELSE 'low' END GROUP BY 1)""",
+   ["prof"], lambda x: DI.spend_band_share(K.spend_bands(x.I.features.limit(0)), x.profile))
+dq("net_aov", f"""SELECT seg, net_aov, discount_cost, CAST(floor(avg_aov / max(avg_aov) OVER () * {D} + 0.5) AS BIGINT) AS aov_bar,
+    CAST(floor(net_aov / max(net_aov) OVER () * {D} + 0.5) AS BIGINT) AS net_aov_bar,
+    CAST(floor(avg_discount / CASE WHEN max(avg_discount) OVER () = 0 THEN 1.0 ELSE max(avg_discount) OVER () END * {D} + 0.5) AS BIGINT) AS discount_bar
+FROM (SELECT seg, avg_aov, avg_discount, avg_aov * (1.0 - avg_discount) AS net_aov, avg_aov * avg_discount AS discount_cost FROM prof)""", ["prof"],
    lambda x: DI.net_aov(x.profile))
 dq("discount_efficiency", """SELECT seg, avg_discount, CASE WHEN avg_discount < 0.05 THEN 'Efficient' WHEN avg_discount < 0.15
     THEN 'Moderate' ELSE 'Costly' END AS discount_efficiency FROM prof""", ["prof"], lambda x: DI.discount_efficiency(x.profile))
@@ -899,9 +905,9 @@ q("build_send_list", O.sql("""SELECT c.id AS campaign_id, x.customer_id, x.phone
     ON x.segment = c.segment""", "raw_campaigns", "scored"))(
     lambda s, d: CP.build_send_list(_scored(s, d), A.raw_campaigns(s, d)))
 q("expand_campaign_sends", O.sql("""SELECT id AS campaign_id, 'email' AS kind, segment, COALESCE(subject, id) AS subject,
-    CAST(NULL AS VARCHAR) AS message, COALESCE(recipients, 0) AS recipients, 'queued' AS status, created_at
+    CAST(NULL AS VARCHAR) AS message, body, discount, COALESCE(recipients, 0) AS recipients, 'queued' AS status, created_at, created_by
 FROM raw_campaigns WHERE contains(lower(COALESCE(channel, '')), 'email')
-UNION ALL SELECT id, 'whatsapp', segment, NULL, COALESCE(body, subject, ''), COALESCE(recipients, 0), 'queued', created_at
+UNION ALL SELECT id, 'whatsapp', segment, NULL, COALESCE(body, subject, ''), NULL, NULL, COALESCE(recipients, 0), 'queued', created_at, created_by
 FROM raw_campaigns WHERE contains(lower(COALESCE(channel, '')), 'whatsapp')""", "raw_campaigns"))(
     lambda s, d: CP.expand_campaign_sends(A.raw_campaigns(s, d)))
 q("propagate_campaign_status", O.sql("""SELECT l.send_id, l.campaign, l.kind, l.status AS old_status,
@@ -924,11 +930,13 @@ q("drop_deleted_sends", O.sql("""SELECT s.* FROM raw_sends s WHERE s.id NOT IN (
 q("sync_sends", O.sql("""SELECT s.* REPLACE (
     CASE WHEN l.campaign IS NOT NULL AND s.kind = 'email' THEN 'New ' || l.campaign ELSE s.subject END AS subject,
     CASE WHEN l.campaign IS NOT NULL AND s.kind <> 'email' THEN COALESCE(NULLIF(c.body, ''), 'New ' || l.campaign) ELSE s.message END AS message,
-    CASE WHEN l.campaign IS NOT NULL THEN COALESCE(c.recipients, s.recipients) ELSE s.recipients END AS recipients)
+    CASE WHEN l.campaign IS NOT NULL THEN COALESCE(c.recipients, s.recipients) ELSE s.recipients END AS recipients),
+    CASE WHEN l.campaign IS NOT NULL AND s.kind = 'email' THEN c.body ELSE 'old' END AS body,
+    CASE WHEN l.campaign IS NOT NULL AND s.kind = 'email' THEN c.discount ELSE CAST(-1 AS DOUBLE) END AS discount
 FROM raw_sends s LEFT JOIN (SELECT send_id, min(campaign) AS campaign FROM links WHERE campaign IN (SELECT id FROM raw_campaigns WHERE status = 'pending')
                             GROUP BY 1) l ON l.send_id = s.id LEFT JOIN raw_campaigns c ON c.id = l.campaign""", "raw_sends", "raw_campaigns", "links"))(
     lambda s, d: CP.sync_sends(A.raw_campaigns(s, d).filter(F.col("status") == "pending").withColumn("subject", F.concat(F.lit("New "), F.col("id"))),
-                               A.raw_campaigns(s, d), A.raw_sends(s, d)))
+                               A.raw_campaigns(s, d), A.raw_sends(s, d).withColumns({"body": F.lit("old"), "discount": F.lit(-1.0)})))
 
 # ---- T: text over the conversations table -----------------------------------------------
 from cohortlab.functions.columns import ACCENTS_FROM as _AF, ACCENTS_TO as _AT  # noqa: E402
@@ -1041,6 +1049,7 @@ _SECTIONS = {"total_revenue": ("deduped_paid_revenue", ["total_revenue"]), "mont
              "spend_bands": ("spend_bands", ["band", "n"]), "velocity_bands": ("velocity_bands", ["band", "n"]),
              "top_products": ("quarterly_top_products", ["quarter", "rank", "name", "revenue"]),
              "top_categories": ("quarterly_top_categories", ["quarter", "rank", "name", "revenue"]),
+             "revenue_by_segment": ("fix_rounding_drift", ["seg", "revenue"]),
              "gateways": ("gateway_distribution", ["payment_gateway", "n"]), "payment_status": ("status_distribution", ["status", "n"])}
 q("summary_sections", " UNION ALL ".join(
     f"SELECT '{name}' AS section, concat_ws('/', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols[:-1])}) AS key, CAST({cols[-1]} AS DOUBLE) AS value FROM ({ORACLE[src]})"

@@ -96,6 +96,11 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, cfg: ModelConfig | Non
     save("sample", M.sample_customers(scored, FX.SAMPLE_SIZE, cfg.random_state))
     if cfg.k_sweep:
         save("k_scores", M.k_sweep(scaled, range(2, 9), cfg.random_state, cfg.n_init, cfg.features))
+    kept = {"revenue_by_segment": ("segment_revenue", ["seg", "revenue"]), "monthly_revenue": ("monthly_revenue", ["ym", "revenue"]),
+            "monthly_aov": ("monthly_aov", ["ym", "aov"]), "category_revenue": ("category_revenue", ["category", "revenue"]),
+            "k_scores": ("k_scores", ["k", "silhouette"])}
+    save("summary_sections", K.summary_sections(**{part: spark.read.parquet(out[name]).select(*cols)
+                                                   for part, (name, cols) in kept.items() if name in out}))
     save("config", spark.createDataFrame([(json.dumps(asdict(cfg)),)], "config string"))
     session.drop_stored(spark, [p for p in session.STORED if p not in before])     # all results are written by now
     return out

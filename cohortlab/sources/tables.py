@@ -93,17 +93,28 @@ def export_csv(df: DataFrame, path: str) -> None:
     to_output_types(df).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
 
 
+def _finite(c, t: T.DataType, fill):
+    """``c`` with every floating number in it made finite; None when its type holds none."""
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        return sanitize(c, fill)
+    if isinstance(t, T.ArrayType) and _finite(c, t.elementType, fill) is not None:
+        return F.transform(c, lambda x: _finite(x, t.elementType, fill))
+    if isinstance(t, T.MapType) and _finite(c, t.valueType, fill) is not None:
+        return F.transform_values(c, lambda k, v: _finite(v, t.valueType, fill))
+    if isinstance(t, T.StructType):
+        parts = [(f.name, _finite(c.getField(f.name), f.dataType, fill)) for f in t.fields]
+        if any(x is not None for _, x in parts):
+            built = F.struct(*[(c.getField(n) if x is None else x).alias(n) for n, x in parts])
+            return F.when(c.isNotNull(), built)
+    return None
+
+
 def sanitize_non_finite(df: DataFrame, fill=None) -> DataFrame:
-    """inf / NaN -> ``fill`` in every floating column, also inside arrays and maps."""
+    """inf / NaN -> ``fill`` in every floating column, also inside arrays, maps and structs at any depth (S8). Keys of
+    maps and null values stay as they are."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        t = f.dataType
-        if isinstance(t, (T.DoubleType, T.FloatType)):
-            c = sanitize(c, fill)
-        elif isinstance(t, T.ArrayType) and isinstance(t.elementType, (T.DoubleType, T.FloatType)):
-            c = F.transform(c, lambda x: sanitize(x, fill))
-        elif isinstance(t, T.MapType) and isinstance(t.valueType, (T.DoubleType, T.FloatType)):
-            c = F.transform_values(c, lambda k, v: sanitize(v, fill))
-        out.append(c.alias(f.name))
+        x = _finite(c, f.dataType, fill)
+        out.append((c if x is None else x).alias(f.name))
     return df.select(*out)

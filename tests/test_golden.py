@@ -258,3 +258,39 @@ def test_channel_normalisation_and_rollup(spark):
                                    ("5", "c", "failed"), ("6", None, "failed")], "id string, campaign_id string, status string")
     got = dict(rows(CP.campaign_status_rollup(camps, sends), "id", "status"))
     assert got == {"a": "sent", "b": "cancelled", "c": "pending", "d": "sent"}
+
+
+def test_sanitize_at_any_depth(spark):
+    from cohortlab.sources.tables import sanitize_non_finite
+    df = spark.sql("""SELECT 1 AS id, named_struct('a', double('NaN'), 'b', array(named_struct('x', double('Infinity'), 'y', 'k')),
+                      'm', map('p', array(double('-Infinity'), 2.0D))) AS s, CAST(NULL AS STRUCT<v: DOUBLE>) AS n""")
+    for fill in (None, 0.0):
+        out = sanitize_non_finite(df, fill)
+        assert out.dtypes == df.dtypes
+        r = out.first()
+        assert (r.s.a, r.s.b[0].x, r.s.b[0].y, r.s.m["p"], r.n) == (fill, fill, "k", [fill, 2.0], None)
+
+
+def test_spend_bands_fall_back_on_means_and_bars_are_whole(spark):
+    from cohortlab.operators import insights as DI
+    prof = spark.createDataFrame([(0, 3, 700.0, 50.0, 0.2), (1, 4, 120.0, 25.1, 0.0), (2, 1, None, None, None)],
+                                 "seg int, n long, avg_spend double, avg_aov double, avg_discount double")
+    bands = spark.createDataFrame([("high", 0), ("mid", 0), ("low", 0)], "band string, n long")
+    got = {r.band: (r.n, r.pct) for r in DI.spend_band_share(bands, prof).collect()}
+    assert got == {"high": (3, 38), "mid": (4, 50), "low": (1, 13)}
+    rows = {r.seg: (r.aov_bar, r.net_aov_bar, r.discount_bar) for r in DI.net_aov(prof).collect()}
+    assert rows == {0: (100, 100, 100), 1: (50, 63, 0), 2: (0, 0, 0)}
+
+
+def test_sends_carry_body_discount_and_author(spark):
+    c = spark.createDataFrame([("c1", "VIP", "email-whatsapp", "Hi", "text", "-15%", 9, T0, "ann")],
+                              "id string, segment string, channel string, subject string, body string, discount string, recipients int, "
+                              "created_at timestamp_ntz, created_by string")
+    rows = {r.kind: r for r in CP.expand_campaign_sends(c).collect()}
+    assert (rows["email"].body, rows["email"].discount, rows["email"].created_by) == ("text", "-15%", "ann")
+    assert (rows["whatsapp"].message, rows["whatsapp"].body, rows["whatsapp"].discount, rows["whatsapp"].created_by) == ("text", None, None, "ann")
+    sends = CP.expand_campaign_sends(c).withColumn("id", F.col("kind"))
+    edited = c.withColumn("body", F.lit("new")).withColumn("discount", F.lit("-5%"))
+    got = {r.kind: r for r in CP.sync_sends(edited, c, sends).collect()}
+    assert (got["email"].body, got["email"].discount) == ("new", "-5%")
+    assert (got["whatsapp"].message, got["whatsapp"].body, got["whatsapp"].discount) == ("new", None, None)
