@@ -7,9 +7,11 @@ scaled by its ratio, is fitted to the same texts and scores every text.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import packed, store, unpacked
@@ -22,7 +24,7 @@ MAX_TRAIN_ROWS = 15_000
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-3, 40
 #: The features of the texts to learn from, bounded as they are, are stored in so many parts; each step sends one sum of slopes a part.
 PARTS = 8
-#: Texts whose features a task unfolds at once.
+#: Texts that a task of the fit gets and unfolds at once.
 TEXTS = 200
 #: A text is hashed in pieces of so many characters.
 PIECE = 100_000
@@ -60,6 +62,31 @@ class Grams:
         return np.concatenate(out)
 
 
+def pack_places(x: np.ndarray) -> bytes:
+    """Hashed n-grams in two bytes each: how many fall into each stretch of 2^16 places, then their places in it."""
+    x = np.sort(x)
+    return np.bincount(x >> 16, minlength=1 << HASH_BITS - 16).astype(np.int32).tobytes() + x.astype(np.uint16).tobytes()
+
+
+def unpack_places(packed: bytes) -> np.ndarray:
+    """The n-grams of ``pack_places``, in ascending order."""
+    head = 4 << HASH_BITS - 16
+    stretch = np.frombuffer(packed[:head], np.int32)
+    return np.repeat(np.arange(len(stretch), dtype=np.int32) << 16, stretch) + np.frombuffer(packed[head:], np.uint16)
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs run inside send ``TEXTS`` rows at once to Python: whole texts and their features are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(TEXTS, int(before)) if int(before) > 0 else TEXTS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def held_out() -> Column:
     """Every fifth id by crc32: its label is never learnt from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -121,7 +148,7 @@ def loss_and_slopes(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, scaled: np.
 def fit_logistic(train: DataFrame, ratio: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and intercept of an L2-penalised logistic regression on every feature, each scaled by ``ratio``, by L-BFGS.
 
-    ``train`` is a stored table (y, x: int32 numbers of a text's features). In each step every task adds up the slopes of its texts;
+    ``train`` is a stored table (y, x: a text's packed features). In each step every task adds up the slopes of its texts;
     the driver gets one vector of fixed size from each of at most ``PARTS`` parts and nothing is shuffled.
     """
     context, width = train.sparkSession.sparkContext, len(ratio)
@@ -137,8 +164,9 @@ def fit_logistic(train: DataFrame, ratio: np.ndarray, steps: int = STEPS) -> tup
             loss, slopes = 0.0, np.zeros(width + 1)
             for batch in batches:
                 for a in range(0, len(batch), TEXTS):
-                    texts, y = batch["x"].iloc[a:a + TEXTS], batch["y"].iloc[a:a + TEXTS].to_numpy(np.float64)
-                    more, further = loss_and_slopes(np.frombuffer(b"".join(texts), np.int32), np.array([len(t) // 4 for t in texts]), y, scaled, bias)
+                    texts = [unpack_places(t) for t in batch["x"].iloc[a:a + TEXTS]]
+                    y = batch["y"].iloc[a:a + TEXTS].to_numpy(np.float64)
+                    more, further = loss_and_slopes(np.concatenate(texts), np.array([len(t) for t in texts]), y, scaled, bias)
                     loss, slopes = loss + more, slopes + further
             if loss:
                 yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "loss": [loss], "slopes": [slopes.tobytes()]})
@@ -156,15 +184,15 @@ def fit_logistic(train: DataFrame, ratio: np.ndarray, steps: int = STEPS) -> tup
 
 def train_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """(weight of every hashed feature, intercept); without any labelled text all zero."""
-    train = training_rows(docs, labels, max_rows)
-    ratio, _ = log_count_ratios(train)
-
     def numbered(batches):
         grams = Grams()
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "x": [grams(t).astype(np.int32).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"y": batch["y"], "x": [pack_places(grams(t)) for t in batch["text"]]})
 
-    weight, bias = fit_logistic(store(train.coalesce(PARTS).mapInPandas(numbered, "y int, x binary"), "toxic-grams"), ratio)
+    train = training_rows(docs, labels, max_rows)
+    with small_batches(docs.sparkSession):
+        ratio, _ = log_count_ratios(train)
+        weight, bias = fit_logistic(store(train.coalesce(PARTS).mapInPandas(numbered, "y int, x binary"), "toxic-grams"), ratio)
     return weight * ratio, bias
 
 

@@ -46,8 +46,21 @@ def test_grams_are_distinct_and_whole():
     assert set(grams("grumpkin").tolist()) == set(T.Grams()("grumpkin").tolist())
 
 
+def test_places_survive_packing():
+    for x in ([], [0], [65535, 65536, (1 << T.HASH_BITS) - 1, 7], range(0, 1 << T.HASH_BITS, 11)):
+        assert T.unpack_places(T.pack_places(np.array(x, np.uint32))).tolist() == sorted(x)
+
+
+def test_batch_size_of_the_session_is_restored(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs, labels = made(spark, 60)
+    T.train_classifier(docs, labels)
+    assert spark.conf.get(name) == before
+
+
 def test_logistic_separates(spark):
-    y, x = np.tile([0, 1], 20), [np.array([k], np.int32).tobytes() for k in np.tile([0, 1], 20)]
+    y, x = np.tile([0, 1], 20), [T.pack_places(np.array([k])) for k in np.tile([0, 1], 20)]
     train = spark.createDataFrame(list(zip(y.tolist(), x)), "y int, x binary").repartition(3)
     w, b = T.fit_logistic(train, np.array([-1.0, 1.0]))
     assert w[0] * -1 + b < 0 < w[1] + b
