@@ -39,6 +39,45 @@ def segment_alerts(counts: DataFrame, open_alerts: DataFrame) -> DataFrame:
     return new.unionByName(still_open.select("type", "segment", "current_pct", "baseline_pct", "delta", "severity"))
 
 
+def alert_history(snapshots: DataFrame, acknowledgements: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Life cycle of the threshold alerts over successive snapshots (P1): one row per time an alert was open, ``closed_at``
+    null while it still is.
+
+    ``snapshots``: (at, segment, customers), a row per segment and time; ``acknowledgements``: (type, at). A share beyond its
+    threshold opens an alert unless one of the type is open; an acknowledgement closes what was opened at or before its time and
+    does nothing when nothing is open; a later breach opens the alert again (``opening`` counts from 1). ``breaches`` counts the
+    snapshots that broke the rule meanwhile. Of several segments of a rule's name the largest share counts. Rows without a
+    time or type are ignored. All is done apart for each value of ``by``; a rule's window holds a row per snapshot
+    that breaks it, never one per customer.
+    """
+    by = list(by)
+    rules = snapshots.sparkSession.createDataFrame(ALERT_RULES, "type string, name_lc string, threshold double, severity string, delta double")
+    all_of = F.sum("customers").over(Window.partitionBy(*by, "at"))
+    share = snapshots.filter(F.col("at").isNotNull()).withColumn("pct", F.col("customers") * 100.0 / all_of).withColumn("name_lc", F.lower("segment"))
+    breach = (share.join(F.broadcast(rules), "name_lc").filter(F.col("pct") > F.col("threshold"))
+              .groupBy(*by, "type", "severity", "delta", "at").agg(F.max(F.struct("pct", "segment")).alias("top"))
+              .select(*by, "type", "severity", "delta", "at", "top", F.lit(0).alias("ack")))
+    ack = (acknowledgements.filter(F.col("at").isNotNull() & F.col("type").isNotNull()).select(*by, "type", "at").distinct()
+           .join(F.broadcast(rules.select("type", "severity", "delta")), "type").withColumn("ack", F.lit(1)))
+    # acknowledgements so far part a type's breaches into groups, each closed by the acknowledgement that ends it
+    so_far = Window.partitionBy(*by, "type").orderBy("at", "ack").rowsBetween(Window.unboundedPreceding, 0)
+    told = breach.unionByName(ack, allowMissingColumns=True).withColumn("part", F.sum("ack").over(so_far) - F.col("ack"))
+    breaks = F.col("ack") == 0
+    spans = (told.groupBy(*by, "type", "severity", "delta", "part")
+             .agg(F.min(F.when(breaks, F.struct("at", "top"))).alias("first"), F.sum((1 - F.col("ack")).cast("long")).alias("breaches"),
+                  F.max(F.when(~breaks, F.col("at"))).alias("closed_at")).filter(F.col("first").isNotNull()))
+    pct = F.col("first.top.pct")
+    return spans.select(*by, "type", F.row_number().over(Window.partitionBy(*by, "type").orderBy("first.at")).alias("opening"),
+                        F.col("first.top.segment").alias("segment"), "severity", pct.alias("current_pct"), (pct - F.col("delta")).alias("baseline_pct"),
+                        "delta", F.col("first.at").alias("opened_at"), "closed_at", "breaches")
+
+
+def open_alerts(history: DataFrame) -> DataFrame:
+    """The alerts of ``alert_history`` not yet acknowledged, in the form that ``segment_alerts`` takes."""
+    return history.filter(F.col("closed_at").isNull()).select("type", "segment", "current_pct", "baseline_pct", "delta", "severity",
+                                                              F.lit(False).alias("acknowledged"))
+
+
 def smart_notifications(counts: DataFrame, seg_revenue: DataFrame, yoy: DataFrame, category_share: DataFrame) -> DataFrame:
     """Rule notifications from the KPIs, ordered unread first, then priority, then recency.
 
@@ -228,6 +267,48 @@ def replace_campaigns(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.join(incoming.select("id"), "id", "left_anti").select(*existing.columns).unionByName(latest_campaigns(incoming))
 
 
+def _last_change(rows: DataFrame, columns: list[str], order_by: list[str]) -> DataFrame:
+    """(row, deleted) of each id's last change; among equal ones a deletion, then the JSON form that sorts last."""
+    row = F.struct(*columns)
+    rank = F.struct(*order_by, "deleted", F.to_json(row))
+    return rows.groupBy("id").agg(F.max_by(F.struct(row.alias("row"), "deleted"), rank).alias("last")).select("last.row", "last.deleted")
+
+
+def fold_changes(existing: DataFrame, log: DataFrame, order_by: tuple[str, ...] = ("changed_at",)) -> DataFrame:
+    """Campaigns after a log of edits: each id's last change counts, a tombstone removes it.
+
+    ``log`` has the columns of ``existing``, ``deleted`` (null: false) and those of ``order_by``, by which the changes of an id follow
+    one another. An id may have any number of changes: each task first reduces its own. Ids not in the log stay, new ones
+    are added, equal ids in ``existing`` become one; campaigns without an id stay, changes without one are ignored.
+    """
+    columns, order = existing.columns, list(order_by)
+    # a struct sorts nulls first, so a stored row comes before any change of it
+    told = log.filter(F.col("id").isNotNull()).select(F.struct(*columns).alias("row"), F.struct(*order).alias("order"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    stored = existing.filter(F.col("id").isNotNull()).select(F.struct(*columns).alias("row"), F.lit(None).cast(told.schema["order"].dataType).alias("order"),
+                                                            F.lit(False).alias("deleted"))
+    every = stored.unionByName(told).select("row.*", "order", "deleted")
+    last = _last_change(every, columns, ["order"]).filter(~F.col("deleted")).select("row.*")
+    return last.unionByName(existing.filter(F.col("id").isNull()))
+
+
+def fold_changes_into_sends(existing: DataFrame, log: DataFrame, sends: DataFrame, order_by: tuple[str, ...] = ("changed_at",)) -> DataFrame:
+    """Sends after the same log (P13): those linked to a removed campaign go; those linked to an edited one take over its
+    texts and recipients and, where the edit changed it, its status; all others stay."""
+    told = log.filter(F.col("id").isNotNull()).withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    last = _last_change(told, existing.columns, list(order_by))
+    gone = existing.join(last.filter("deleted").select("row.id"), "id", "left_semi")
+    edited = last.filter(~F.col("deleted")).select("row.*").join(existing.select("id"), "id", "left_semi")
+    kept = drop_deleted_sends(gone, sends)
+    new = F.when(F.col("status") == "sent", F.lit("sent")).when(F.col("status") == "cancelled", F.lit("failed")).otherwise(F.lit("queued"))
+    turned = edited.select("id", "status").join(existing.select("id", F.col("status").alias("_old")), "id") \
+        .filter(~F.col("status").eqNullSafe(F.col("_old"))).select(F.col("id").alias("campaign"), new.alias("_status"))
+    was = existing.join(edited.select("id"), "id", "left_semi")
+    moved = link_sends(was, kept).groupBy("send_id").agg(F.min("campaign").alias("campaign")).join(turned, "campaign") \
+        .select(F.col("send_id").alias("id"), "_status")
+    return sync_sends(edited, existing, kept).join(moved, "id", "left") \
+        .select(*[F.coalesce("_status", "status").alias("status") if c == "status" else F.col(c) for c in sends.columns])
+
+
 def search_sends(sends: DataFrame, q: str | None = None, status: str | None = None) -> DataFrame:
     """Status filter plus case-insensitive contains over segment and subject (email) or message (WhatsApp)."""
     s = sends if not status or status == "all" else sends.filter(F.col("status") == status)

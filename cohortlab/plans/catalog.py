@@ -831,6 +831,32 @@ JOIN (VALUES """ + ", ".join(f"('{t}', '{n}', {th}, '{sv}', {dl})" for t, n, th,
 WHERE pct > threshold""", "counts_named"))(lambda s, d: CP.segment_alerts(_counts_named(s, d), _open_alerts(s)))
 
 
+def _alert_history(s, d):
+    """Snapshots: a day's customers by label; acknowledgements: the days of some orders."""
+    o = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("at"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("VIP", "Loyal", "At Risk", "Lost")]), (F.col("o_custkey") % 4 + 1).cast("int"))
+    snapshots = o.groupBy("at", name.alias("segment")).agg(F.count_distinct("o_custkey").alias("customers"))
+    acks = o.filter("o_orderkey % 50 = 0").select(F.lit("at_risk_high").alias("type"), "at") \
+        .union(o.filter("o_orderkey % 70 = 0").select(F.lit("lost_high").alias("type"), "at"))
+    return CP.alert_history(snapshots, acks)
+
+
+O.cte("alert_spans", [], """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS t FROM orders),
+n AS (SELECT t, c % 4 AS seg, count(DISTINCT c) AS customers FROM o GROUP BY 1, 2),
+p AS (SELECT *, customers * CAST(100 AS DOUBLE) / sum(customers) OVER (PARTITION BY t) AS pct FROM n),
+b AS (SELECT 'at_risk_high' AS type, 'At Risk' AS segment, 'warning' AS severity, CAST(5 AS DOUBLE) AS delta, t, pct FROM p WHERE seg = 2 AND pct > 35
+      UNION ALL SELECT 'lost_high', 'Lost', 'error', CAST(8 AS DOUBLE), t, pct FROM p WHERE seg = 3 AND pct > 40),
+a AS (SELECT DISTINCT 'at_risk_high' AS type, t FROM o WHERE k % 50 = 0 UNION SELECT DISTINCT 'lost_high', t FROM o WHERE k % 70 = 0),
+e AS (SELECT b.*, (SELECT max(a.t) FROM a WHERE a.type = b.type AND a.t < b.t) AS since FROM b),
+g AS (SELECT type, segment, severity, delta, since, min(t) AS opened_at, arg_min(pct, t) AS current_pct, count(*) AS breaches FROM e GROUP BY ALL)
+SELECT type, CAST(row_number() OVER (PARTITION BY type ORDER BY opened_at) AS INTEGER) AS opening, segment, severity, current_pct,
+       current_pct - delta AS baseline_pct, delta, opened_at, (SELECT min(a.t) FROM a WHERE a.type = g.type AND a.t >= g.opened_at) AS closed_at, breaches FROM g""")
+q("alert_history", O.sql("SELECT * FROM alert_spans", "alert_spans"))(_alert_history)
+q("open_alerts", O.sql("""SELECT type, segment, current_pct, baseline_pct, delta, severity, false AS acknowledged FROM alert_spans
+WHERE closed_at IS NULL""", "alert_spans"))(lambda s, d: CP.open_alerts(_alert_history(s, d)))
+
+
 def _notif(s, d):
     I = Inputs(s, d)
     cs = DI.category_share(K.category_revenue(I.flines))
@@ -938,6 +964,42 @@ FROM raw_sends s LEFT JOIN (SELECT send_id, min(campaign) AS campaign FROM links
     lambda s, d: CP.sync_sends(A.raw_campaigns(s, d).filter(F.col("status") == "pending").withColumn("subject", F.concat(F.lit("New "), F.col("id"))),
                                A.raw_campaigns(s, d), A.raw_sends(s, d).withColumns({"body": F.lit("old"), "discount": F.lit(-1.0)})))
 
+
+
+def _campaign_log(s, d):
+    """Every send as an edit of its campaign; failed ones are tombstones."""
+    return A.raw_sends(s, d).select(
+        F.col("campaign_id").alias("id"), "segment", F.col("kind").alias("channel"), F.concat(F.lit("Edit "), "id").alias("subject"),
+        F.col("message").alias("body"), F.lit(7.0).alias("discount"), "status", "created_at", F.lit("log").alias("created_by"),
+        (F.col("recipients") * 3).cast("long").alias("recipients"), F.col("created_at").alias("changed_at"), F.col("id").alias("seq"),
+        (F.col("status") == "failed").alias("deleted"))
+
+
+def _campaigns_before(s, d):
+    return A.raw_campaigns(s, d).filter("status <> 'cancelled'")
+
+
+O.cte("campaign_log", ["raw_sends"], """
+SELECT * FROM (SELECT campaign_id AS id, segment, kind AS channel, 'Edit ' || id AS subject, message AS body, CAST(7 AS DOUBLE) AS discount, status,
+                      created_at, 'log' AS created_by, CAST(3 * recipients AS BIGINT) AS recipients, status = 'failed' AS deleted,
+                      row_number() OVER (PARTITION BY campaign_id ORDER BY created_at DESC, id DESC) AS r FROM raw_sends WHERE campaign_id IS NOT NULL)
+WHERE r = 1""")
+q("fold_campaign_log", O.sql("""SELECT * EXCLUDE (deleted, r) FROM campaign_log WHERE NOT deleted
+UNION ALL SELECT * FROM raw_campaigns WHERE status <> 'cancelled' AND id NOT IN (SELECT id FROM campaign_log)""", "campaign_log", "raw_campaigns"))(
+    lambda s, d: CP.fold_changes(_campaigns_before(s, d), _campaign_log(s, d), ("changed_at", "seq")))
+q("fold_campaign_log_sends", O.sql("""SELECT s.* REPLACE (
+    CASE WHEN g.id IS NOT NULL AND s.kind = 'email' THEN g.subject ELSE s.subject END AS subject,
+    CASE WHEN g.id IS NOT NULL AND s.kind <> 'email' THEN COALESCE(NULLIF(g.body, ''), g.subject) ELSE s.message END AS message,
+    CASE WHEN g.id IS NOT NULL THEN g.recipients ELSE s.recipients END AS recipients,
+    CASE WHEN g.status <> c.status THEN (CASE g.status WHEN 'sent' THEN 'sent' WHEN 'cancelled' THEN 'failed' ELSE 'queued' END) ELSE s.status END AS status)
+FROM raw_sends s
+LEFT JOIN (SELECT l.send_id, min(l.campaign) AS campaign FROM links l JOIN campaign_log x ON x.id = l.campaign JOIN raw_campaigns o ON o.id = l.campaign
+           WHERE NOT x.deleted AND o.status <> 'cancelled' GROUP BY 1) l ON l.send_id = s.id
+LEFT JOIN campaign_log g ON g.id = l.campaign LEFT JOIN raw_campaigns c ON c.id = l.campaign
+WHERE s.id NOT IN (SELECT l.send_id FROM links l JOIN campaign_log x ON x.id = l.campaign JOIN raw_campaigns o ON o.id = l.campaign
+                   WHERE x.deleted AND o.status <> 'cancelled')""", "raw_sends", "campaign_log", "links", "raw_campaigns"))(
+    lambda s, d: CP.fold_changes_into_sends(_campaigns_before(s, d), _campaign_log(s, d), A.raw_sends(s, d), ("changed_at", "seq")))
+
 # ---- T: text over the conversations table -----------------------------------------------
 from cohortlab.functions.columns import ACCENTS_FROM as _AF, ACCENTS_TO as _AT  # noqa: E402
 

@@ -174,3 +174,33 @@ def test_repeated_ids_of_incoming_campaigns(spark):
     new = spark.createDataFrame([("a", "late", 5), ("b", "first", 2), ("b", "last", 3), ("b", "last", 3)], schema)
     assert sorted(map(tuple, CP.merge_new_campaigns(old, new).collect())) == [("a", "sent", 1), ("b", "last", 3)]
     assert sorted(map(tuple, CP.replace_campaigns(old, new).collect())) == [("a", "late", 5), ("b", "last", 3)]
+
+
+def test_alerts_open_close_and_open_again(spark):
+    share = {1: 30, 2: 40, 3: 50, 4: 20, 5: 36, 6: 60, 7: 10}
+    snaps = spark.createDataFrame([(t, n, x) for t, p in share.items() for n, x in (("At Risk", p), ("VIP", 100 - p))] + [(None, "Lost", 9)],
+                                  "at int, segment string, customers long")
+    acks = spark.createDataFrame([("at_risk_high", 1), ("at_risk_high", 3), ("at_risk_high", 3), ("at_risk_high", 4), ("lost_high", 2), (None, 5), ("at_risk_high", None)],
+                                 "type string, at int")
+    history = CP.alert_history(snaps, acks)
+    rows = [(r.opening, r.opened_at, r.closed_at, r.breaches, r.current_pct, r.baseline_pct) for r in history.orderBy("opening").collect()]
+    assert rows == [(1, 2, 3, 2, 40.0, 35.0), (2, 5, None, 2, 36.0, 31.0)]
+    still = CP.open_alerts(history)
+    now = spark.createDataFrame([(0, "At Risk", 60), (1, "Lost", 40)], "seg int, segment string, customers long")
+    assert [(r.type, r.current_pct) for r in CP.segment_alerts(now, still).collect()] == [("at_risk_high", 36.0)]
+    two = snaps.withColumn("shop", F.lit("a")).unionByName(snaps.withColumn("shop", F.lit("b")))
+    apart = CP.alert_history(two, acks.withColumn("shop", F.lit("a")), by=("shop",))
+    assert sorted((r.shop, r.opened_at, r.closed_at) for r in apart.collect()) == [("a", 2, 3), ("a", 5, None), ("b", 2, None)]
+    assert CP.alert_history(snaps.limit(0), acks).count() == 0 and CP.alert_history(snaps, acks.limit(0)).count() == 1
+
+
+def test_log_of_campaign_edits(spark):
+    schema = "id string, status string, created_at int"
+    old = spark.createDataFrame([("a", "sent", 1), ("b", "pending", 1), ("c", "pending", 1), (None, "pending", 1)], schema)
+    log = spark.createDataFrame([("a", "pending", 1, 5, False), ("a", "sent", 1, 4, True), ("b", "x", 1, 3, None), ("b", "y", 1, 7, True), ("b", "z", 1, 7, False),
+                                 ("d", "new", 2, 1, False), ("d", "newer", 2, 2, None), ("e", "gone", 2, 1, True), (None, "lost", 0, 9, False)],
+                                schema + ", changed_at int, deleted boolean")
+    want = [("", "pending", 1), ("a", "pending", 1), ("c", "pending", 1), ("d", "newer", 2)]
+    for parts in (1, 5):
+        assert sorted((r.id or "", r.status, r.created_at) for r in CP.fold_changes(old, log.repartition(parts)).collect()) == want
+    assert CP.fold_changes(old, log.limit(0)).count() == 4 and CP.fold_changes(old.limit(0), log).count() == 2
