@@ -1144,5 +1144,20 @@ def _table_round_trip(s, d):
     return S.read_table(s, path).select("n_nationkey", "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
 
 
+def _result_set(s, d):
+    """Two sets published one after the other, the second made of the first; then a third that is never published."""
+    from cohortlab.session import ensure_checkpoint_dir
+    from cohortlab.sources import result_sets as R
+    import uuid
+    root = f"{ensure_checkpoint_dir(s).rstrip('/')}/cohortlab-tables/sets-{uuid.uuid4().hex}"
+    R.write_set(s, root, {"campaigns": A.raw_campaigns(s, d), "sends": A.raw_sends(s, d)})
+    R.write_set(s, root, {"campaigns": R.read_result(s, root, "campaigns").filter("status = 'sent'"), "sends": R.read_result(s, root, "sends")})
+    S.write_table(A.raw_campaigns(s, d), f"{R.new_set(root)}/campaigns")
+    sends = R.read_result(s, root, "sends").groupBy(F.col("campaign_id").alias("id")).agg(F.count(F.lit(1)).alias("sends"))
+    return R.read_result(s, root, "campaigns").select("id", "segment").join(sends, "id", "left")
+
+
+q("result_set", O.sql("""SELECT id, segment, sends FROM raw_campaigns LEFT JOIN
+    (SELECT campaign_id AS id, count(*) AS sends FROM raw_sends GROUP BY 1) USING (id) WHERE status = 'sent'""", "raw_campaigns", "raw_sends"))(_result_set)
 q("export_csv", "SELECT c_custkey, c_name, c_mktsegment FROM customer")(_csv_round_trip)
 q("write_table", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(_table_round_trip)

@@ -24,6 +24,7 @@ from cohortlab.operators import prep as P
 from cohortlab.operators import profile as G
 from cohortlab.operators import scores as SC
 from cohortlab.plans.pipeline import Inputs
+from cohortlab.sources import result_sets as R
 from cohortlab.sources.tables import write_table
 
 
@@ -48,15 +49,17 @@ class ModelConfig:
 
 
 def run(spark: SparkSession, data_dir: str, out_dir: str, cfg: ModelConfig | None = None) -> dict:
-    """Rebuild every result table for ``cfg``; returns {table: path}."""
+    """Rebuild every result table for ``cfg`` as one set below ``out_dir``, published when all of it is written; returns
+    {table: path}. Until then, and when the run fails, ``read_result`` goes on giving the set before it."""
     from cohortlab import session
     cfg = (cfg or ModelConfig()).validate()
     before = set(session.STORED)
     I = Inputs(spark, data_dir)                        # lines and features materialised once
     out: dict[str, str] = {}
+    folder = R.new_set(out_dir)
 
     def save(name, df, **kw):
-        path = f"{out_dir.rstrip('/')}/{name}"
+        path = f"{folder}/{name}"
         write_table(df, path, **kw)
         out[name] = path
 
@@ -102,6 +105,8 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, cfg: ModelConfig | Non
     save("summary_sections", K.summary_sections(**{part: spark.read.parquet(out[name]).select(*cols)
                                                    for part, (name, cols) in kept.items() if name in out}))
     save("config", spark.createDataFrame([(json.dumps(asdict(cfg)),)], "config string"))
+    R.publish(spark, folder)
+    R.drop_superseded(spark, out_dir)
     session.drop_stored(spark, [p for p in session.STORED if p not in before])     # all results are written by now
     return out
 

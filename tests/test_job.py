@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlab.operators import cleaning as C
 from cohortlab.plans import job
 from cohortlab.plans.pipeline import Inputs
+from cohortlab.sources import result_sets as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,6 +28,13 @@ def test_job_tables_and_invariants(spark):
     assert rev == pytest.approx(round(total, 2), abs=0.005)
     ev = spark.read.parquet(res["pca_meta"]).collect()
     assert all(0 < r.explained_variance <= 100 for r in ev)
+    assert R.current_set(spark, out) == res["summary"].rsplit("/", 1)[0]
+
+    again = job.retrain(spark, SF, out, n_clusters=2, n_init=1)
+    now = R.read_result(spark, out, "segments")
+    assert now.count() == 2 and R.current_set(spark, out) == again["summary"].rsplit("/", 1)[0]
+    assert now.agg(F.sum("customers")).first()[0] == n and '"n_clusters": 2' in R.read_result(spark, out, "config").first()[0]
+    assert spark.read.parquet(res["segments"]).count() == 3       # the set before is still there for its readers
 
 
 def test_config_validation():
