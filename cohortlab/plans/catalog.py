@@ -590,6 +590,11 @@ FROM features""", "features"))(
                                               L.recency_severity("recency").alias("recency_severity"),
                                               L.return_severity("return_rate").alias("return_severity")))
 
+q("segment_return_severity", O.sql("""SELECT seg, CASE WHEN r < 0.05 THEN '#059669' WHEN r < 0.15 THEN '#e07820' ELSE '#dc2626' END AS severity
+FROM (SELECT seg, avg(return_rate) AS r FROM segf GROUP BY 1)""", "segf"))(
+    lambda s, d: Inputs(s, d).segf.groupBy("seg").agg(F.avg("return_rate").alias("r"))
+    .select("seg", L.return_severity("r", segment_level=True).alias("severity")))
+
 # ---- D: derived analytics ---------------------------------------------------------------
 O.cte("prof", ["segf"], _SEGPROF)
 O.cte("seg_rev", ["seg_scaled"], """SELECT seg, CASE WHEN rk = 1 THEN round(revenue + diff, 2) ELSE revenue END AS revenue
@@ -1072,6 +1077,11 @@ q("intent_answer_facts", O.sql(f"""SELECT p.seg, n.segment, p.n AS count, p.n *
 q("recent_turns", O.sql("""SELECT * FROM (SELECT conv_id, turn, role, text,
     CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS position FROM conversations) WHERE position <= 14"""))(
     lambda s, d: TX.recent_turns(_conv(s, d)))
+q("recent_context", O.sql("""SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS context FROM (
+    SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS position FROM conversations)
+WHERE position <= 14 GROUP BY 1"""))(
+    lambda s, d: TX.recent_context(_conv(s, d)).select("conv_id", F.size("context").cast("long").alias("turns"), F.array_join(
+        F.transform("context", lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n").alias("context")))
 
 # ---- X: stateful lockout; days instead of seconds, so that locks do happen on the given events ----
 _DAY = 86_400
