@@ -77,6 +77,8 @@ q("read_optional", "SELECT r_regionkey, r_name FROM region")(
 q("to_output_types", O.sql("""SELECT return_id, customer_id, strftime(return_date, '%Y-%m-%dT%H:%M:%S') AS return_date,
        refund_amount, return_status, return_reason FROM returns""", "returns"))(
     lambda s, d: S.to_output_types(Inputs(s, d).returns))
+q("spend_momentum_zero_filled", O.sql("SELECT customer_id, coalesce(spend_momentum, CAST(0 AS DOUBLE)) AS spend_momentum FROM features", "features"))(
+    lambda s, d: Inputs(s, d).features_of("spend_momentum", zero_fill=True).select("customer_id", "spend_momentum"))
 q("sanitize_non_finite", O.sql("SELECT customer_id, spend_momentum, clv_slope, ipt FROM features", "features"))(
     lambda s, d: S.sanitize_non_finite(Inputs(s, d).features_of("spend_momentum", "clv_slope", "ipt")))
 

@@ -61,12 +61,12 @@ class Inputs:
         lines = FE.prepared_lines(lines).select(*columns)
         return self._keep(lines, "order_lines") if keep else lines
 
-    def features_of(self, *columns: str) -> DataFrame:
-        """customer_id and these features, built from the branches that they need."""
+    def features_of(self, *columns: str, zero_fill: bool = False) -> DataFrame:
+        """customer_id and these features, built from the branches that they need; ``zero_fill`` as in ``customer_features``."""
         need = FE.needs(columns)
         lines = self.lines_for(*need.line_columns, keep=need.line_reads > 1)
         return FE.customer_features(lines, self.returns, self.customers if need.profile else None, columns=columns,
-                                    keep_order_grain=need.grain_reads > 1 and self.materialize)
+                                    keep_order_grain=need.grain_reads > 1 and self.materialize, zero_fill=zero_fill)
 
     @cached_property
     def products(self) -> DataFrame:
