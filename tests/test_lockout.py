@@ -68,3 +68,18 @@ def test_chunk_length_and_empty_table(spark):
     assert LK.failed_attempt_lockout(ev).count() == 0
     with pytest.raises(ValueError):
         LK.failed_attempt_lockout(ev, chunk=360)
+
+
+def test_short_keys_are_folded_in_order(spark, monkeypatch):
+    """Short keys need no chunk tables; with a longer key among them, whole or in chunks, every outcome equals the fold."""
+    rng = np.random.default_rng(5)
+    parts = [_events(rng, n, [0, 3, 50, 90, 400], 0.9, user) for user, n in enumerate([900, *[40] * 30])]
+    pdf = pd.concat(parts, ignore_index=True).assign(event_id=lambda x: np.arange(len(x)))
+    ev = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("user_id", F.expr("nullif(user_id, 3)")).repartition(5)
+    want = sorted((-1 if user == 3 else user, *r) for user, rows in pdf.groupby("user_id") for r in _folded(rows, (5, 60, 300)))
+    mixed = LK.failed_attempt_lockout(ev, whole=500)
+    monkeypatch.setattr(TR, "entry_states", lambda *_: pytest.fail("no key is long enough for chunks"))
+    for got in (mixed, LK.failed_attempt_lockout(ev)):
+        rows = got.select(F.coalesce("key", F.lit(-1)).alias("key"), "ts", "outcome", "fail_count", "locked_until").toPandas()
+        assert sorted(zip(rows["key"], rows["ts"], rows["outcome"], rows["fail_count"])) == want
+        assert (rows["locked_until"].notna() == rows["outcome"].isin(["locked", "rejected"])).all()
