@@ -81,3 +81,41 @@ def test_segment_queries_build_no_whole_feature_table(spark, name):
     new = [x for x in session.STORED if x not in before]
     session.drop_stored(spark, new)
     assert not any("features" in x for x in new) and len(new) <= 1 and "clv_slope" not in p
+
+
+@pytest.mark.parametrize("name", ["silhouette", "davies_bouldin", "segment_ipt", "segment_zscores", "diversity_class", "custom_segment", "pca_loadings"])
+def test_features_are_built_of_what_they_need(spark, name):
+    """The lines stored for features hold no look-ups that these don't read, and what is stored of the features is not the whole table."""
+    from cohortlab import session
+    before = set(session.STORED)
+    E.queries()[name](spark, SF)
+    new = [x for x in session.STORED if x not in before]
+    columns = {x.rsplit("/", 1)[1].rsplit("-", 1)[0]: set(spark.read.parquet(x).columns) for x in new}
+    session.drop_stored(spark, new)
+    assert not columns["order_lines"] & {"payment_gateway", "offer_name", "country", "source", "channel", "product_id"}
+    assert "unique_prods" not in columns["features"] and "phone" not in columns["features"]
+
+
+def test_order_grain_without_channel_is_not_sorted(spark):
+    lines = Inputs(spark, SF, materialize=False).lines_for("customer_id", "order_id", "order_date", "net_amount", "discount_pct")
+    assert "SortAggregate" in plan(FE.order_grain(lines.withColumn("channel", lines["order_id"]), None))
+    assert "SortAggregate" not in plan(FE.order_grain(lines, None, channel=False))
+
+
+def test_numbers_of_items_equal_their_text(spark):
+    """Items whose numbers are doubles give what their text gives, without being written out as text."""
+    from cohortlab.operators import cleaning as C
+    rows = [("1", "p", 0.1 + 0.2, 1e-7, True, 3.0), ("2", "p", float("nan"), -0.0, False, 0.5), ("3", "p", None, float("inf"), None, None), ("4", "p", 1e22, 123456789.123, True, float("nan"))]
+    items = spark.createDataFrame(rows, "purchase_id string, product_id string, price double, sale_price double, in_sale boolean, qty double")
+    text = items.select("purchase_id", "product_id", *[items[c].cast("string") for c in ("price", "sale_price", "in_sale", "qty")])
+    assert sorted(map(str, C.clean_items(items).collect())) == sorted(map(str, C.clean_items(text).collect()))
+    assert "price#" in plan(C.clean_items(items)) and "try_cast" not in plan(C.clean_items(items)).lower() and "trycast" not in plan(C.clean_items(items)).lower()
+
+
+def test_summary_sections_share_their_lines(spark):
+    from cohortlab import session
+    before = set(session.STORED)
+    E.queries()["summary_sections"](spark, SF)
+    new = [x for x in session.STORED if x not in before]
+    session.drop_stored(spark, new)
+    assert sum("order_lines" in x for x in new) == 1
