@@ -119,3 +119,10 @@ def test_summary_sections_share_their_lines(spark):
     new = [x for x in session.STORED if x not in before]
     session.drop_stored(spark, new)
     assert sum("order_lines" in x for x in new) == 1
+
+
+def test_wide_layout_groups_an_order_once(spark):
+    """One aggregate a line, no window and no expression a slot and line."""
+    from cohortlab.sources import adapters as A
+    p = plan(A.wide_purchases(spark, SF))
+    assert "Window" not in p and "max(CASE" not in p and "SortAggregate" not in p
