@@ -204,3 +204,32 @@ def test_log_of_campaign_edits(spark):
     for parts in (1, 5):
         assert sorted((r.id or "", r.status, r.created_at) for r in CP.fold_changes(old, log.repartition(parts)).collect()) == want
     assert CP.fold_changes(old, log.limit(0)).count() == 4 and CP.fold_changes(old.limit(0), log).count() == 2
+
+
+def test_leaves_count_crowds_without_their_pairs(monkeypatch):
+    """Neighbour counts and parts equal brute force, and most pairs of a crowd are never compared."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.05, (1500, 4)), rng.normal(3, 0.05, (1500, 4)), rng.normal(0, 3, (200, 4))])
+    compared, whole = [], D._squares
+    monkeypatch.setattr(D, "_squares", lambda a, b: compared.append(len(a) * len(b)) or whole(a, b))
+    a, b = D.Leaves(x), D.Leaves(x[::2])
+    to_a, to_b = D.counted(a, b, 0.36)
+    assert sum(compared) < len(x) * len(x[::2]) / 10
+    near = whole(x, x[::2]) <= 0.36
+    assert (to_a == near.sum(1)).all() and (to_b == near.sum(0)).all()
+    root, near = D.parts_of(a, 0.36), whole(x, x) <= 0.36
+    i, j = np.nonzero(near)
+    assert (root[i] == root[j]).all() and len(set(root[:1500])) == 1 and root[0] != root[1500] and (root <= np.arange(len(x))).all()
+
+
+def test_a_sweep_labels_all_k_in_one_pass(points):
+    frame = points[0] if isinstance(points, tuple) else points
+    pts = KM.whole(frame, COLS)
+    models = KM.fit(pts, [2, 3, 5], 3, seed=7, n_init=2)
+    both = KM.assign_each(pts, models, 3)
+    for k, model in models.items():
+        assert both.select("customer_id", f"k{k}").exceptAll(KM.assign(pts, model, 3)).count() == 0
+    x = np.random.default_rng(1).integers(-2 ** 52, 2 ** 52, (500, 2))
+    own = np.arange(500) % 3
+    for values in (x, x >> 12):
+        assert (KM.cluster_sums(values, own, 3) == np.stack([values[own == c].sum(0) for c in range(3)])).all()
