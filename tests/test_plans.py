@@ -126,3 +126,23 @@ def test_wide_layout_groups_an_order_once(spark):
     from cohortlab.sources import adapters as A
     p = plan(A.wide_purchases(spark, SF))
     assert "Window" not in p and "max(CASE" not in p and "SortAggregate" not in p
+
+
+def test_lines_shuffle_one_number_per_item_and_split_the_total_once(spark):
+    lines = Inputs(spark, SF, materialize=False).lines_for("customer_id", "order_id", "order_date", "net_amount", "discount_pct")
+    p = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("round((full_amount") == 2              # by weight, or in equal parts
+    join = p[p.index("Join LeftOuter"):]
+    item = next(x for x in join.splitlines() if "Project" in x and "qty" in x)
+    assert "item_gross" in item and " AS price" not in item and " AS qty" not in item
+
+
+@pytest.mark.parametrize("name", ["segment_ipt", "segment_zscores", "diversity_class"])
+def test_a_profile_is_built_of_the_metrics_read(spark, name):
+    from cohortlab import session
+    before = set(session.STORED)
+    E.queries()[name](spark, SF).collect()
+    new = [p for p in session.STORED if p not in before]
+    columns = {c for p in new for c in spark.read.parquet(p).columns}
+    session.drop_stored(spark, new)
+    assert not columns & {"clv_slope", "spend_momentum"}
