@@ -233,3 +233,29 @@ def test_a_sweep_labels_all_k_in_one_pass(points):
     own = np.arange(500) % 3
     for values in (x, x >> 12):
         assert (KM.cluster_sums(values, own, 3) == np.stack([values[own == c].sum(0) for c in range(3)])).all()
+
+
+def test_mixture_is_that_of_spark_ml(points):
+    from pyspark.ml.clustering import GaussianMixture
+
+    from cohortlab.operators import cluster as M
+    from cohortlab.operators import mixture as MX
+    frame, x = points
+    vectors = M.model_input(frame, COLS)
+    old = GaussianMixture(k=3, seed=42, featuresCol="features_vec", predictionCol="cluster").fit(vectors)
+    mixture = MX.fit(vectors, COLS, 3, 42)
+    assert np.allclose(mixture.weights, old.weights, atol=1e-6)
+    assert np.allclose(mixture.means, [r["mean"].toArray() for r in old.gaussiansDF.collect()], atol=1e-5)
+    want = {r["customer_id"]: r["cluster"] for r in old.transform(vectors).collect()}
+    assert {r["customer_id"]: r["cluster"] for r in M.gmm_segments(frame, 3, 42, COLS).collect()} == want
+    packed = MX.blocks(vectors, COLS)
+    assert sum(len(r["x"]) for r in packed.collect()) == x.size * 8 and packed.rdd.getNumPartitions() > 1
+    assert not frame.sparkSession.sparkContext._jsc.sc().getPersistentRDDs().size() > 1          # the fixture's own only
+
+
+def test_ward_builds_its_input_once(points, monkeypatch):
+    frame, _ = points
+    seen = []
+    monkeypatch.setattr(W, "cells", lambda scaled, cols, width, real=W.cells: (seen.append(scaled), real(scaled, cols, width))[1])
+    assert W.ward_segments(frame, 3, COLS, most_cells=20).count() == frame.count()
+    assert len(seen) > 1 and all("parquet" in s._jdf.queryExecution().executedPlan().toString().lower() for s in seen)
