@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import packed, store, unpacked
+from cohortlab.llm.common import packed, small_batches, store, unpacked
 from cohortlab.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     compared in lower case; null and empty texts are equal to one another; repeated rows are copies. Further
     columns are ignored, an empty table gives no row.
     """
-    placed = _placed(docs, least)
+    with small_batches(docs.sparkSession):
+        placed = _placed(docs, least)
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return placed.join(classes, "root").select("doc_id", "class_id")
 
@@ -270,7 +271,8 @@ def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFram
     """All input columns of one row per class of ``near_duplicates``: the row of its least id (of null id
     only where the class has no other), and of rows with that id the one whose text's digest, then whose
     JSON form sorts first."""
-    placed = _placed(docs, least)
+    with small_batches(docs.sparkSession):
+        placed = _placed(docs, least)
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
     count = placed.groupBy("key", "doc_id").agg(F.count("*").alias("n_rows"))
     stay = best.select(F.col("best.key").alias("key"), F.col("best.doc_id").alias("stay_id"))

@@ -7,14 +7,12 @@ scaled by its ratio, is fitted to the same texts and scores every text.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import packed, store, unpacked
+from cohortlab.llm.common import TEXTS, packed, small_batches, store, unpacked
 from cohortlab.llm.crf import minimise
 
 ORDERS = (3, 4, 5)
@@ -24,8 +22,6 @@ MAX_TRAIN_ROWS = 15_000
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-3, 40
 #: The features of the texts to learn from, bounded as they are, are stored in so many parts; each step sends one sum of slopes a part.
 PARTS = 8
-#: Texts that a task of the fit gets and unfolds at once.
-TEXTS = 200
 #: A text is hashed in pieces of so many characters.
 PIECE = 100_000
 
@@ -75,18 +71,6 @@ def unpack_places(packed: bytes) -> np.ndarray:
     return np.repeat(np.arange(len(stretch), dtype=np.int32) << 16, stretch) + np.frombuffer(packed[head:], np.uint16)
 
 
-@contextmanager
-def small_batches(spark: SparkSession):
-    """Jobs run inside send ``TEXTS`` rows at once to Python: whole texts and their features are large rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(TEXTS, int(before)) if int(before) > 0 else TEXTS)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def held_out() -> Column:
     """Every fifth id by crc32: its label is never learnt from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

@@ -110,3 +110,14 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 5), (False, 6), (True, 0)]
     assert P.near_duplicates(empty_docs(spark)).count() == 0 and P.drop_near_duplicates(empty_docs(spark)).count() == 0
+
+
+def test_texts_come_to_python_in_small_batches(spark, monkeypatch):
+    from cohortlab.llm import common, probminhash
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    real = probminhash.store
+    monkeypatch.setattr(probminhash, "store", lambda df, label: (seen.append(int(spark.conf.get(name))), real(df, label))[1])
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(9)], "doc_id long, text string")
+    assert probminhash.drop_near_duplicates(docs).count() == 3
+    assert seen and set(seen) - {common.TEXTS} <= {int(before)} and common.TEXTS in seen and spark.conf.get(name) == before
