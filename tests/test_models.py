@@ -247,10 +247,12 @@ def test_mixture_is_that_of_spark_ml(points):
     assert np.allclose(mixture.weights, old.weights, atol=1e-6)
     assert np.allclose(mixture.means, [r["mean"].toArray() for r in old.gaussiansDF.collect()], atol=1e-5)
     want = {r["customer_id"]: r["cluster"] for r in old.transform(vectors).collect()}
+    held = frame.sparkSession.sparkContext._jsc.sc().getPersistentRDDs
+    before = held().size()
     assert {r["customer_id"]: r["cluster"] for r in M.gmm_segments(frame, 3, 42, COLS).collect()} == want
     packed = MX.blocks(vectors, COLS)
     assert sum(len(r["x"]) for r in packed.collect()) == x.size * 8 and packed.rdd.getNumPartitions() > 1
-    assert not frame.sparkSession.sparkContext._jsc.sc().getPersistentRDDs().size() > 1          # the fixture's own only
+    assert held().size() <= before
 
 
 def test_ward_builds_its_input_once(points, monkeypatch):
