@@ -267,19 +267,24 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return placed.join(classes, "root").select("doc_id", "class_id")
 
 
+def _stay(placed: DataFrame) -> DataFrame:
+    """(key, stay_id, n_rows) of the text and id that stay of each class."""
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    count = placed.groupBy("key", "doc_id").agg(F.count("*").alias("n_rows"))
+    stay = best.select(F.col("best.key").alias("key"), F.col("best.doc_id").alias("stay_id"))
+    return stay.join(count.withColumnRenamed("doc_id", "count_id").withColumnRenamed("key", "count_key"),
+                     (F.col("key") == F.col("count_key")) & F.col("stay_id").eqNullSafe(F.col("count_id"))).select("key", "stay_id", "n_rows")
+
+
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """All input columns of one row per class of ``near_duplicates``: the row of its least id (of null id
     only where the class has no other), and of rows with that id the one whose text's digest, then whose
     JSON form sorts first."""
     with small_batches(docs.sparkSession):
         placed = _placed(docs, least)
-    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
-    count = placed.groupBy("key", "doc_id").agg(F.count("*").alias("n_rows"))
-    stay = best.select(F.col("best.key").alias("key"), F.col("best.doc_id").alias("stay_id"))
-    stay = stay.join(count.withColumnRenamed("doc_id", "count_id").withColumnRenamed("key", "count_key"),
-                     (F.col("key") == F.col("count_key")) & F.col("stay_id").eqNullSafe(F.col("count_id"))).select("key", "stay_id", "n_rows")
+        stay = store(_stay(placed), "near-stay")
     work = packed(docs, "doc_id", "text").withColumn("key", _key()).select("_doc", "doc_id", "key")
-    rows = work.join(store(stay, "near-stay").withColumnRenamed("key", "stay_key"),
+    rows = work.join(stay.withColumnRenamed("key", "stay_key"),
                      (F.col("key") == F.col("stay_key")) & F.col("doc_id").eqNullSafe(F.col("stay_id")))
     one = rows.filter("n_rows = 1").select("_doc")
     first = rows.filter("n_rows > 1").groupBy("key", "stay_id").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc")

@@ -6,7 +6,7 @@ from llm_cases import SF, edge_docs, empty_docs, table
 
 import __spark_entry__ as E
 import corpus_pipeline
-from cohortlab.llm import decontam, probminhash, queries, secret_scan, toxicity
+from cohortlab.llm import common, decontam, probminhash, queries, secret_scan, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,21 @@ def test_stages_on_odd_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, SF)
         assert set(docs.columns) <= set(out.columns) and (out.count() > 0) == (docs.count() > 0)
+
+
+def test_stages_read_whole_texts_in_small_batches(spark, monkeypatch):
+    """Training, near duplicates and passage counts read and send few rows at once, whoever calls the stage; settings come back."""
+    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    seen, before = {}, [spark.conf.get(n) for n in names]
+
+    def noted(module, name):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a: (seen.setdefault(name, []).append([int(spark.conf.get(n)) for n in names]), real(*a))[1])
+
+    for module, name in ((toxicity, "training_rows"), (toxicity, "log_count_ratios"), (decontam, "passage_frequencies"), (probminhash, "store")):
+        noted(module, name)
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(9)], "doc_id long, text string")
+    for stage in (corpus_pipeline.toxicity, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination):
+        stage(spark, docs, SF)
+    assert len(seen) == 4 and all(rows <= common.TEXTS for at in seen.values() for both in at for rows in both), seen
+    assert [spark.conf.get(n) for n in names] == before
