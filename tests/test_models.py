@@ -261,3 +261,30 @@ def test_ward_builds_its_input_once(points, monkeypatch):
     monkeypatch.setattr(W, "cells", lambda scaled, cols, width, real=W.cells: (seen.append(scaled), real(scaled, cols, width))[1])
     assert W.ward_segments(frame, 3, COLS, most_cells=20).count() == frame.count()
     assert len(seen) > 1 and all("parquet" in s._jdf.queryExecution().executedPlan().toString().lower() for s in seen)
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """A cluster of more rows than a sample used to hold, some of them equal."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(c, 0.5, (n, 2)) for c, n in ((100.0, 2700), (103.0, 150), (108.0, 150))] + [np.full((100, 2), 100.5)])
+    frame = spark.createDataFrame([(f"c{i:05d}", float(a), float(b)) for i, (a, b) in enumerate(x)], "customer_id string, p double, q double").cache()
+    return frame, x
+
+
+def test_silhouette_of_many_rows_is_exact(many, monkeypatch):
+    from cohortlab.functions import chunks
+    frame, x = many
+    label = np.repeat([0, 1, 2, 3, -1], [2500, 300, 200, 1, 99])
+    labelled = frame.join(frame.sparkSession.createDataFrame([(f"c{i:05d}", int(c)) for i, c in enumerate(label)], "customer_id string, cluster int"), "customer_id")
+    want = brute_silhouette(x[label >= 0], label[label >= 0])
+    for size in (chunks.CHUNK, 700):
+        monkeypatch.setattr(chunks, "CHUNK", size)
+        got = SC.silhouette_euclidean(labelled, "cluster", ["p", "q"]).first()
+        assert got["bound"] == 0 and got["silhouette"] == pytest.approx(want, rel=1e-9)
+
+
+def test_distances_of_equal_rows_are_nothing(spark):
+    same = spark.createDataFrame([(str(i), i % 2, 0.1 + 0.2, 1 / 3) for i in range(40)], "customer_id string, cluster int, p double, q double")
+    assert SC.silhouette_euclidean(same, "cluster", ["p", "q"]).first()["silhouette"] == 0
+    assert SC.silhouette_euclidean(same.limit(0), "cluster", ["p", "q"]).first()["silhouette"] is None
