@@ -288,3 +288,10 @@ def test_distances_of_equal_rows_are_nothing(spark):
     same = spark.createDataFrame([(str(i), i % 2, 0.1 + 0.2, 1 / 3) for i in range(40)], "customer_id string, cluster int, p double, q double")
     assert SC.silhouette_euclidean(same, "cluster", ["p", "q"]).first()["silhouette"] == 0
     assert SC.silhouette_euclidean(same.limit(0), "cluster", ["p", "q"]).first()["silhouette"] is None
+
+
+def test_a_sweep_scores_every_row(many):
+    from cohortlab.operators import cluster as M
+    frame, x = many
+    label = M.kmeans_segments(frame, 3, 5, 1, ["p", "q"]).orderBy("customer_id").toPandas()["cluster"].to_numpy()
+    assert M.k_sweep(frame, [3], 5, 1, ["p", "q"]).first()["silhouette"] == pytest.approx(brute_silhouette(x, label), rel=1e-9)
