@@ -295,3 +295,23 @@ def test_a_sweep_scores_every_row(many):
     frame, x = many
     label = M.kmeans_segments(frame, 3, 5, 1, ["p", "q"]).orderBy("customer_id").toPandas()["cluster"].to_numpy()
     assert M.k_sweep(frame, [3], 5, 1, ["p", "q"]).first()["silhouette"] == pytest.approx(brute_silhouette(x, label), rel=1e-9)
+
+
+def test_ward_over_stored_tables_is_that_in_hand(points, monkeypatch):
+    """Rounds on Spark, over several chunks, merge the same clusters under the same numbers, and more cells than the driver takes in hand are no wider."""
+    from cohortlab.functions import chunks
+    frame, _ = points
+    key = lambda rows: sorted((r["a"], r["b"], r["parent"], r["n"], r["step"], round(r["height"], 9)) for r in rows)
+    want, label = W.dendrogram(frame, COLS).collect(), sorted(map(tuple, W.ward_segments(frame, 4, COLS).select("customer_id", "cluster").collect()))
+    monkeypatch.setattr(chunks, "CHUNK", 90)
+    monkeypatch.setattr(W, "LEAF", 8)
+    assert key(W.dendrogram(frame, COLS, in_hand=40).collect()) == key(want)
+    assert sorted(map(tuple, W.ward_segments(frame, 4, COLS, in_hand=100).select("customer_id", "cluster").collect())) == label
+
+
+def test_ward_of_many_rows_merges_every_row(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 0.001, (10500, 1)).cumsum(0) + np.arange(10500)[:, None] // 5000 * 50.0
+    frame = spark.createDataFrame([(f"c{i}", float(v)) for i, (v,) in enumerate(x)], "customer_id string, p double")
+    last = W.dendrogram(frame, ["p"]).orderBy(F.desc("step")).first()
+    assert last["step"] == len(np.unique(x)) - 1 and last["n"] == len(x)
