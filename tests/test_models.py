@@ -315,3 +315,34 @@ def test_ward_of_many_rows_merges_every_row(spark):
     frame = spark.createDataFrame([(f"c{i}", float(v)) for i, (v,) in enumerate(x)], "customer_id string, p double")
     last = W.dendrogram(frame, ["p"]).orderBy(F.desc("step")).first()
     assert last["step"] == len(np.unique(x)) - 1 and last["n"] == len(x)
+
+
+def test_blocks_are_not_sent_to_all_they_meet(points, monkeypatch):
+    """Each point comes to Python for its own block and once for the chunks, however many blocks meet."""
+    frame, x = points
+    sent, real = frame.sparkSession.sparkContext.accumulator(0), D._matrix
+    blocks = D.blocks(frame, COLS, 0.6, 16).cache()
+    monkeypatch.setattr(D, "_matrix", lambda pdf, dims: (sent.add(len(pdf)), real(pdf, dims))[1])
+    got = {r["customer_id"]: r["n"] for r in D.neighbour_counts(blocks, D.meetings(blocks, 0.6), 3, 0.6).collect()}
+    assert [got[f"c{i:04d}"] for i in range(len(x))] == [n for _, n, _ in brute_dbscan(x, 0.6, 8)]
+    assert 0 < sent.value <= 2 * len(x)
+
+
+def test_reach_is_told_as_by_the_distances():
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(-4, 5, (90, 3)) * 0.1 + 1000 for _ in range(2))                # many pairs just at the distance
+    for square in (0.01, 0.02, 0.09, 0.25):
+        assert (D._within(a, b, square) == (D._squares(a, b) <= square)).all()
+
+
+def test_algorithms_are_scored_as_one_by_one(points):
+    from cohortlab.operators import cluster as M
+    frame, x = points
+    got = {r["algorithm"]: r for r in SC.compare_algorithms(frame, 3, n_init=2, cols=COLS).collect()}
+    for name, lab in (("KMeans", M.kmeans_segments(frame, 3, 42, 2, COLS)), ("Hierarchical", W.ward_segments(frame, 3, COLS))):
+        label = {r["customer_id"]: r["cluster"] for r in lab.collect()}
+        assert got[name]["silhouette"] == pytest.approx(brute_silhouette(x, np.array([label[f"c{i:04d}"] for i in range(len(x))])), rel=1e-9)
+    label = {r["customer_id"]: r["cluster"] for r in D.dbscan(frame, cols=COLS).collect()}
+    label = np.array([label[f"c{i:04d}"] for i in range(len(x))])
+    assert got["DBSCAN"]["noise_points"] == (label < 0).sum()
+    assert got["DBSCAN"]["silhouette"] == pytest.approx(brute_silhouette(x[label >= 0], label[label >= 0]), rel=1e-9)
