@@ -346,3 +346,12 @@ def test_algorithms_are_scored_as_one_by_one(points):
     label = np.array([label[f"c{i:04d}"] for i in range(len(x))])
     assert got["DBSCAN"]["noise_points"] == (label < 0).sum()
     assert got["DBSCAN"]["silhouette"] == pytest.approx(brute_silhouette(x[label >= 0], label[label >= 0]), rel=1e-9)
+
+
+def test_nearest_centres_are_those_of_the_distances():
+    rng = np.random.default_rng(8)
+    x = rng.integers(-3, 4, (500, 3)) * 0.1 + 50                                         # many rows halfway between two centres
+    sets = [rng.integers(-3, 4, (k, 3)) * 0.1 + 50 for k in (2, 3, 8)] + [np.zeros((3, 3))]
+    for c, own in zip(sets, KM.nearest(x, sets), strict=True):
+        want = KM.squares(x, c)
+        assert (own == want.argmin(1)).all() and (KM.squares_to(x, c, own) == want.min(1)).all()
